@@ -9,6 +9,7 @@ from opslake.functions.scalars import iso_utc, seconds_between
 from opslake.operators.rca import neighbour_stats
 from opslake.operators.topology import Topology
 from opslake.plans.intervals import SLICE_SECONDS, pair_ranges
+from opslake.plans.sizing import settle
 
 # Tracked metrics in display order with display name, unit, multiplier.
 FORMATS = (
@@ -254,6 +255,6 @@ def explain_root_causes(telemetry: DataFrame, incidents: DataFrame, topology: To
     """Rank and explain in one call, over the topology of the ranking."""
     from opslake.operators.rca import close_windows, evaluation_windows, rank_root_causes
 
-    ranked = rank_root_causes(telemetry, incidents, topology, anomalies)
+    ranked = settle(rank_root_causes(telemetry, incidents, topology, anomalies), "ranked")
     windows = close_windows(evaluation_windows(incidents), telemetry)
     return explain_incidents(incidents, explain_candidates(ranked, telemetry, windows, topology, config))

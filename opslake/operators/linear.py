@@ -23,7 +23,7 @@ class LinearConfig:
     balanced: bool = True
     c: float = 1.0
     max_iter: int = 1000
-    tol: float = 1e-8
+    tol: float = 1e-6
     features: tuple[str, ...] | None = None
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opslake.functions.scalars import clip, iso_utc, seconds_between
 from opslake.operators.topology import Topology
 from opslake.plans.intervals import SLICE_SECONDS, pair_ranges
+from opslake.plans.sizing import settle
 
 
 @dataclass(frozen=True)
@@ -187,7 +188,9 @@ def rank_root_causes(telemetry: DataFrame, incidents: DataFrame, topology: Topol
         anomalies = detect_with_forest(telemetry)
     rows = with_anomalies(telemetry, anomalies)
     windows = evaluation_windows(incidents, start, end)
-    return rca_rank(rca_scores(service_stats(rows, close_windows(windows, telemetry), topology), topology, config))
+    # One small row per (incident, candidate), used several times from here on.
+    stats = settle(service_stats(rows, close_windows(windows, telemetry), topology), "stats")
+    return rca_rank(rca_scores(stats, topology, config))
 
 
 def top_k(ranked: DataFrame, k: int) -> DataFrame:

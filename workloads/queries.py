@@ -9,6 +9,7 @@ from opslake.operators import (
     clean, drift, evaluate, explain, features, health, iforest, labels, metrics, prep, rca, topology, validate, zscore)
 from opslake.operators.predictor import PredictorConfig, fit_predictor, predict_incidents, top_features
 from opslake.operators.severity import fit_severity, predict_severity
+from opslake.plans.sizing import settle
 from opslake.session import fresh_path
 from opslake.sources import registry, telemetry as tsource
 from opslake.streaming import detect, rollup as srollup, run as srun
@@ -23,9 +24,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
+# Added before rounding, so that exact ties such as 50.4740625 round alike whatever their last bit is.
+NUDGE = 1e-9
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, as sums differ in their last bits between engines."""
-    return df.select(*[F.round(f.name, places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+    return df.select(*[F.round(F.col(f.name) + NUDGE, places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
                        for f in df.schema.fields])
 
 
@@ -372,7 +377,7 @@ def _windows(spark, sf):
 
 
 def _stats(spark, sf):
-    return rca.service_stats(_flagged(spark, sf), _windows(spark, sf), topology.Topology.from_map(spark))
+    return settle(rca.service_stats(_flagged(spark, sf), _windows(spark, sf), topology.Topology.from_map(spark)), "stats")
 
 
 def _ranked(spark, sf):
