@@ -41,7 +41,7 @@ def value_counts(reference: DataFrame, current: DataFrame, features: Sequence[st
 
 def ks_p_value(stat: Column, n: Column, m: Column) -> Column:
     """Two-sided asymptotic Kolmogorov tail for the two-sample distance."""
-    lam2 = stat * stat * (n * m / (n + m))
+    lam2 = stat * stat * F.try_divide(n * m, n + m)
     terms = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
         lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
@@ -53,14 +53,14 @@ def ks_p_value(stat: Column, n: Column, m: Column) -> Column:
 def feature_shape(counts: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
     """Per feature: sizes, ranges, KS distance and p-value, and the reference quantile edges, from one aggregation."""
     ref, cur = F.col("cum_ref_total"), F.col("cum_cur_total")
-    gap = F.abs(F.col("cum_ref") / ref - F.col("cum_cur") / cur)
+    gap = F.abs(F.try_divide(F.col("cum_ref"), ref) - F.try_divide(F.col("cum_cur"), cur))
     on_ref, on_cur = F.col("ref_n") > 0, F.col("cur_n") > 0
     edges = [quantile_from_totals("value", "cum_ref", i / config.bins).alias(f"_e{i}") for i in range(config.bins + 1)]
     agg = counts.groupBy("feature").agg(
         F.max(ref).alias("ref_count"), F.max(cur).alias("cur_count"),
         F.min(F.when(on_ref, F.col("value"))).alias("ref_min"), F.max(F.when(on_ref, F.col("value"))).alias("ref_max"),
         F.min(F.when(on_cur, F.col("value"))).alias("cur_min"), F.max(F.when(on_cur, F.col("value"))).alias("cur_max"),
-        F.max(F.when((ref > 0) & (cur > 0), gap)).alias("ks_statistic"), *edges)
+        F.max(gap).alias("ks_statistic"), *edges)
     return agg.select(
         "feature", "ref_count", "cur_count", "ref_min", "ref_max", "cur_min", "cur_max", "ks_statistic",
         ks_p_value(F.col("ks_statistic"), F.col("ref_count").cast("double"), F.col("cur_count").cast("double"))
@@ -85,8 +85,8 @@ def psi_values(counts: DataFrame, shape: DataFrame, config: DriftConfig = DriftC
             F.max("cur_count").alias("cur_count"))
     )
     floor = F.lit(config.floor)
-    share = binned.select("feature", F.greatest(F.col("ref_n") / F.col("ref_count"), floor).alias("r"),
-                          F.greatest(F.col("cur_n") / F.col("cur_count"), floor).alias("c"))
+    share = binned.select("feature", F.greatest(F.try_divide("ref_n", "ref_count"), floor).alias("r"),
+                          F.greatest(F.try_divide("cur_n", "cur_count"), floor).alias("c"))
     # Bins are few; with totals R and C, sum((c/C - r/R) * ln((c/C)/(r/R))) splits into sums that need no second pass.
     log = F.ln(F.col("c") / F.col("r"))
     sums = share.groupBy("feature").agg(

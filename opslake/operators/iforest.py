@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from opslake.functions.scalars import finite
 from opslake.plans.ordering import quantiles
-from opslake.plans.sizing import use_spread_plan
+from opslake.plans.sizing import settle, use_spread_plan
 from opslake.operators.labels import before_incidents
 
 EULER_GAMMA = 0.5772156649015329
@@ -119,8 +119,10 @@ def draw_samples(rows: DataFrame, config: ForestConfig) -> DataFrame:
     )
     ranked = Window.partitionBy("model", "tree").orderBy(
         F.pmod("_draw", F.lit(1 << 52)), "timestamp", "service")
+    # Growing a tree costs time, not bytes, so the groups are spread by number and not merged by their small size.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        gated.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= config.max_samples)
+        gated.repartition(tasks, "model", "tree").withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= config.max_samples)
         .drop("_p", "_n", "_row", "_draw")
     )
 
@@ -233,7 +235,7 @@ def raw_scores(df: DataFrame, nodes: DataFrame, config: ForestConfig, features:
     salts = rows.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("int").alias("_salts"))
     salted = rows.join(salts, "model").withColumn("_salt", F.pmod(F.xxhash64("timestamp", "service"), F.col("_salts")))
     copies = nodes.join(salts, "model").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).cast("bigint")).drop("_salts")
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts").cast("bigint") - 1))).drop("_salts")
 
     def score_group(pdf: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
         out = pdf[["timestamp", "service", "model"]].copy()
@@ -251,11 +253,10 @@ def score_thresholds(scores: DataFrame, contamination: float, by: str = "model",
 
 def fit_forest(train: DataFrame, config: ForestConfig = ForestConfig(), mode: str = "auto") -> ForestModel:
     """Medians, nodes and thresholds. The node table is written once so that scoring never grows trees again."""
-    from opslake.plans.sizing import settle
-
     features = [c for c in config.features if c in train.columns]
     if not features:
         raise ValueError("none of the configured features is present")
+    train = settle(train.select("timestamp", "service", *features), "train")
     medians = feature_medians(train, features, mode)
     nodes = fit_nodes(_inputs(train, config, features, medians), config, features)
     nodes = settle(nodes.coalesce(8) if not use_spread_plan(train, mode) else nodes, "forest")

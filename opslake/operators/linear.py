@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -10,8 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslake.operators.prep import scale, scaler_stats
+from opslake.plans.sizing import settle
 from opslake.schema import numeric_columns
 
+ROWS_PER_TASK = 50_000
 NOT_FEATURES = (
     "timestamp", "service", "is_incident", "is_root_cause", "incident_id", "incident_type", "is_incident_in_horizon",
     "severity", "description", "start_time", "detection_time", "end_time", "split",
@@ -63,6 +66,7 @@ def fit_linear(train: DataFrame, label: str, config: LinearConfig = LinearConfig
     Class weights n / (k * n_c) sum to n, so a strength C maps to regParam = 1 / (C * n). The label counts and scaler
     rows that come to the driver number one per class and one per feature.
     """
+    train = settle(train, "train")
     features = [c for c in config.features if c in train.columns] if config.features else numeric_columns(
         train, (*NOT_FEATURES, label))
     if not features:
@@ -82,7 +86,11 @@ def fit_linear(train: DataFrame, label: str, config: LinearConfig = LinearConfig
         same = F.col(label).cast("string") == c
         index = F.when(same, F.lit(float(i))).otherwise(index)
         weight = F.when(same, F.lit(n / (k * counts[c]) if config.balanced else 1.0)).otherwise(weight)
-    rows = _vectors(train, features, stats).select("_x", index.alias("_label"), weight.alias("_weight")).persist()
+    # Every iteration is one pass over these rows, so small inputs get few tasks.
+    rows = (
+        _vectors(train, features, stats).select("_x", index.alias("_label"), weight.alias("_weight"))
+        .coalesce(max(1, math.ceil(n / ROWS_PER_TASK))).persist()
+    )
     try:
         model = LogisticRegression(
             featuresCol="_x", labelCol="_label", weightCol="_weight", family="binomial" if k == 2 else "multinomial",

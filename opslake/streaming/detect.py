@@ -84,9 +84,11 @@ def label_batches(incidents: DataFrame, out: str) -> Callable[[DataFrame, int],
 
 def drift_batches(reference: DataFrame, out: str, features: list[str] | None = None,
                   config: DriftConfig = DriftConfig()) -> Callable[[DataFrame, int], None]:
-    """Compare every micro-batch with a fixed reference."""
+    """Compare every micro-batch that has rows with a fixed reference."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         feature_drift(reference, batch, features, config).withColumn("batch_id", F.lit(batch_id)).write.mode(
             "overwrite").parquet(f"{out}/{batch_id}")
 

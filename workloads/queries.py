@@ -334,13 +334,13 @@ def _labelled_features(spark, sf):
 
 @query
 def incident_predictions(spark, sf):
-    rows = prep.chronological_split(_labelled_features(spark, sf))
+    rows = settle(prep.chronological_split(_labelled_features(spark, sf)), "labelled")
     return predict_incidents(rows, fit_predictor(rows.where("split = 'train'")))
 
 
 @query
 def top_features_report(spark, sf):
-    rows = prep.chronological_split(_labelled_features(spark, sf))
+    rows = settle(prep.chronological_split(_labelled_features(spark, sf)), "labelled")
     return top_features(spark, fit_predictor(rows.where("split = 'train'")))
 
 
@@ -348,7 +348,7 @@ def top_features_report(spark, sf):
 def severity_predictions(spark, sf):
     t = I.faulty(spark, sf)
     lab = labels.severity_labels(t, I.incidents(spark)).where(F.col("severity").isNotNull())
-    rows = t.join(lab, ["timestamp", "service"])
+    rows = settle(t.join(lab, ["timestamp", "service"]), "labelled")
     return predict_severity(rows, fit_severity(rows))
 
 
