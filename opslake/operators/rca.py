@@ -62,7 +62,8 @@ def service_stats(rows: DataFrame, windows: DataFrame, topology: Topology, width
 
     used = ["timestamp", "service", "is_anomaly", "anomaly_score",
             *[c for c in ("connection_utilization", "error_rate") if c in rows.columns]]
-    seen = (
+    # One small row per (incident, service); several small steps read it, so it is written once.
+    seen = settle(
         pair_ranges(rows.select(*used), windows, False, width).groupBy("incident_id", "service").agg(
             F.count(F.lit(1)).alias("total_samples"),
             F.count_if("is_anomaly").alias("anomaly_count"),
@@ -70,8 +71,7 @@ def service_stats(rows: DataFrame, windows: DataFrame, topology: Topology, width
             F.avg("anomaly_score").alias("mean_anomaly_score"),
             F.max("anomaly_score").alias("max_anomaly_score"),
             peak("connection_utilization").alias("max_conn_util"),
-            peak("error_rate").alias("max_error_rate"))
-    )
+            peak("error_rate").alias("max_error_rate")), "stats")
     # A row of zeros per (incident with data, topology node) joins the measured rows in one more small aggregate.
     candidates = topology.nodes.where("listed").agg(F.collect_list("service")).scalar()
     blank = (
@@ -188,9 +188,7 @@ def rank_root_causes(telemetry: DataFrame, incidents: DataFrame, topology: Topol
         anomalies = detect_with_forest(telemetry)
     rows = with_anomalies(telemetry, anomalies)
     windows = evaluation_windows(incidents, start, end)
-    # One small row per (incident, candidate), used several times from here on.
-    stats = settle(service_stats(rows, close_windows(windows, telemetry), topology), "stats")
-    return rca_rank(rca_scores(stats, topology, config))
+    return rca_rank(rca_scores(service_stats(rows, close_windows(windows, telemetry), topology), topology, config))
 
 
 def top_k(ranked: DataFrame, k: int) -> DataFrame:

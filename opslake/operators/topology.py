@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslake.plans.sizing import settle
@@ -59,11 +60,7 @@ class Topology:
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A literal table that Catalyst knows the size of."""
     names = [c.split()[0] for c in schema.split(",")]
-    kinds = [c.split()[1] for c in schema.split(",")]
-    if not rows:
-        return spark.createDataFrame([], schema)
-    structs = [F.struct(*[F.lit(v).cast(k).alias(n) for v, n, k in zip(r, names, kinds)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return spark.createDataFrame(pd.DataFrame(rows, columns=names), schema) if rows else spark.createDataFrame([], schema)
 
 
 def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ class ZScoreConfig:
     epsilon: float = 1e-4
 
 
-def zscore_frame(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig(), mode: str = "auto") -> DataFrame:
-    """Key columns plus, per metric, the baseline mean and deviation of the rows before it and the absolute z-score."""
+def zscore_frame(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig(), mode: str = "auto",
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """Key columns, the columns to ``keep``, plus, per metric, the baseline mean and deviation of the rows before it and the absolute z-score."""
     metrics = [m for m in config.metrics if m in telemetry.columns]
-    keep = ["timestamp", "service", *metrics]
+    columns = list(dict.fromkeys(["timestamp", "service", *metrics, *keep]))
 
     def score(df: DataFrame, partition: list[str]) -> DataFrame:
         past = Window.partitionBy(*partition).orderBy("timestamp").rowsBetween(-config.window, -1)
@@ -38,22 +39,25 @@ def zscore_frame(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig(), mo
                 F.lit(0.0)).alias(f"{m}_z")
             for m in metrics])
 
-    return over_ordered(telemetry.select(*keep), ["service"], ["timestamp"], score, config.window,
+    return over_ordered(telemetry.select(*columns), ["service"], ["timestamp"], score, config.window,
                         time_slice(F.col("timestamp")), mode)
 
 
-def zscore_anomalies(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig(), mode: str = "auto") -> DataFrame:
-    """``timestamp, service, anomaly_score, is_anomaly, anomalous_metrics``.
+def zscore_anomalies(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig(), mode: str = "auto",
+                     keep: tuple[str, ...] = ()) -> DataFrame:
+    """``timestamp, service``, the columns to ``keep``, ``anomaly_score, is_anomaly, anomalous_metrics``.
+
+    With ``keep`` the telemetry is flagged in place, which saves joining the findings back to it.
 
     The score is the largest z-score rounded to 4 places and the flag uses the rounded score; the metric list uses the
     unrounded z-scores.
     """
     metrics = [m for m in config.metrics if m in telemetry.columns]
     if not metrics:
-        return telemetry.select("timestamp", "service", F.lit(0.0).alias("anomaly_score"),
+        return telemetry.select("timestamp", "service", *keep, F.lit(0.0).alias("anomaly_score"),
                                 F.lit(False).alias("is_anomaly"), F.lit("").alias("anomalous_metrics"))
-    z = zscore_frame(telemetry, config, mode)
+    z = zscore_frame(telemetry, config, mode, keep)
     score = F.round(greatest_of([F.col(f"{m}_z") for m in metrics]), 4)
     listed = F.concat_ws(",", *[F.when(F.col(f"{m}_z") >= config.threshold, F.lit(m)) for m in metrics])
-    return z.select("timestamp", "service", score.alias("anomaly_score"),
+    return z.select("timestamp", "service", *keep, score.alias("anomaly_score"),
                     (score >= config.threshold).alias("is_anomaly"), listed.alias("anomalous_metrics"))

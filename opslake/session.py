@@ -10,9 +10,10 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 def get_session(master: str | None = None, app: str = "opslake", shuffle_partitions: int | None = None,
                 driver_memory: str | None = None) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    # Recording the Python call site of every column expression can cost more than planning does.
+    builder = SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory:

@@ -369,7 +369,8 @@ def topology_depth(spark, sf):
 
 def _flagged(spark, sf):
     t = I.faulty(spark, sf)
-    return rca.with_anomalies(t, zscore.zscore_anomalies(t).drop("anomalous_metrics"))
+    kept = tuple(tsource.metric_columns(t))
+    return rca.with_anomalies(zscore.zscore_anomalies(t, keep=kept).drop("anomalous_metrics"))
 
 
 def _windows(spark, sf):
@@ -377,7 +378,7 @@ def _windows(spark, sf):
 
 
 def _stats(spark, sf):
-    return settle(rca.service_stats(_flagged(spark, sf), _windows(spark, sf), topology.Topology.from_map(spark)), "stats")
+    return rca.service_stats(_flagged(spark, sf), _windows(spark, sf), topology.Topology.from_map(spark))
 
 
 def _ranked(spark, sf):
@@ -410,9 +411,7 @@ def rca_top_k(spark, sf):
 
 @query
 def rca_explanations(spark, sf):
-    t = I.faulty(spark, sf)
-    found = zscore.zscore_anomalies(t).drop("anomalous_metrics")
-    done = explain.explain_root_causes(t, I.all_incidents(spark, sf), topology.Topology.from_map(spark), found)
+    done = explain.explain_root_causes(_flagged(spark, sf), I.all_incidents(spark, sf), topology.Topology.from_map(spark))
     return done.select("incident_id", "probable_root_cause", "confidence", "summary",
                        F.coalesce(F.size("candidates"), F.lit(0)).alias("n_candidates"))
 
