@@ -36,7 +36,7 @@ def incident_labels(telemetry: DataFrame, incidents: DataFrame, width: int = SLI
     ).select("service", "ord", "from_ts", "to_ts", "incident_id", "incident_type",
              F.array_contains("_affected", F.col("service")).alias("hit"),
              F.coalesce(F.col("_root") == F.col("service"), F.lit(False)).alias("root"))
-    rows = attach_ranges(telemetry.select("timestamp", "service"), ranges, True, "_hits", width)
+    rows = attach_ranges(telemetry.select("timestamp", "service"), ranges, True, "_hits", width, apart=("hit", "root"))
     last = _last(F.filter("_hits", lambda r: r["hit"]))
     return rows.select(
         "timestamp", "service",

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opslake.functions.scalars import greatest_of
-from opslake.plans.slicing import over_ordered, time_slice
+from opslake.plans.slicing import fitting_time_slice, over_ordered
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ def zscore_frame(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig(), mo
             for m in metrics])
 
     return over_ordered(telemetry.select(*columns), ["service"], ["timestamp"], score, config.window,
-                        time_slice(F.col("timestamp")), mode)
+                        fitting_time_slice("timestamp", ["service"]), mode)
 
 
 def zscore_anomalies(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig(), mode: str = "auto",

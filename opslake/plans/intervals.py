@@ -5,51 +5,77 @@ instead of rows x incidents comparisons.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opslake.plans.sizing import broadcast_if_small
+from opslake.plans.sizing import BROADCAST_ROWS, has_at_most
 from opslake.plans.slicing import time_slice
 
 SLICE_SECONDS = 6 * 3600
+SALTS = 64
+
+
+def spread_ranges(ranges: DataFrame, width: int = SLICE_SECONDS, cut: bool = False) -> DataFrame:
+    """One row per (range, slice it touches); empty ranges give none.
+
+    ``cut`` trims each piece to its slice, so that all ranges that cover a slice whole look alike in it.
+    """
+    ok = ranges.where(F.col("from_ts") <= F.col("to_ts"))
+    pieces = ok.withColumn("_slice", F.explode(F.sequence(
+        time_slice(F.col("from_ts"), width), time_slice(F.col("to_ts"), width))))
+    if not cut:
+        return pieces
+    kind = ranges.schema["from_ts"].dataType
+    begin, end = (F.timestamp_seconds((F.col("_slice") + k) * width).cast(kind) for k in (0, 1))
+    return pieces.withColumn("from_ts", F.greatest("from_ts", begin)).withColumn("to_ts", F.least("to_ts", end))
+
 
+def _join_slices(rows: DataFrame, index: DataFrame, by: list[str], how: str, max_rows: int) -> DataFrame:
+    """Broadcast the index when it was counted to be small.
 
-def spread_ranges(ranges: DataFrame, start: str = "from_ts", end: str = "to_ts", width: int = SLICE_SECONDS) -> DataFrame:
-    """One row per (range, slice it touches); empty ranges give none."""
-    ok = ranges.where(F.col(start) <= F.col(end))
-    return ok.withColumn("_slice", F.explode(F.sequence(time_slice(F.col(start), width), time_slice(F.col(end), width))))
+    A larger one is met by a merge join on salted slices: there are few slices compared with rows, so each is spread over
+    ``SALTS`` tasks, and the index, small beside the rows, is copied to them.
+    """
+    if has_at_most(index, max_rows):
+        return rows.join(F.broadcast(index), by, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("timestamp", "service"), F.lit(SALTS)))
+    copies = index.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    return salted.join(copies.hint("merge"), [*by, "_salt"], how).drop("_salt")
+
+
+def _covers(ts: Column, start: Column, end: Column, until_open: bool) -> Column:
+    return (ts >= start) & ((ts < end) if until_open else (ts <= end))
 
 
 def attach_ranges(rows: DataFrame, ranges: DataFrame, on_service: bool, out: str, width: int = SLICE_SECONDS,
-                  until_open: bool = False) -> DataFrame:
-    """Add the array ``out`` with the ranges covering each row, in ``ord`` order.
+                  until_open: bool = False, apart: Sequence[str] = (), max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Add the array ``out`` with ranges covering each row, in ``ord`` order, or null where no range touches the slice.
 
-    ``ranges`` has ``from_ts, to_ts, ord`` (and ``service`` when ``on_service``) plus payload columns. There is at most one
-    index row per (slice[, service]), so rows are never multiplied and need no regrouping afterwards. A row whose slice no
-    range touches gets null.
+    ``ranges`` has ``from_ts, to_ts, ord`` (and ``service`` when ``on_service``) plus payload columns. Of ranges that are
+    alike within a slice, also in the columns ``apart``, only the one with the greatest ``ord`` is kept: later ones win,
+    and copies or crowds of long incidents shrink to one entry before anything is collected. There is at most one index
+    row per (slice[, service]), so rows are never multiplied and need no regrouping afterwards.
     """
     by = ["_slice"] + (["service"] if on_service else [])
-    payload = [c for c in ranges.columns if c not in ("service", "ord")]
-    index = (
-        spread_ranges(ranges, width=width).groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct("ord", *payload))).alias("_ranges"))
+    bounds = ["from_ts", "to_ts", *apart]
+    payload = [c for c in ranges.columns if c not in ("service", "ord", *bounds)]
+    alike = (
+        spread_ranges(ranges, width, cut=True).groupBy(*by, *bounds)
+        .agg(F.max(F.struct("ord", *payload)).alias("_last"))
     )
-    joined = rows.withColumn("_slice", time_slice(F.col("timestamp"), width)).join(broadcast_if_small(index), by, "left")
+    entry = F.struct("_last.ord", *bounds, *[f"_last.{c}" for c in payload])
+    index = alike.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_ranges"))
+    joined = _join_slices(rows.withColumn("_slice", time_slice(F.col("timestamp"), width)), index, by, "left", max_rows)
     ts = F.col("timestamp")
-
-    def covers(r: Column) -> Column:
-        return (ts >= r["from_ts"]) & ((ts < r["to_ts"]) if until_open else (ts <= r["to_ts"]))
-
-    return joined.withColumn(out, F.filter("_ranges", covers)).drop("_ranges", "_slice")
+    hits = F.filter("_ranges", lambda r: _covers(ts, r["from_ts"], r["to_ts"], until_open))
+    return joined.withColumn(out, hits).drop("_ranges", "_slice")
 
 
 def pair_ranges(rows: DataFrame, ranges: DataFrame, on_service: bool, width: int = SLICE_SECONDS,
-                until_open: bool = False) -> DataFrame:
+                until_open: bool = False, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join: one row per (row, covering range), for aggregates keyed by the range."""
     by = ["_slice"] + (["service"] if on_service else [])
-    index = broadcast_if_small(spread_ranges(ranges, width=width))
     ts = F.col("timestamp")
-    upper = (ts < F.col("to_ts")) if until_open else (ts <= F.col("to_ts"))
-    return (
-        rows.withColumn("_slice", time_slice(ts, width)).join(index, by)
-        .where((ts >= F.col("from_ts")) & upper).drop("_slice")
-    )
+    joined = _join_slices(rows.withColumn("_slice", time_slice(ts, width)), spread_ranges(ranges, width), by, "inner", max_rows)
+    return joined.where(_covers(ts, F.col("from_ts"), F.col("to_ts"), until_open)).drop("_slice")

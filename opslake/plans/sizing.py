@@ -34,14 +34,17 @@ def use_spread_plan(df: DataFrame, mode: str) -> bool:
     return mode == "spread" or (mode == "auto" and not fits_one_task(df))
 
 
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """Count up to the limit, no further."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side only after counting that it has at most ``max_rows`` rows.
 
     Above that the side is left to a sort-merge join, so nothing that grows with the data is shipped to every executor.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df.hint("merge")
+    return F.broadcast(df) if has_at_most(df, max_rows) else df.hint("merge")
 
 
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:

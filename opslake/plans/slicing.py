@@ -21,18 +21,33 @@ def time_slice(ts: Column, seconds: int = DAY) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(seconds)).cast("bigint")
 
 
+def fitting_time_slice(ts: str, keys: Sequence[str], target_rows: int = 1_000_000) -> Callable[[DataFrame], Column]:
+    """Days, or shorter slices if some (key, day) has more than ``target_rows`` rows.
+
+    The fullest day is found by one grouped count over the key and time columns.
+    """
+
+    def choose(df: DataFrame) -> Column:
+        per_day = df.groupBy(*keys, time_slice(F.col(ts)).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+        fullest = per_day.agg(F.max("_n")).first()[0] or 0
+        return time_slice(F.col(ts), max(1, min(DAY, DAY * target_rows // max(fullest, 1))))
+
+    return choose
+
+
 def over_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  compute: Callable[[DataFrame, list[str]], DataFrame], lookback: int,
-                 slice_by: Column, mode: str = "auto") -> DataFrame:
+                 slice_by: Column | Callable[[DataFrame], Column], mode: str = "auto") -> DataFrame:
     """Run ``compute(frame, partition_columns)``, whose windows look back at most ``lookback`` rows.
 
-    ``slice_by`` must not decrease along ``order``; rows with equal slice go to one task.
+    ``slice_by``, or what it makes of the frame, must not decrease along ``order``; rows with equal slice go to one task.
     """
     keys, order = list(keys), list(order)
     if not use_spread_plan(df, mode):
         return compute(df, keys)
 
-    rows = settle(df).withColumn("_slice", slice_by)
+    df = settle(df)
+    rows = df.withColumn("_slice", slice_by(df) if callable(slice_by) and not isinstance(slice_by, Column) else slice_by)
     halo = _halo_rows(rows, keys, order, lookback)
     both = rows.withColumn("_halo", F.lit(False)).unionByName(halo)
     return compute(both, keys + ["_slice"]).where(~F.col("_halo")).drop("_halo", "_slice")

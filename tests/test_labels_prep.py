@@ -54,6 +54,34 @@ def test_labels_do_not_depend_on_slice_width(telemetry, incidents):
     assert got[0] == got[1] == got[2]
 
 
+def test_salted_merge_join_equals_broadcast(telemetry, incidents):
+    from opslake.plans.intervals import attach_ranges, pair_ranges
+
+    t = telemetry([(i * 300, s, {}) for i in range(60) for s in ("database", "api_gateway")]).select("timestamp", "service")
+    inc = incidents(*[{"root": "database", "start": i * 900, "end": i * 900 + 4000, "id": str(i % 3)} for i in range(15)])
+    ranges = inc.select("ord", "incident_id", F.col("start_time").alias("from_ts"), F.col("end_time").alias("to_ts"))
+    named = ranges.withColumn("service", F.lit("database"))
+    for r, on in ((ranges, False), (named, True)):
+        got = [rows_of(attach_ranges(t, r, on, "hits", 3600, max_rows=m).select("timestamp", "service", "hits"),
+                       "timestamp", "service") for m in (10**6, 0)]
+        assert got[0] == got[1]
+        got = [rows_of(pair_ranges(t, r, on, 3600, max_rows=m).select("timestamp", "service", "ord"), "timestamp", "service", "ord")
+               for m in (10**6, 0)]
+        assert got[0] == got[1] and len(got[0]) > 60
+
+
+def test_copies_shrink_but_the_last_one_wins(telemetry, incidents):
+    from opslake.plans.intervals import attach_ranges
+
+    t = _series(telemetry, 6)
+    inc = incidents(*[{"root": "database", "start": 0, "end": 40 * MIN, "id": str(i)} for i in range(50)])
+    ranges = inc.select("ord", "incident_id", F.col("root_cause_service").alias("service"), F.col("start_time").alias("from_ts"),
+                        F.col("end_time").alias("to_ts"))
+    hits = [r.hits for r in attach_ranges(t, ranges, True, "hits").orderBy("timestamp").collect()]
+    assert [[h.incident_id for h in x] for x in hits] == [["49"]] * 5 + [[]]
+    assert [r[4] for r in rows_of(incident_labels(t, inc), "timestamp")] == ["49"] * 5 + [None]
+
+
 def test_active_window_and_slice_before(telemetry, incidents):
     t = _series(telemetry, 4)
     inc = incidents({"root": "api_gateway", "affected": ["api_gateway"], "start": 10 * MIN, "end": 20 * MIN, "severity": "High"})

@@ -96,6 +96,15 @@ def test_halo_reaches_over_thin_and_thick_slices(telemetry):
         assert rows_of(spread.select("timestamp", "service", "latency_ms", "seen"), "timestamp", "service") == plain
 
 
+def test_slices_shrink_for_a_busy_service(telemetry):
+    from opslake.plans.slicing import fitting_time_slice
+
+    t = telemetry([(i * 60, "database", {}) for i in range(1440)])
+    sizes = [t.groupBy(fitting_time_slice("timestamp", ["service"], n)(t).alias("s")).count().agg(F.max("count")).first()[0]
+             for n in (10_000, 100)]
+    assert sizes == [1440, 100]
+
+
 def test_running_totals_and_quantiles_on_a_hot_group(spark):
     rnd = random.Random(3)
     rows = [("hot" if rnd.random() < 0.7 else f"g{rnd.randrange(4)}", rnd.randrange(60) / 4) for _ in range(900)]
