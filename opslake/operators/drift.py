@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from opslake.operators.prep import long_values
 from opslake.plans.ordering import quantile_from_totals, running_totals
+from opslake.plans.sizing import settle
 from opslake.schema import numeric_columns
 
 
@@ -110,8 +111,8 @@ def feature_drift(reference: DataFrame, current: DataFrame, features: Sequence[s
         *[F.struct(F.lit(c).alias("feature"), F.lit(c in missing).alias("missing")) for c in [*shared, *missing]])).alias("f")
     ).select("f.*")
     if shared:
-        counts = value_counts(reference, current, shared, mode)
-        shape = feature_shape(counts, config)
+        counts = settle(value_counts(reference, current, shared, mode), "counts")
+        shape = settle(feature_shape(counts, config), "shape")
         measured = shape.join(psi_values(counts, shape, config), "feature").drop("edges")
     else:
         measured = spark.createDataFrame([], (

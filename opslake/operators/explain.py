@@ -255,6 +255,7 @@ def explain_root_causes(telemetry: DataFrame, incidents: DataFrame, topology: To
     """Rank and explain in one call, over the topology of the ranking."""
     from opslake.operators.rca import close_windows, evaluation_windows, rank_root_causes
 
+    incidents, telemetry = settle(incidents, "incidents"), settle(telemetry, "flagged")
     ranked = settle(rank_root_causes(telemetry, incidents, topology, anomalies), "ranked")
     windows = close_windows(evaluation_windows(incidents), telemetry)
     return explain_incidents(incidents, explain_candidates(ranked, telemetry, windows, topology, config))

@@ -127,29 +127,40 @@ def draw_samples(rows: DataFrame, config: ForestConfig) -> DataFrame:
     )
 
 
-def _grow(values: np.ndarray, rng: np.random.Generator) -> list[tuple]:
-    """Nodes (id, feature, threshold, left, right, depth, size) of one random isolation tree; leaves have feature -1."""
+def _grow(values: np.ndarray, rng: np.random.Generator) -> pd.DataFrame:
+    """One random isolation tree, grown a level at a time; leaves have feature -1.
+
+    Rows are kept in node order, so the ranges of all nodes of a level come from one segmented minimum and maximum.
+    """
     limit = math.ceil(math.log2(max(len(values), 2)))
-    nodes: list[tuple] = []
-    todo = [(0, np.arange(len(values)), 0)]
-    used = 1
-    while todo:
-        node, rows, depth = todo.pop()
+    rows, starts, ids = np.arange(len(values)), np.array([0]), np.array([0])
+    used, levels = 1, []
+    for depth in range(limit + 1):
         part = values[rows]
-        low, high = part.min(axis=0), part.max(axis=0)
-        open_features = np.flatnonzero(high > low)
-        if depth >= limit or len(rows) < 2 or not len(open_features):
-            nodes.append((node, -1, 0.0, -1, -1, depth, len(rows)))
-            continue
-        f = int(rng.choice(open_features))
-        cut = float(rng.uniform(low[f], high[f]))
-        if cut >= high[f]:
-            cut = float(low[f])
-        goes_left = part[:, f] <= cut
-        nodes.append((node, f, cut, used, used + 1, depth, len(rows)))
-        todo += [(used + 1, rows[~goes_left], depth + 1), (used, rows[goes_left], depth + 1)]
-        used += 2
-    return nodes
+        low, high = np.minimum.reduceat(part, starts), np.maximum.reduceat(part, starts)
+        sizes = np.diff(np.append(starts, len(rows)))
+        is_open = high > low
+        splits = is_open.any(axis=1) & (depth < limit)
+        draw = np.where(is_open, rng.random(is_open.shape), -1.0)
+        feature = np.where(splits, draw.argmax(axis=1), -1)
+        at = np.arange(len(ids)), np.maximum(feature, 0)
+        span = high[at] - low[at]
+        cut = low[at] + rng.random(len(ids)) * span
+        cut = np.where(splits, np.where(cut >= high[at], low[at], cut), 0.0)
+        left = np.where(splits, used + 2 * (np.cumsum(splits) - 1), -1)
+        levels.append(pd.DataFrame({"node": ids, "feature": feature, "threshold": cut, "left": left,
+                                    "right": np.where(splits, left + 1, -1), "depth": depth, "size": sizes}))
+        if not splits.any():
+            break
+        node_of = np.repeat(np.arange(len(ids)), sizes)
+        inner = splits[node_of]
+        goes_right = values[rows, np.maximum(feature[node_of], 0)] > cut[node_of]
+        child = np.where(goes_right, left[node_of] + 1, left[node_of])[inner]
+        order = np.argsort(child, kind="stable")
+        rows, child = rows[inner][order], child[order]
+        ids, starts = np.unique(child, return_index=True)
+        used += 2 * int(splits.sum())
+    return pd.concat(levels, ignore_index=True)
 
 
 def fit_nodes(rows: DataFrame, config: ForestConfig, features: list[str]) -> DataFrame:
@@ -160,8 +171,7 @@ def fit_nodes(rows: DataFrame, config: ForestConfig, features: list[str]) -> Dat
         pdf = pdf.sort_values("_rank")
         model, tree = str(pdf["model"].iloc[0]), int(pdf["tree"].iloc[0])
         digest = hashlib.sha256(f"{seed}/{model}/{tree}".encode()).digest()
-        nodes = _grow(pdf[names].to_numpy(dtype=float), np.random.default_rng(int.from_bytes(digest[:8], "big")))
-        out = pd.DataFrame(nodes, columns=["node", "feature", "threshold", "left", "right", "depth", "size"])
+        out = _grow(pdf[names].to_numpy(dtype=float), np.random.default_rng(int.from_bytes(digest[:8], "big")))
         out.insert(0, "tree", tree)
         out.insert(0, "model", model)
         out["sample"] = len(pdf)
@@ -280,6 +290,7 @@ def predict_forest(df: DataFrame, model: ForestModel, mode: str = "auto") -> Dat
 def detect_with_forest(telemetry: DataFrame, config: ForestConfig = ForestConfig(), train: DataFrame | None = None,
                        incidents: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """Fit on ``train``; else on rows before the first incident if there are at least 10; else on everything."""
+    telemetry = settle(telemetry.select("timestamp", "service", *[c for c in config.features if c in telemetry.columns]))
     if train is None and incidents is not None:
         early = before_incidents(telemetry, incidents)
         train = early if early.limit(10).count() == 10 else None

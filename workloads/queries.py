@@ -529,7 +529,7 @@ def metric_degradation(spark, sf):
 def _counts(spark, sf, mode="auto"):
     ref, cur = I.drift_sides(spark, sf)
     shared, _ = drift.compared_features(ref, cur)
-    return drift.value_counts(ref, cur, shared, mode)
+    return settle(drift.value_counts(ref, cur, shared, mode), "counts")
 
 
 @query
