@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from opslake.plans.sizing import settle, use_spread_plan
 from opslake.plans.slicing import fitting_time_slice, over_ordered
 from opslake.schema import require
 
@@ -68,16 +69,18 @@ def interaction_features(telemetry: DataFrame, config: FeatureConfig = FeatureCo
         (F.col("network_in_mbps") / (F.col("network_out_mbps") + eps)).alias("traffic_ratio_in_out"))
 
 
-def cross_service_features(telemetry: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:
+def cross_service_features(telemetry: DataFrame, config: FeatureConfig = FeatureConfig(), mode: str = "auto") -> DataFrame:
     """System-wide statistics per timestamp, sent back to each row.
 
-    Grouping first keeps the exchange to one small row per timestamp; the wide rows move only if that side is too big to
-    broadcast, which Spark decides from its measured size.
+    Grouping first keeps the exchange to one small row per timestamp. On large inputs that table is written, so that Spark
+    knows its size when it plans the join and moves the wide rows only if it is too big to broadcast.
     """
     per_time = telemetry.groupBy("timestamp").agg(
         F.avg("latency_ms").alias("system_mean_latency"),
         F.max("error_rate").alias("system_max_error_rate"),
         F.avg("cpu_usage_pct").alias("system_mean_cpu"))
+    if use_spread_plan(telemetry, mode):
+        per_time = settle(per_time, "per_time")
     joined = telemetry.join(per_time, "timestamp", "left")
     return joined.withColumn("latency_to_system_mean_ratio",
                              F.col("latency_ms") / (F.col("system_mean_latency") + F.lit(config.epsilon)))
@@ -88,5 +91,5 @@ def extract_features(telemetry: DataFrame, config: FeatureConfig = FeatureConfig
     require(telemetry)
     rows = interaction_features(telemetry, config)
     if config.cross_service:
-        rows = cross_service_features(rows, config)
+        rows = cross_service_features(rows, config, mode)
     return history_features(rows, config, mode)

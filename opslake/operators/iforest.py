@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from opslake.functions.scalars import finite
 from opslake.plans.ordering import quantiles
-from opslake.plans.sizing import settle, use_spread_plan
+from opslake.plans.sizing import broadcast_if_small, settle, use_spread_plan
 from opslake.operators.labels import before_incidents
 
 EULER_GAMMA = 0.5772156649015329
@@ -102,7 +102,8 @@ def draw_samples(rows: DataFrame, config: ForestConfig) -> DataFrame:
     n = F.col("_n").cast("double")
     want = F.lit(OVERDRAW * config.max_samples)
     pool = F.least(F.lit(1.0), F.lit(4.0 * config.trees) * want / n)
-    sizes = rows.groupBy("model").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
+    sizes = broadcast_if_small(settle(
+        rows.groupBy("model").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2), "sizes"))
     key = [F.col("timestamp"), F.col("service")]
 
     def unit(*parts):
@@ -242,7 +243,8 @@ def raw_scores(df: DataFrame, nodes: DataFrame, config: ForestConfig, features:
 
         return rows.mapInPandas(score_batches, schema)
 
-    salts = rows.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("int").alias("_salts"))
+    salts = broadcast_if_small(settle(
+        rows.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("int").alias("_salts")), "salts"))
     salted = rows.join(salts, "model").withColumn("_salt", F.pmod(F.xxhash64("timestamp", "service"), F.col("_salts")))
     copies = nodes.join(salts, "model").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts").cast("bigint") - 1))).drop("_salts")

@@ -52,15 +52,18 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
 def scaler_stats(train: DataFrame, columns: Sequence[str], mode: str = "auto") -> DataFrame:
     """Per feature: exact median, then mean and population deviation after imputing with it (median of nothing is 0).
 
-    Mean and deviation after imputation follow from the count, sum and spread of the present values, so one grouped pass
-    beside the quantiles is enough.
+    Mean and deviation after imputation follow from the count, mean and spread of the present values, so one wide
+    aggregation beside the quantiles is enough.
     """
-    values = long_values(train, columns)
-    medians = quantiles(values, ["feature"], "value", {"median": 0.5}, mode)
-    moments = values.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("present"),
-        F.coalesce(F.avg("value"), F.lit(0.0)).alias("avg"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("var"))
-    joined = moments.join(medians, "feature", "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
+    medians = quantiles(long_values(train, columns), ["feature"], "value", {"median": 0.5}, mode)
+    zero = F.lit(0.0)
+    sums = train.agg(F.count(F.lit(1)).alias("n"), *[
+        F.struct(F.count(finite(F.col(c))).alias("present"), F.coalesce(F.avg(finite(F.col(c))), zero).alias("avg"),
+                 F.coalesce(F.var_pop(finite(F.col(c))), zero).alias("var")).alias(c) for c in columns])
+    moments = sums.select("n", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`.present").alias("present"), F.col(f"`{c}`.avg").alias("avg"),
+                 F.col(f"`{c}`.var").alias("var")) for c in columns])))
+    joined = moments.join(medians, "feature", "left").withColumn("median", F.coalesce("median", zero))
     share = F.col("present") / F.col("n")
     gap = F.col("avg") - F.col("median")
     return joined.select(

@@ -31,13 +31,13 @@ def spread_ranges(ranges: DataFrame, width: int = SLICE_SECONDS, cut: bool = Fal
     return pieces.withColumn("from_ts", F.greatest("from_ts", begin)).withColumn("to_ts", F.least("to_ts", end))
 
 
-def _join_slices(rows: DataFrame, index: DataFrame, by: list[str], how: str, max_rows: int) -> DataFrame:
-    """Broadcast the index when it was counted to be small.
+def _join_slices(rows: DataFrame, index: DataFrame, by: list[str], how: str, small: bool) -> DataFrame:
+    """Broadcast the index when its pieces were counted to be few.
 
     A larger one is met by a merge join on salted slices: there are few slices compared with rows, so each is spread over
     ``SALTS`` tasks, and the index, small beside the rows, is copied to them.
     """
-    if has_at_most(index, max_rows):
+    if small:
         return rows.join(F.broadcast(index), by, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("timestamp", "service"), F.lit(SALTS)))
     copies = index.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
@@ -66,7 +66,8 @@ def attach_ranges(rows: DataFrame, ranges: DataFrame, on_service: bool, out: str
     )
     entry = F.struct("_last.ord", *bounds, *[f"_last.{c}" for c in payload])
     index = alike.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("_ranges"))
-    joined = _join_slices(rows.withColumn("_slice", time_slice(F.col("timestamp"), width)), index, by, "left", max_rows)
+    joined = _join_slices(rows.withColumn("_slice", time_slice(F.col("timestamp"), width)), index, by, "left",
+                          has_at_most(alike, max_rows))
     ts = F.col("timestamp")
     hits = F.filter("_ranges", lambda r: _covers(ts, r["from_ts"], r["to_ts"], until_open))
     return joined.withColumn(out, hits).drop("_ranges", "_slice")
@@ -77,5 +78,6 @@ def pair_ranges(rows: DataFrame, ranges: DataFrame, on_service: bool, width: int
     """Inner join: one row per (row, covering range), for aggregates keyed by the range."""
     by = ["_slice"] + (["service"] if on_service else [])
     ts = F.col("timestamp")
-    joined = _join_slices(rows.withColumn("_slice", time_slice(ts, width)), spread_ranges(ranges, width), by, "inner", max_rows)
+    index = spread_ranges(ranges, width)
+    joined = _join_slices(rows.withColumn("_slice", time_slice(ts, width)), index, by, "inner", has_at_most(index, max_rows))
     return joined.where(_covers(ts, F.col("from_ts"), F.col("to_ts"), until_open)).drop("_slice")

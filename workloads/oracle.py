@@ -539,6 +539,11 @@ BODIES = {
     "rca_rank": """
         SELECT incident_id, service, rank, score, anomaly_count, raw_score > 0 AS is_root_cause_candidate FROM ranked""",
     "rca_top_k": "SELECT incident_id, rank, service FROM ranked WHERE rank <= 3",
+    "rca_root_causes": """
+        SELECT i.incident_id, CASE WHEN r.score > 0 THEN r.service END AS probable_root_cause,
+               CASE WHEN r.score > 0 AND r.anomaly_count > 0 THEN CASE WHEN r.score >= 0.45 OR r.margin >= 0.15 THEN 'HIGH'
+                    WHEN r.score >= 0.30 THEN 'MEDIUM' ELSE 'LOW' END ELSE 'LOW' END AS confidence
+        FROM allinc i LEFT JOIN (SELECT * FROM conff WHERE rank = 1) r USING (incident_id)""",
     "evidence_metrics": """
         SELECT incident_id, service, metric, round(peak, 4) AS peak_value, round(mean, 4) AS mean_value FROM evid""",
     "evidence_signals": """
@@ -572,6 +577,11 @@ BODIES = {
     "anomaly_metrics": f"""
         SELECT total_samples, tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives,
                0::BIGINT AS unmatched, {RATES}, {FPR} FROM conf""",
+    "zscore_benchmark": f"""
+        SELECT 'statistical_baseline' AS detector, {RATES}, {FPR}, (
+          SELECT round(avg(d), 2) FROM (SELECT epoch(min(z."timestamp")) - epoch(any_value(i.start_time)) AS d
+            FROM zf z JOIN inc i ON z."timestamp" BETWEEN i.start_time AND i.end_time AND z.service = i.root_cause_service
+            WHERE z.is_anomaly GROUP BY i.incident_id)) AS detection_delay_seconds FROM conf""",
     "detection_delay": """
         SELECT i.incident_id, epoch(min(z."timestamp")) - epoch(any_value(i.start_time)) AS delay_seconds
         FROM zf z JOIN allinc i ON z."timestamp" BETWEEN i.start_time AND i.end_time AND z.service = i.root_cause_service

@@ -416,6 +416,13 @@ def rca_explanations(spark, sf):
                        F.coalesce(F.size("candidates"), F.lit(0)).alias("n_candidates"))
 
 
+@query
+def rca_root_causes(spark, sf):
+    """The verdict per incident, without the texts."""
+    done = explain.explain_root_causes(_flagged(spark, sf), I.all_incidents(spark, sf), topology.Topology.from_map(spark))
+    return done.select("incident_id", "probable_root_cause", "confidence")
+
+
 @query
 def evidence_metrics(spark, sf):
     m = explain.evidence_metrics(I.faulty(spark, sf), _windows(spark, sf))
@@ -464,6 +471,17 @@ def anomaly_metrics(spark, sf):
     return metrics.anomaly_metrics(*_detected(spark, sf))
 
 
+@query
+def zscore_benchmark(spark, sf):
+    """The statistical row of the detector comparison: rates and the mean delay."""
+    flagged, truth = _detected(spark, sf)
+    delay = metrics.mean_detection_delay(metrics.detection_delays(flagged, I.incidents(spark)))
+    return metrics.anomaly_metrics(flagged, truth).withColumn(
+        "detection_delay_seconds", delay.select("detection_delay_seconds").scalar()).select(
+        F.lit("statistical_baseline").alias("detector"), "precision", "recall", "f1_score", "false_positive_rate",
+        "detection_delay_seconds")
+
+
 @query
 def detection_delay(spark, sf):
     return metrics.detection_delays(_detected(spark, sf)[0], I.all_incidents(spark, sf))
