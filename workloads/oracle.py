@@ -242,55 +242,6 @@ CTES = {
         FROM (SELECT z.anomaly_score AS s, count(*) FILTER (WHERE l.is_incident) AS pos,
                      count(*) FILTER (WHERE NOT l.is_incident) AS neg
               FROM zf z JOIN lab l USING ("timestamp", service) GROUP BY 1)""",
-    "dref": f"""
-        SELECT feature, value FROM (
-          SELECT {', '.join(f'{m}::DOUBLE AS {m}' for m in METRICS)}, 7::DOUBLE AS flat, 10::DOUBLE AS jump
-          FROM tel WHERE "timestamp" < TIMESTAMP '2024-01-08 00:00:00')
-        UNPIVOT (value FOR feature IN ({ALL_METRICS}, flat, jump))""",
-    "dcur": f"""
-        SELECT feature, value FROM (
-          SELECT {', '.join(f'{m}::DOUBLE AS {m}' for m in METRICS)}, 7::DOUBLE AS flat, 20::DOUBLE AS jump
-          FROM flt WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-09 00:00:00')
-        UNPIVOT (value FOR feature IN ({ALL_METRICS}, flat, jump))""",
-    "vc": """
-        SELECT feature, value, sum(r) AS rn, sum(c) AS cn FROM (
-          SELECT feature, value, 1 AS r, 0 AS c FROM dref UNION ALL SELECT feature, value, 0, 1 FROM dcur) GROUP BY 1, 2""",
-    "ks": """
-        SELECT feature, max(rt)::BIGINT AS ref_count, max(ct)::BIGINT AS cur_count, max(abs(cr / rt - cc / ct)) AS d
-        FROM (SELECT *, sum(rn) OVER w AS cr, sum(cn) OVER w AS cc, sum(rn) OVER (PARTITION BY feature) AS rt,
-                     sum(cn) OVER (PARTITION BY feature) AS ct
-              FROM vc WINDOW w AS (PARTITION BY feature ORDER BY value)) GROUP BY 1""",
-    "ksp": """
-        SELECT *, CASE WHEN sqrt(l2) < 0.2 THEN 1 ELSE least(1::DOUBLE, greatest(0::DOUBLE, 2 * list_sum(list_transform(
-                 range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2::DOUBLE * k * k * l2))))) END AS p
-        FROM (SELECT *, d * d * (ref_count::DOUBLE * cur_count / (ref_count + cur_count)) AS l2 FROM ks)""",
-    "edge": """
-        SELECT feature, list_sort(list_distinct(quantile_cont(value, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e,
-               min(value) AS lo, max(value) AS hi, count(*) AS rt FROM dref GROUP BY 1""",
-    "bins": """
-        SELECT v.feature, len(list_filter(e.e[2:len(e.e) - 1], lambda x: x <= v.value)) AS bin,
-               greatest(sum(rn)::DOUBLE / any_value(e.rt), 0.0001::DOUBLE) AS r,
-               greatest(sum(cn)::DOUBLE / any_value(t.ct), 0.0001::DOUBLE) AS c
-        FROM vc v JOIN edge e USING (feature) JOIN (SELECT feature, sum(cn) AS ct FROM vc GROUP BY 1) t USING (feature)
-        GROUP BY 1, 2""",
-    "psi": """
-        SELECT b.feature, CASE WHEN any_value(e.lo) = any_value(e.hi)
-                 THEN CASE WHEN any_value(c.lo) = any_value(e.lo) AND any_value(c.hi) = any_value(e.lo) THEN 0 ELSE 1 END
-                 ELSE sum((b.c / b.ct - b.r / b.rt) * ln((b.c / b.ct) / (b.r / b.rt))) END AS psi,
-               any_value(e.lo) AS lo, any_value(e.hi) AS hi, any_value(c.lo) AS clo, any_value(c.hi) AS chi
-        FROM (SELECT *, sum(r) OVER (PARTITION BY feature) AS rt, sum(c) OVER (PARTITION BY feature) AS ct FROM bins) b
-             JOIN edge e USING (feature)
-             JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM dcur GROUP BY 1) c USING (feature) GROUP BY 1""",
-    "verdict": """
-        SELECT feature,
-               CASE WHEN lo = hi AND clo = chi THEN CASE WHEN lo = clo THEN 'NO_DRIFT' ELSE 'DRIFT' END
-                    WHEN psi >= 0.2 OR (p < 0.05 AND d >= 0.2) THEN 'DRIFT'
-                    WHEN psi >= 0.1 OR (p < 0.05 AND d >= 0.1) THEN 'WARNING' ELSE 'NO_DRIFT' END AS status,
-               CASE WHEN lo = hi AND clo = chi THEN CASE WHEN lo = clo THEN 0 ELSE 1 END ELSE round(psi, 4) END AS psi,
-               CASE WHEN lo = hi AND clo = chi THEN CASE WHEN lo = clo THEN 0 ELSE 1 END ELSE round(d, 4) END AS ks_statistic,
-               CASE WHEN lo = hi AND clo = chi THEN CASE WHEN lo = clo THEN 1 ELSE 0 END ELSE round(p, 4) END AS ks_p_value
-        FROM psi JOIN ksp USING (feature)
-        UNION ALL SELECT 'lost', 'MISSING', NULL, NULL, NULL""",
     "closedtel": """
         SELECT * FROM tel WHERE "timestamp" + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
     "zclosed": _zscores("closedtel"),
@@ -320,6 +271,67 @@ FPR = "round(CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END, 4)::DOUBLE AS
 COUNTS = """count(*) AS total_samples, count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp,
     count(*) FILTER (WHERE NOT p AND NOT t) AS tn, count(*) FILTER (WHERE NOT p AND t) AS fn"""
 
+def _drift_chain(tag: str, ref: str, cur: str, extra: tuple[tuple[str, int, int], ...] = (), missing: str = "") -> dict[str, str]:
+    """Counts, KS distance and p-value, edges, bins, PSI and verdicts of two sides; ``extra`` are constant columns."""
+    names = ", ".join([*METRICS, *[c for c, _, _ in extra]])
+
+    def side(source: str, which: int) -> str:
+        cols = [f"{m}::DOUBLE AS {m}" for m in METRICS] + [f"{c[which]}::DOUBLE AS {c[0]}" for c in extra]
+        return f"SELECT feature, value FROM (SELECT {', '.join(cols)} FROM {source}) UNPIVOT (value FOR feature IN ({names}))"
+
+    same = "lo = hi AND clo = chi"
+    return {
+        f"dref{tag}": side(ref, 1),
+        f"dcur{tag}": side(cur, 2),
+        f"vc{tag}": f"""
+            SELECT feature, value, sum(r) AS rn, sum(c) AS cn FROM (
+              SELECT feature, value, 1 AS r, 0 AS c FROM dref{tag} UNION ALL SELECT feature, value, 0, 1 FROM dcur{tag})
+            GROUP BY 1, 2""",
+        f"ks{tag}": f"""
+            SELECT feature, max(rt)::BIGINT AS ref_count, max(ct)::BIGINT AS cur_count, max(abs(cr / rt - cc / ct)) AS d
+            FROM (SELECT *, sum(rn) OVER w AS cr, sum(cn) OVER w AS cc, sum(rn) OVER (PARTITION BY feature) AS rt,
+                         sum(cn) OVER (PARTITION BY feature) AS ct
+                  FROM vc{tag} WINDOW w AS (PARTITION BY feature ORDER BY value)) GROUP BY 1""",
+        f"ksp{tag}": f"""
+            SELECT *, CASE WHEN sqrt(l2) < 0.2 THEN 1 ELSE least(1::DOUBLE, greatest(0::DOUBLE, 2 * list_sum(list_transform(
+                     range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2::DOUBLE * k * k * l2)))))
+                   END AS p
+            FROM (SELECT *, d * d * (ref_count::DOUBLE * cur_count / (ref_count + cur_count)) AS l2 FROM ks{tag})""",
+        f"edge{tag}": f"""
+            SELECT feature, list_sort(list_distinct(quantile_cont(value, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e,
+                   min(value) AS lo, max(value) AS hi, count(*) AS rt FROM dref{tag} GROUP BY 1""",
+        f"bins{tag}": f"""
+            SELECT v.feature, len(list_filter(e.e[2:len(e.e) - 1], lambda x: x <= v.value)) AS bin,
+                   greatest(sum(rn)::DOUBLE / any_value(e.rt), 0.0001::DOUBLE) AS r,
+                   greatest(sum(cn)::DOUBLE / any_value(t.ct), 0.0001::DOUBLE) AS c
+            FROM vc{tag} v JOIN edge{tag} e USING (feature)
+                 JOIN (SELECT feature, sum(cn) AS ct FROM vc{tag} GROUP BY 1) t USING (feature) GROUP BY 1, 2""",
+        f"stability{tag}": f"""
+            SELECT b.feature, CASE WHEN any_value(e.lo) = any_value(e.hi)
+                     THEN CASE WHEN any_value(c.lo) = any_value(e.lo) AND any_value(c.hi) = any_value(e.lo) THEN 0 ELSE 1 END
+                     ELSE sum((b.c / b.ct - b.r / b.rt) * ln((b.c / b.ct) / (b.r / b.rt))) END AS psi,
+                   any_value(e.lo) AS lo, any_value(e.hi) AS hi, any_value(c.lo) AS clo, any_value(c.hi) AS chi
+            FROM (SELECT *, sum(r) OVER (PARTITION BY feature) AS rt, sum(c) OVER (PARTITION BY feature) AS ct FROM bins{tag}) b
+                 JOIN edge{tag} e USING (feature)
+                 JOIN (SELECT feature, min(value) AS lo, max(value) AS hi FROM dcur{tag} GROUP BY 1) c USING (feature)
+            GROUP BY 1""",
+        f"verdict{tag}": f"""
+            SELECT feature,
+                   CASE WHEN {same} THEN CASE WHEN lo = clo THEN 'NO_DRIFT' ELSE 'DRIFT' END
+                        WHEN psi >= 0.2 OR (p < 0.05 AND d >= 0.2) THEN 'DRIFT'
+                        WHEN psi >= 0.1 OR (p < 0.05 AND d >= 0.1) THEN 'WARNING' ELSE 'NO_DRIFT' END AS status,
+                   CASE WHEN {same} THEN CASE WHEN lo = clo THEN 0 ELSE 1 END ELSE round(psi, 4) END AS psi,
+                   CASE WHEN {same} THEN CASE WHEN lo = clo THEN 0 ELSE 1 END ELSE round(d, 4) END AS ks_statistic,
+                   CASE WHEN {same} THEN CASE WHEN lo = clo THEN 1 ELSE 0 END ELSE round(p, 4) END AS ks_p_value
+            FROM stability{tag} JOIN ksp{tag} USING (feature) {missing}""",
+    }
+
+
+CTES.update(_drift_chain(
+    "", "tel WHERE \"timestamp\" < TIMESTAMP '2024-01-08 00:00:00'",
+    "flt WHERE \"timestamp\" BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-09 00:00:00'",
+    (("flat", 7, 7), ("jump", 10, 20)), "UNION ALL SELECT 'lost', 'MISSING', NULL, NULL, NULL"))
+CTES.update(_drift_chain("_stream", "tel WHERE \"timestamp\" < TIMESTAMP '2024-01-08 00:00:00'", "closedtel"))
 CTES["half"] = f"""
     SELECT late, {RATES}, {FPR} FROM (SELECT late, {COUNTS} FROM (
       SELECT "timestamp" >= TIMESTAMP '2024-01-16 00:00:00' AS late, z.is_anomaly AS p, l.is_incident AS t
@@ -624,7 +636,7 @@ BODIES = {
                round((a.value - b.value) / greatest(abs(a.value), 0.000001::DOUBLE), 4) AS drop,
                (a.value - b.value) / greatest(abs(a.value), 0.000001::DOUBLE) > 0.1 AS degraded
         FROM tall a JOIN tall b ON a.metric = b.metric AND NOT a.late AND b.late""",
-    "drift_psi": "SELECT feature, round(psi, 4) AS psi FROM psi",
+    "drift_psi": "SELECT feature, round(psi, 4) AS psi FROM stability",
     "drift_ks": """
         SELECT feature, ref_count, cur_count, round(d, 6) AS ks_statistic, round(p, 6) AS ks_p_value FROM ksp""",
     "drift_verdicts": """
@@ -663,6 +675,8 @@ BODIES = {
           UNION ALL SELECT 3, {KEY}, latency_ms, error_rate, active_connections FROM tel
             WHERE "timestamp" >= TIMESTAMP '2024-01-21')""",
     "stream_rollup": "SELECT * FROM closedtel",
+    "stream_drift": """
+        SELECT *, status IN ('DRIFT','MISSING') AS is_drift, status = 'WARNING' AS is_warning FROM verdict_stream""",
     "stream_dedup": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_zscore": "SELECT * FROM zclosed",
     "stream_labels": f"SELECT l.* FROM lab l SEMI JOIN closedtel c USING ({KEY})",

@@ -655,4 +655,4 @@ def stream_forest(spark, sf):
 @query
 def stream_drift(spark, sf):
     ref = I.drift_sides(spark, sf)[0].drop("flat", "jump", "lost")
-    return _batched(spark, sf, lambda out: detect.drift_batches(ref, out))
+    return _batched(spark, sf, lambda out: detect.drift_batches(ref, out)).drop("batch_id")
