@@ -56,7 +56,8 @@ def history_features(telemetry: DataFrame, config: FeatureConfig = FeatureConfig
                             _fill(delta / (F.abs(before) + F.lit(config.epsilon)), config).alias(f"{m}_pct_change_{s}")]
         return rolled.select("*", *changes).drop(*[f"_{m}_before_{s}" for m in metrics for s in config.steps])
 
-    return over_ordered(telemetry, ["service"], ["timestamp"], add, config.lookback, fitting_time_slice("timestamp", ["service"]), mode)
+    return over_ordered(telemetry, ["service"], ["timestamp"], add, config.lookback,
+                        fitting_time_slice("timestamp", ["service"]), mode)
 
 
 def interaction_features(telemetry: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:

@@ -123,7 +123,8 @@ def draw_samples(rows: DataFrame, config: ForestConfig) -> DataFrame:
     # Growing a tree costs time, not bytes, so the groups are spread by number and not merged by their small size.
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
-        gated.repartition(tasks, "model", "tree").withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= config.max_samples)
+        gated.repartition(tasks, "model", "tree")
+        .withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= config.max_samples)
         .drop("_p", "_n", "_row", "_draw")
     )
 

@@ -21,7 +21,9 @@ class ZScoreConfig:
 
 def zscore_frame(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig(), mode: str = "auto",
                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """Key columns, the columns to ``keep``, plus, per metric, the baseline mean and deviation of the rows before it and the absolute z-score."""
+    """Key columns, the columns to ``keep``, and per metric the mean and deviation of the rows before it and the absolute
+    z-score.
+    """
     metrics = [m for m in config.metrics if m in telemetry.columns]
     columns = list(dict.fromkeys(["timestamp", "service", *metrics, *keep]))
 

@@ -30,8 +30,9 @@ NUDGE = 1e-9
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """Doubles to a fixed number of places, as sums differ in their last bits between engines."""
-    return df.select(*[F.round(F.col(f.name) + NUDGE, places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
-                       for f in df.schema.fields])
+    return df.select(*[
+        F.round(F.col(f.name) + NUDGE, places).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        for f in df.schema.fields])
 
 
 # sources -------------------------------------------------------------------------------------------------------------
