@@ -42,8 +42,6 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = _LOCAL_DIRS.setdefault(sc.applicationId, "") or tempfile.mkdtemp(prefix="opslake-")
         _LOCAL_DIRS[sc.applicationId] = root
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
     return root
 
 

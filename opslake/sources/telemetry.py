@@ -58,9 +58,19 @@ def _csv_schema(spark: SparkSession, path: str, wanted: T.StructType) -> T.Struc
     return T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _file_system(spark: SparkSession, path: str):
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _file_system(spark, path)
+    return fs.exists(jpath)
+
+
+def is_single_file(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _file_system(spark, path)
+    return fs.exists(jpath) and fs.getFileStatus(jpath).isFile()
 
 
 def with_ingest_seq(df: DataFrame) -> DataFrame:

@@ -6,16 +6,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from opslake.session import fresh_path
+from opslake.sources.telemetry import is_single_file
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Stream a Parquet table (a file or a folder of files)."""
+    """Stream a Parquet table: a folder of files, or a single file picked out of its folder by name."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    if path.endswith(".parquet"):
+    if is_single_file(spark, path):
         folder, name = path.rsplit("/", 1)
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)

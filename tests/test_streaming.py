@@ -11,7 +11,7 @@ from opslake.streaming import detect, rollup, run
 @pytest.fixture(scope="module")
 def landed(telemetry, tmp_path_factory, spark):
     """Telemetry in five files, oldest first, and the same rows as a table."""
-    base = tmp_path_factory.mktemp("landed") / "in"
+    base = tmp_path_factory.mktemp("landed") / "in.parquet"
     rows = [(i * 60, s, {"latency_ms": 20.0 + (i * 7 + len(s)) % 5 + (300 if i == 77 else 0)}) for i in range(100)
             for s in ("database", "api_gateway")]
     t = telemetry(rows)
