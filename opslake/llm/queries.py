@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslake.llm import bpe, exact_dedup, line_dedup, token_count
+from opslake.llm import bpe, exact_dedup, line_dedup, mixing, secrets, token_count, toxicity
+from opslake.llm.rows import remainder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +72,28 @@ SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN c USING (key) GROUP BY doc_id
 """
+
+
+@query
+def op5_secret_scan(spark, sf):
+    found = secrets.find_secrets(documents(spark, sf).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    of_kind = [F.size(F.filter("spans", secrets.is_kind(k))).cast("long") for k in range(3)]
+    return found.select("doc_id", of_kind[0].alias("n_assign"), of_kind[1].alias("n_access"), of_kind[2].alias("n_hex"),
+                        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_toxicity(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    scored = toxicity.score(docs, model, threshold=0.7)
+    return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_source_mixing(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "source", "text")
+    dealt = mixing.assign(docs, mixing.plan_mix(docs))
+    return dealt.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"),
+                        F.array_join(F.transform("copies", lambda c: c["shard"]), ",").alias("shards"))
