@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslake.llm import bpe, exact_dedup, line_dedup, mixing, secrets, token_count, toxicity
+from opslake.llm import bpe, exact_dedup, line_dedup, lm_score, mixing, secrets, token_count, toxicity
 from opslake.llm.rows import remainder
 
 QUERIES: dict = {}
@@ -97,3 +97,8 @@ def op2_source_mixing(spark, sf):
     dealt = mixing.assign(docs, mixing.plan_mix(docs))
     return dealt.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"),
                         F.array_join(F.transform("copies", lambda c: c["shard"]), ",").alias("shards"))
+
+
+@query
+def op1_lm_score(spark, sf):
+    return lm_score.score(documents(spark, sf).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))

@@ -19,6 +19,7 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CREDENTIAL = r"[A-Za-z0-9+/_.=-]"
 #: Runs of credential characters that are long enough to be scored.
 CANDIDATE = re.compile(rf"(?<!{CREDENTIAL}){CREDENTIAL}{{16,}}")
+NUMBER = re.compile(r"[0-9.+-]+")
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 FOUND = "array<struct<start:int,end:int,value:string>>"
 
@@ -169,7 +170,12 @@ class Formats:
     def ratio(self, value: str) -> float:
         """Of the best format that accepts the run, against ordinary runs."""
         best = max((a.score(value, strict=True) for a in self.kinds), default=-math.inf)
-        return best - self.plain.score(value) if best > -math.inf else best
+        return best - self.ordinary(value) if best > -math.inf else best
+
+    def ordinary(self, value: str) -> float:
+        """Under the automaton of ordinary runs or, for numbers with their signs, under a uniform choice of those characters."""
+        own = self.plain.score(value)
+        return max(own, -len(value) * math.log(13)) if NUMBER.fullmatch(value) else own
 
     def is_credential(self, value: str) -> bool:
         return bool(self.kinds) and self.ratio(value) > self.least
