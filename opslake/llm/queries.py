@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslake.llm import bpe, exact_dedup, line_dedup, lm_score, mixing, secrets, token_count, toxicity
+from opslake.llm import bpe, exact_dedup, line_dedup, lm_score, minhash_dedup, mixing, secrets, token_count, toxicity
 from opslake.llm.rows import remainder
 
 QUERIES: dict = {}
@@ -102,3 +102,10 @@ def op2_source_mixing(spark, sf):
 @query
 def op1_lm_score(spark, sf):
     return lm_score.score(documents(spark, sf).select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op8_minhash_dedup(spark, sf):
+    found = minhash_dedup.near_groups(documents(spark, sf).select("doc_id", "text"), 85, 100)
+    return found.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+                        F.col("_id").eqNullSafe(F.col("component")).alias("kept"))
