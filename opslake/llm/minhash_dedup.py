@@ -177,7 +177,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Class of near duplicates of every row: id, n_shingles and component (smallest id of the class).
+    """Class of near duplicates of every row: _id, n_shingles, component (smallest id of the class) and two keys.
+
+    ``_key`` is a hash of the row's id and text, ``_first`` that of the row which stands for the class.
 
     A document's set holds its distinct 5-word shingles, A-Z lower-cased, words being split at ASCII white space; with
     fewer words the whole sequence is one shingle, without words the set is empty and links with nothing. Documents link
@@ -235,23 +237,28 @@ def near_groups(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "d
     links = links.union(_written(_linked(_written(more, "more"), sets, num, den), "links"))
     label = component_labels(links)
 
-    named = nodes.select("node", "_digest", "_id").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("node", "_digest", "_id", "_key").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = _written(named, "named")
-    least = named.groupBy("label").agg(F.min("_id").alias("component"))
-    of_digest = _written(named.join(least, "label").select("_digest", "component"), "classes")
-    # Sets that one row has alone need no join, and all others are told by their digest.
+    least = named.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), F.col("_id"), F.col("_key"))).alias("f"))
+    of_digest = _written(named.join(least, "label").select("_digest", F.col("f._id").alias("component"), F.col("f._key").alias("_first")), "classes")
+    empty = F.col("_digest").isNull()
     return rows.join(of_digest, "_digest", "left").select(
-        "_id", "_key", "n_shingles", F.when(F.col("_digest").isNull(), F.col("_id")).otherwise(F.col("component")).alias("component"))
+        "_id", "_key", "n_shingles", F.when(empty, F.col("_id")).otherwise(F.col("component")).alias("component"),
+        F.when(empty, F.col("_key")).otherwise(F.col("_first")).alias("_first"))
 
 
 def keep_one(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the rows with its smallest id stay.
+    """The rows of ``docs`` without near duplicates: of each class one row with its smallest id stays.
 
-    Rows repeated under one id and text count as one and stay or go together, so one of them stays; rows without an id stay
-    only if their class has no id at all. Columns are those of ``docs``.
+    Rows without an id stay only if their class has no id. Of rows repeated under one id and text one stays; texts without
+    words are no duplicates of each other and all stay but such repeats. Columns are those of ``docs``.
     """
-    found = near_groups(docs, num, den, doc_id, text)
-    out = found.where(~F.col("_id").eqNullSafe(F.col("component"))).select("_key").distinct()
-    key = F.xxhash64(F.col(doc_id), text_of(text))
-    rows = docs.withColumn("_key", key).join(out, "_key", "left_anti")
-    return without(rows, "_key")
+    found = _written(near_groups(docs, num, den, doc_id, text), "found")
+    out = found.where(F.col("_key") != F.col("_first")).select("_key").distinct()
+    again = found.where(F.col("_key") == F.col("_first")).groupBy("_key").count().where(F.col("count") > 1).select("_key")
+    rows = docs.withColumn("_key", F.xxhash64(F.col(doc_id), text_of(text)))
+    again = _written(again, "again")
+    once = without(rows.join(out.union(again), "_key", "left_anti"), "_key")
+    if not again.limit(1).count():
+        return once
+    return once.unionByName(without(rows.join(again, "_key", "left_semi").dropDuplicates(["_key"]), "_key"))

@@ -76,7 +76,7 @@ def _located(df: DataFrame, source: str, sources: DataFrame, seed: int) -> DataF
     return out.withColumn("_order", F.xxhash64(F.lit(seed), F.lit("order"), F.col("_src"), F.col("_block")))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, shards: int = 16, seed: int = 7,
+def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, shards: int = 64, seed: int = 7,
              doc_id: str = "doc_id", text: str = "text", source: str = "source") -> MixPlan:
     """Find each source's target and deal its blocks to shards.
 
@@ -161,7 +161,7 @@ def assign(docs: DataFrame, plan: MixPlan, doc_id: str = "doc_id", text: str = "
                      F.concat(F.coalesce(whole, none), F.coalesce(extra, none)).alias("copies"))
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+def mix(docs: DataFrame, shards: int = 64, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source",
         **plan) -> DataFrame:
     """The mixed documents, one row per copy, dealt to shards and shuffled within each.
 

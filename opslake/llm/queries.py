@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslake.llm import bpe, exact_dedup, line_dedup, lm_score, minhash_dedup, mixing, secrets, token_count, toxicity
+import corpus_pipeline
+from opslake.llm import bpe, embed_dedup, exact_dedup, line_dedup, lm_score, minhash_dedup, mixing, secrets, token_count, toxicity
 from opslake.llm.rows import remainder
 
 QUERIES: dict = {}
@@ -109,3 +110,13 @@ def op8_minhash_dedup(spark, sf):
     found = minhash_dedup.near_groups(documents(spark, sf).select("doc_id", "text"), 85, 100)
     return found.select(F.col("_id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
                         F.col("_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+@query
+def op3_embedding_dedup(spark, sf):
+    return embed_dedup.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), cosine=0.95)
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
