@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from opslake.llm.minhash_dedup import Shingler
 from opslake.llm.rows import per_text, remainder, text_slices
 
 #: Bounds of the fit: labelled rows, voters, features of the classifier.
@@ -16,6 +17,11 @@ SAMPLE_ROWS, MAX_VOTERS, MAX_FEATURES = 20_000, 400, 3_000
 LEAST_DOCS = 5
 #: Lengths of the word beginnings that pattern voters look for.
 BEGINNINGS = (4, 5, 6)
+#: Evidence that a feature tells the classes apart (likelihood ratio statistic) below which it is left out as chance, and
+#: log-odds from which it may vote.
+LEAST_EVIDENCE, LEAST_ODDS = 25.0, 3.0
+#: Letters by which words and beginnings count as one family, of which the most telling votes.
+FAMILY = 4
 #: Excess of joint votes, as a correlation given the class, from which voters count as one.
 CORRELATED = 0.8
 #: Words whose features a worker remembers.
@@ -63,14 +69,30 @@ class ToxicityModel:
 def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """At most ``SAMPLE_ROWS`` labelled rows outside the held-out third, by smallest hash of the id: id, y, text.
 
-    A row that several labels name counts as toxic if one does. Rows without id, label or document are left out.
+    Near copies would make chance words look telling, so of rows that share the least or the greatest hash of their shingles
+    one stays. A row that several labels name counts as toxic if one does. Rows without id, label or document are left out.
     """
     named = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", 3) != 1)).groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("toxic").alias("_y"))
     present = named.join(docs.select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
     chosen = present.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    one = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    return one
+    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
+    keyed = sample.mapInArrow(_copy_keys, "_id bigint, _y int, _text string, _lo bigint, _hi bigint")
+    one = F.min(F.struct("_id", "_y", "_text", "_hi")).alias("s")
+    return keyed.groupBy("_lo").agg(one).select("s.*").groupBy("_hi").agg(F.min(F.struct("_id", "_y", "_text")).alias("s")).select("s.*")
+
+
+def _copy_keys(batches):
+    """Least and greatest shingle hash of each sampled text; near copies mostly share one of them."""
+    import pyarrow as pa
+
+    shingle = Shingler()
+    for b in batches:
+        for part, texts in text_slices([b], "_text"):
+            sets = [shingle(t).view(np.int64) for t in texts.to_pylist()]
+            ids = part.column(0).to_pylist()
+            ends = [[int(f(s)) if len(s) else i for s, i in zip(sets, ids, strict=True)] for f in (np.min, np.max)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(e, pa.int64()) for e in ends)], names=["_id", "_y", "_text", "_lo", "_hi"])
 
 
 def _count_features(batches):
@@ -102,11 +124,13 @@ def _sparse_rows(sample: DataFrame, vocabulary: dict[str, int]) -> tuple[np.ndar
 def _label_model(votes: np.ndarray, prior: float, fires: np.ndarray, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of class 1 from votes (rows x voters, 1 = fires), and each voter's share of its correlated group.
 
-    ``fires`` are first estimates of P(fires | class), classes x voters. A voter that does not fire abstains; that a row
+    ``fires`` are labelled estimates of P(fires | class), classes x voters; they weigh as much as the votes do in each
+    refinement. A voter that does not fire abstains; that a row
     gets no vote at all is evidence of its own. Voters that fire together more often than their accuracies explain share
     one vote: the log-odds of a voter are divided by the sum of its correlations given the class.
     """
     silent = votes.sum(axis=1) == 0
+    start, held = fires, np.array([[1 - prior], [prior]]) * len(votes)
     p = np.full(len(votes), prior)
     share, none = np.ones(votes.shape[1]), np.array([0.9, 0.1])
     for step in range(rounds):
@@ -115,7 +139,7 @@ def _label_model(votes: np.ndarray, prior: float, fires: np.ndarray, rounds: int
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         weight = np.stack([1 - p, p])
         mass = weight.sum(axis=1)
-        fires = np.clip((weight @ votes + 0.5) / (mass[:, None] + 1.0), 1e-5, 1 - 1e-5)
+        fires = np.clip((weight @ votes + held * start) / (mass[:, None] + held), 1e-5, 1 - 1e-5)
         none = np.clip((weight @ silent + 0.5) / (mass + 1.0), 1e-5, 1 - 1e-5)
         prior = float(np.clip(p.mean(), 1e-3, 0.999))
         if step == 0:
@@ -142,10 +166,21 @@ def _logistic(at: np.ndarray, f: np.ndarray, n_features: int, target: np.ndarray
     return b, w
 
 
+def _evidence(a, b, n1: int, n0: int):
+    """Likelihood ratio statistic of a feature's documents per class against the same share in both."""
+    n = n1 + n0
+
+    def part(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    m = a + b
+    return 2 * (part(a, m * n1 / n) + part(b, m * n0 / n) + part(n1 - a, (n - m) * n1 / n) + part(n0 - b, (n - m) * n0 / n))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
     """Mine voters from the labelled sample, fit the label model, train the classifier on its posteriors.
 
-    Words and beginnings of words are counted per class on Spark. The ``MAX_VOTERS`` strongest for toxic texts vote; the
+    Words and beginnings of words are counted per class on Spark. The strongest for toxic texts of each family vote, ``MAX_VOTERS`` at most; the
     label model starts from their labelled frequencies and refines accuracies and correlations by expectation
     maximisation; the classifier sees the ``MAX_FEATURES`` most telling features. Without labelled rows of both classes
     the model gives every text the share of toxic labels (0.5 without any).
@@ -159,13 +194,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = (sample.select("_y", "_text").mapInArrow(_count_features, "f string, a double, b double").groupBy("f")
               .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    told = counts.select("f", "a", "b", odds.alias("odds"),
-                         (F.abs(odds) * F.sqrt(F.col("a") + F.col("b"))).alias("told"))
-    chosen = told.orderBy(F.desc("told"), "f").limit(MAX_FEATURES).collect()
+    told = counts.select("f", "a", "b", odds.alias("odds"), _evidence(F.col("a"), F.col("b"), n1, n0).alias("told"))
+    chosen = told.where(F.col("told") > LEAST_EVIDENCE).orderBy(F.desc("told"), "f").limit(MAX_FEATURES).collect()
     vocabulary = {r["f"]: i for i, r in enumerate(chosen)}
     y, at, f = _sparse_rows(sample, vocabulary)
-    voters = np.array([vocabulary[r["f"]] for r in sorted(chosen, key=lambda r: (-r["odds"] * r["a"] ** 0.5, r["f"]))
-                       if r["odds"] > 2][:MAX_VOTERS], int)
+    families: dict[str, int] = {}
+    for r in chosen:
+        if r["odds"] > LEAST_ODDS:
+            families.setdefault(r["f"][:FAMILY], vocabulary[r["f"]])
+    voters = np.array(list(families.values())[:MAX_VOTERS], int)
     prior = n1 / (n0 + n1)
     if len(voters):
         column = np.full(len(vocabulary), -1)
