@@ -192,8 +192,9 @@ def near_groups(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "d
        share num / den of its shingles occurs in another such node; counting shingles leaves out the rest, exactly.
     3. In each bucket every node is checked against the bucket's most central node. Most of a large group of near copies
        is linked so, one check per node and bucket.
-    4. Pairs of one bucket that are not yet in one component are compared by their sketches in blocks, and those that
-       sketches cannot rule out by their full sets. No link between components is lost but for the bands' own chance.
+    4. Nodes that, given the bucket's least size and the number of their shingles which others have, can have no partner
+       leave the bucket. Pairs of one bucket that are not yet in one component are compared by these numbers and by
+       their sketches, in blocks, and those that remain by their full sets. No link between components is lost but for the bands' own chance.
     """
     table = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(doc_id), text_of(text)).alias("_key"), text_of(text).alias("_text"))
     rows = _written(table.mapInArrow(_describe, "_id bigint, _key bigint, n_shingles bigint, _digest binary, _bands array<bigint>, _sketch array<bigint>"), "described")
@@ -211,9 +212,9 @@ def near_groups(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "d
     each = sets.select("node", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count("*").alias("c"), F.min("node").alias("one")).where(F.col("c") > 1).select("s", "c")
     weight = each.join(common, "s").groupBy("node").agg(F.count("*").alias("held"), F.sum(F.log2("c")).alias("central"))
-    able = _written(weight.join(some, "node").where(den * F.col("held") >= num * F.col("n")).select("node", "central", "n"), "able")
+    able = _written(weight.join(some, "node").where(den * F.col("held") >= num * F.col("n")).select("node", "central", "n", "held"), "able")
 
-    met = _written(met.join(able, "node").select("band", "node", "central"), "met")
+    met = _written(met.join(able, "node").select("band", "node", "central", "n", "held"), "met")
     heads = _written(met.groupBy("band").agg(F.max(F.struct("central", F.col("node"))).alias("h"), F.count("*").alias("m")).where(
         F.col("m") > 1).select("band", F.col("h.node").alias("head"), "m"), "heads")
     pairs = met.join(heads, "band").where(F.col("node") != F.col("head")).select(
@@ -221,18 +222,25 @@ def near_groups(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "d
     links = _written(_linked(pairs, sets, num, den), "links")
     label = component_labels(links)
 
-    placed = met.join(label, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    placed = met.join(label, "node", "left").select("band", "node", "n", "held", F.coalesce("label", "node").alias("label"))
     placed = _written(placed, "placed")
+    # A partner in the bucket has at least its least size, and shares at most the shingles that others have at all.
+    least = placed.groupBy("band").agg(F.min("n").alias("least"))
+    placed = placed.join(least, "band").where(den * F.col("held") >= num * (F.col("n") + F.col("least") - F.col("held")))
+    placed = _written(placed.drop("least"), "placed")
     open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where(
         F.col("lo") != F.col("hi")).select("band", "m")
     left = placed.join(open_, "band").join(nodes.select("node", "_sketch"), "node").withColumn(
         "blocks", F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int"))
     left = _written(left, "open")
-    one = left.select("band", "node", "label", "_sketch", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    two = left.select("band", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("_sketch").alias("_sketch2"),
+    one = left.select("band", "node", "n", "held", "label", "_sketch", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    two = left.select("band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("held").alias("held2"),
+                      F.col("label").alias("label2"), F.col("_sketch").alias("_sketch2"),
                       F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     apart = F.aggregate(F.zip_with("_sketch", "_sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    more = one.join(two, ["band", "block"]).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & (
+    both = F.least("held", "held2")
+    able_pair = den * both >= num * (F.col("n") + F.col("n2") - both)
+    more = one.join(two, ["band", "block"]).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & able_pair & (
         apart <= sketch_limit(num / den))).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     links = links.union(_written(_linked(_written(more, "more"), sets, num, den), "links"))
     label = component_labels(links)
