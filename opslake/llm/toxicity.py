@@ -177,12 +177,24 @@ def _evidence(a, b, n1: int, n0: int):
     return 2 * (part(a, m * n1 / n) + part(b, m * n0 / n) + part(n1 - a, (n - m) * n1 / n) + part(n0 - b, (n - m) * n0 / n))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> ToxicityModel:
+def _cut(z: np.ndarray, y: np.ndarray) -> float:
+    """Logit that parts the labelled rows with the fewest errors, in the middle of the widest such gap."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
+    edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
+    best = np.flatnonzero(errors == errors.min())
+    at = best[np.argmax(edges[best + 1] - edges[best])]
+    return float((edges[at] + edges[at + 1]) / 2)
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.7) -> ToxicityModel:
     """Mine voters from the labelled sample, fit the label model, train the classifier on its posteriors.
 
     Words and beginnings of words are counted per class on Spark. The strongest for toxic texts of each family vote, ``MAX_VOTERS`` at most; the
     label model starts from their labelled frequencies and refines accuracies and correlations by expectation
-    maximisation; the classifier sees the ``MAX_FEATURES`` most telling features. Without labelled rows of both classes
+    maximisation; the classifier sees the ``MAX_FEATURES`` most telling features, and its bias is
+    set so that the cut with the fewest errors on the sample scores ``threshold``. Without labelled rows of both classes
     the model gives every text the share of toxic labels (0.5 without any).
     """
     sample = labelled_sample(docs, labels, doc_id, text)
@@ -215,6 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     else:
         posterior = np.full(len(y), prior)
     bias, w = _logistic(at, f, len(vocabulary), posterior)
+    bias += np.log(threshold / (1 - threshold)) - _cut(bias + np.bincount(at, w[f], minlength=len(y)), y)
     return ToxicityModel(float(bias), {k: float(w[i]) for k, i in vocabulary.items() if abs(w[i]) > 1e-6})
 
 
