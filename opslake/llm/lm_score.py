@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame, functions as F
 from opslake.llm.rows import remainder, text_slices
 from opslake.session import fresh_path
 
-#: Word types that are shipped to every worker; all others meet their counts in a join.
-HEAD_WORDS = 200_000
+#: Word types at most that are shipped to every worker; all others meet their counts in a join.
+HEAD_WORDS = 100_000
 #: Word types a task counts before it hands its counts on.
 COUNTED_WORDS = 500_000
 #: Smoothing of a piece's count.
 PIECE_PRIOR = 0.1
-#: Words up to this length are scored together, by length.
-BATCH_CHARS = 48
+#: Words up to this length are scored together, by length, so many at a time.
+BATCH_CHARS, BATCH_WORDS = 48, 2_048
 
 MARK = "▁"  # fixed value: the mark of a word's start in the pieces
 
@@ -39,7 +39,7 @@ def _processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
-@dataclass(frozen=True)
+@dataclass
 class PieceModel:
     """Log probabilities (natural) of the pieces of an existing vocabulary, of single bytes and of the end."""
 
@@ -64,6 +64,13 @@ class PieceModel:
             at.append(top + math.log(sum(math.exp(t - top) for t in terms)))
         return at[-1]
 
+    @functools.cached_property
+    def starts(self) -> dict[str, float]:
+        """Every beginning of a piece; 1.0 marks those that are no piece themselves."""
+        out = {p[:n]: 1.0 for p in self.pieces for n in range(1, len(p))}
+        out.update(self.pieces)
+        return out
+
     def words(self, words: list[str]) -> np.ndarray:
         """``word`` of many words: those of one length go through the recursion together."""
         out = np.empty(len(words))
@@ -73,32 +80,39 @@ class PieceModel:
                 by_length.setdefault(len(w), []).append(i)
             else:
                 out[i] = self.word(w)
-        get, pieces = self.pieces.get, self.pieces
-        for n, rows in by_length.items():
-            size, hits = n + 1, []
-            longest = min(self.longest, size)
+        get, pieces = self.starts.get, self.pieces
+        for n, rows in ((n, r[k:k + BATCH_WORDS]) for n, r in by_length.items() for k in range(0, len(r), BATCH_WORDS)):
+            size, count = n + 1, len(rows)
+            width = min(self.longest, size) + 1
+            at, logs = [], []
             for k, i in enumerate(rows):
                 text = MARK + words[i]
                 for start in range(size):
-                    for end in range(start + 1, min(size, start + longest) + 1):
+                    for end in range(start + 1, size + 1):
                         p = get(text[start:end])
-                        if p is not None:
-                            hits.append((end, end - start, k, p))
+                        if p is None:
+                            break
+                        if p <= 0:
+                            at.append((end * width + end - start) * count + k)
+                            logs.append(p)
                     if text[start] not in pieces:
-                        hits.append((start + 1, 1, k, self.char(text[start])))
-            end, length, k, p = (np.array(x) for x in zip(*hits, strict=True))
-            lattice = np.full((size + 1, longest + 1, len(rows)), -np.inf)
-            lattice[end, length, k] = p
-            at = np.full((size + 1, len(rows)), -np.inf)
-            at[0] = 0.0
+                        at.append(((start + 1) * width + 1) * count + k)
+                        logs.append(self.char(text[start]))
+            lattice = np.full((size + 1) * width * count, -np.inf)
+            lattice[at] = logs
+            lattice = lattice.reshape(size + 1, width, count)
+            total = np.full((size + 1, count), -np.inf)
+            total[0] = 0.0
             for e in range(1, size + 1):
-                reach = min(longest, e)
-                terms = np.stack([at[e - m] + lattice[e, m] for m in range(1, reach + 1)])
+                terms = np.stack([total[e - m] + lattice[e, m] for m in range(1, min(width - 1, e) + 1)])
                 top = terms.max(axis=0)
-                at[e] = top + np.log(np.exp(terms - top).sum(axis=0))
-            out[rows] = at[size]
+                total[e] = top + np.log(np.exp(terms - top).sum(axis=0))
+            out[rows] = total[size]
         return out
 
+    def spelled(self, tokens: list[bytes]) -> np.ndarray:
+        return self.words([t.decode("utf-8", "replace") for t in tokens])
+
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """Token counts (token binary, n) of all texts; the end of a document is the empty token.
@@ -176,47 +190,82 @@ def score(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     path = fresh_path(spark, "words")
     count_words(docs.where(~held_out), text).write.parquet(path)
     counts = spark.read.schema("token binary, n bigint").parquet(path)
-    total = counts.agg(F.sum("n"), F.count("*")).first()
-    n, v = total[0] or 0, total[1]
     model = fit_pieces(counts, vocabulary)
-    top = counts.where(F.octet_length("token") > 0).orderBy(F.desc("n"), "token").limit(HEAD_WORDS).collect()
-    tokens = [bytes(r["token"]) for r in top]
+    path = fresh_path(spark, "lattices")
+    counts.mapInArrow(_add_lattice(spark.sparkContext.broadcast(model)), "token binary, n bigint, lattice double").write.parquet(path)
+    counts = spark.read.schema("token binary, n bigint, lattice double").parquet(path)
+    total = counts.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.octet_length("token") == 0, F.col("n")))).first()
+    n, v, ends = total[0] or 0, total[1], total[2] or 0
     floor = math.log10(n + 0.5 * (v + 1))
-    base = np.log10(np.array([r["n"] for r in top], float) + 0.5) - floor
-    ends = counts.where(F.octet_length("token") == 0).select("n").first()
-    end_base = math.log10((ends[0] if ends else 0) + 0.5) - floor
-    lattices = model.words([w.decode("utf-8", "replace") for w in tokens])
-    shipped = spark.sparkContext.broadcast(({w: i for i, w in enumerate(tokens)}, base, lattices, model))
+    head = counts.where((F.octet_length("token") > 0) & (F.col("n") >= _head_count(counts))).toArrow()
+    shipped = spark.sparkContext.broadcast(({w: i for i, w in enumerate(head.column("token").to_pylist())},
+                                            np.log10(head.column("n").to_numpy() + 0.5) - floor, head.column("lattice").to_numpy()))
+    end_base, end_lattice = math.log10(ends + 0.5) - floor, model.end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, base, lattice, model = shipped.value
+        place, base, lattice = shipped.value
         for part, texts in text_slices(batches, text):
-            rows, rare = [], set()
+            out = []
             for t in texts.to_pylist():
                 words = words_of(t)
                 at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
                 tail = [words[i] for i in np.flatnonzero(at < 0)]
-                rare.update(tail)
-                rows.append((len(words), at[at >= 0], tail))
-            rare = list(rare)
-            own = dict(zip(rare, model.words([w.decode("utf-8", "replace") for w in rare]), strict=True))
-            out = [(k + 1, len(at), float(base[at].sum()), float(lattice[at].sum() + sum(own[w] for w in tail) + model.end) / math.log(10), tail)
-                   for k, at, tail in rows]
-            arrays = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["_id", "_held", "_n", "_known", "_base", "_score", "_tail"])
+                at = at[at >= 0]
+                out.append((len(words) + 1, len(at), float(base[at].sum()), float(lattice[at].sum()), tail))
+            types = pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())
+            arrays = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], names=["_id", "_held", "_n", "_known", "_base", "_lattice", "_tail"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     path = fresh_path(spark, "scores")
     scored = docs.select(F.col(doc_id).alias("_id"), held_out.alias("_held"), F.col(text)).mapInArrow(
-        run, f"_id {kind}, _held boolean, _n bigint, _known bigint, _base double, _score double, _tail array<binary>")
+        run, f"_id {kind}, _held boolean, _n bigint, _known bigint, _base double, _lattice double, _tail array<binary>")
     scored.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
 
     tail = rows.select("_row", F.explode("_tail").alias("token")).join(counts, "token", "left")
     c = F.coalesce(F.col("n"), F.lit(0))
-    rest = tail.groupBy("_row").agg(F.sum((c > 0).cast("long")).alias("_more"), F.sum(F.log10(c + 0.5) - floor).alias("_rest"))
+    rest = tail.groupBy("_row").agg(F.sum((c > 0).cast("long")).alias("_more"), F.sum(F.log10(c + 0.5) - floor).alias("_rest"), F.sum("lattice").alias("_spelled"),
+                                    F.collect_list(F.when(F.col("n").isNull(), F.col("token"))).alias("_new"))
+    rest = rest.mapInArrow(_spell_new(spark.sparkContext.broadcast(model)), "_row bigint, _more bigint, _rest double, _spelled double")
+    log10 = math.log(10)
     return rows.drop("_tail").join(rest, "_row", "left").select(
         F.col("_id").alias("doc_id"), F.col("_held").alias("held_out"), F.col("_n").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_more", F.lit(0)) + F.lit(1 if ends else 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("_base") + F.coalesce("_rest", F.lit(0.0)) + end_base).alias("base_score"), F.col("_score").alias("score"))
+        (F.col("_base") + F.coalesce("_rest", F.lit(0.0)) + end_base).alias("base_score"),
+        ((F.col("_lattice") + F.coalesce("_spelled", F.lit(0.0)) + end_lattice) / log10).alias("score"))
+
 
+def _head_count(counts: DataFrame) -> int:
+    """Least count of a head word: the lowest of a fixed ladder of counts that at most ``HEAD_WORDS`` words reach."""
+    step = F.floor(F.log2(F.col("n")) * 8).cast("int")
+    held, least = 0, 1 << 62
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["step"]):
+        held += r["k"]
+        if held > HEAD_WORDS:
+            break
+        least = r["n"]
+    return least
+
+
+def _add_lattice(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            logs = model.value.spelled(b.column("token").to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logs)], names=["token", "n", "lattice"])
+
+    return run
+
+
+def _spell_new(model):
+    """Add the lattice logs of each row's words that no training text has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = b.column("_new").to_pylist()
+            words = list({w for ws in new for w in ws})
+            logs = dict(zip(words, model.value.spelled(words).tolist(), strict=True))
+            spelled = [(s or 0.0) + sum(logs[w] for w in ws) for s, ws in zip(b.column("_spelled").to_pylist(), new, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), b.column("_more"), b.column("_rest"), pa.array(spelled, pa.float64())],
+                                             names=["_row", "_more", "_rest", "_spelled"])
+
+    return run
