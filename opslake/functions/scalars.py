@@ -1,7 +1,7 @@
 """Small column expressions shared by the operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 INF = float("inf")
 
@@ -52,9 +52,13 @@ def utc_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
 
 
-def greatest_of(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.greatest(*columns)
+def utc_time(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` as UTC wall-clock timestamp; only other types than timestamps go through text."""
+    kind = df.schema[name].dataType.typeName()
+    if kind == "timestamp_ntz":
+        return F.col(name)
+    return F.col(name).cast("timestamp_ntz") if kind == "timestamp" else utc_timestamp(F.col(name))
 
 
-def least_of(columns: list[Column]) -> Column:
-    return columns[0] if len(columns) == 1 else F.least(*columns)
+def greatest_of(columns: list[Column]) -> Column:
+    return columns[0] if len(columns) == 1 else F.greatest(*columns)

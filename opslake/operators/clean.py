@@ -5,7 +5,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opslake.functions.scalars import nan_to_null, utc_timestamp
+from opslake.functions.scalars import nan_to_null, utc_time
 from opslake.schema import (
     KEY, METRICS, NON_NEGATIVE_METRICS, PERCENT_METRICS, REQUIRED_COLUMNS, SERVICES, UNIT_METRICS, require)
 
@@ -34,7 +34,7 @@ def _first_copies(raw: DataFrame, seq: str, services: tuple[str, ...]) -> DataFr
     typed = df.select(
         F.col(seq).alias("_seq"),
         F.lower(F.trim(F.coalesce(F.col("service").cast("string"), F.lit("nan")))).alias("service"),
-        utc_timestamp(F.col("timestamp")).alias("timestamp"),
+        utc_time(df, "timestamp").alias("timestamp"),
         *[nan_to_null(F.col(m).cast("double")).alias(m) for m in METRICS])
     absent = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in REQUIRED_COLUMNS])
     fated = typed.withColumn("fate", F.when(~known, "unknown_service").when(absent, "null").otherwise("kept"))

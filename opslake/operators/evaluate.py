@@ -22,6 +22,7 @@ def detector_benchmark(telemetry: DataFrame, incidents: DataFrame, zscore: ZScor
                        forest: ForestConfig = ForestConfig(), train: DataFrame | None = None,
                        mode: str = "auto") -> DataFrame:
     """One row per detector: confusion counts, rates and mean detection delay on the same labels."""
+    telemetry = settle(telemetry, "telemetry")
     labels = incident_labels(telemetry, incidents)
     found = {
         "statistical_baseline": zscore_anomalies(telemetry, zscore, mode),
@@ -29,6 +30,7 @@ def detector_benchmark(telemetry: DataFrame, incidents: DataFrame, zscore: ZScor
     }
     rows = None
     for name, flagged in found.items():
+        flagged = settle(flagged, "flagged")
         delay = mean_detection_delay(detection_delays(flagged, incidents)).select("detection_delay_seconds").scalar()
         one = anomaly_metrics(flagged, labels).withColumn("detector", F.lit(name)).withColumn(
             "detection_delay_seconds", delay)

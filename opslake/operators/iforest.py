@@ -6,14 +6,16 @@ group of at most ``max_samples`` rows; scoring is one Arrow pass over the partit
 from __future__ import annotations
 
 import hashlib
+import json
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from opslake.functions.scalars import finite
+from opslake.plans.keys import null_safe_join
 from opslake.plans.ordering import quantiles
 from opslake.plans.sizing import broadcast_if_small, settle, use_spread_plan
 from opslake.operators.labels import before_incidents
@@ -55,9 +57,13 @@ class ForestModel:
         rows = [(f, float(self.medians[f]), i) for i, f in enumerate(self.features)]
         spark.createDataFrame(rows, "feature string, median double, pos int").coalesce(1).write.mode("overwrite").parquet(
             f"{path}/medians")
+        spark.createDataFrame([(json.dumps(asdict(self.config)),)], "config string").coalesce(1).write.mode("overwrite").parquet(
+            f"{path}/config")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, config: ForestConfig = ForestConfig()) -> ForestModel:
+    def load(cls, spark: SparkSession, path: str) -> ForestModel:
+        saved = json.loads(spark.read.parquet(f"{path}/config").first()["config"])
+        config = ForestConfig(**{**saved, "features": tuple(saved["features"])})
         rows = spark.read.parquet(f"{path}/medians").orderBy("pos").collect()
         return cls(spark.read.parquet(f"{path}/nodes"), {r["feature"]: r["median"] for r in rows},
                    spark.read.parquet(f"{path}/thresholds"), config, [r["feature"] for r in rows])
@@ -78,18 +84,14 @@ def _inputs(df: DataFrame, config: ForestConfig, features: list[str], medians: d
 
 
 def feature_medians(train: DataFrame, features: list[str], mode: str = "auto") -> dict[str, float]:
-    """Training medians over all services; features that have no gaps skip the sort, as their median is never used."""
-    gaps = train.agg(F.count(F.lit(1)).alias("_n"),
-                     *[F.count_if(finite(F.col(c)).isNull()).alias(c) for c in features]).first()
-    if gaps["_n"] == 0:
+    """Training medians over all services, of every feature in one pass; rows to come may have gaps where these have none."""
+    from opslake.operators.prep import long_values
+
+    if train.isEmpty():
         raise ValueError("no training rows")
     found = dict.fromkeys(features, 0.0)
-    with_gaps = [c for c in features if gaps[c]]
-    if with_gaps:
-        from opslake.operators.prep import long_values
-
-        for r in quantiles(long_values(train, with_gaps), ["feature"], "value", {"median": 0.5}, mode).collect():
-            found[r["feature"]] = r["median"] or 0.0
+    for r in quantiles(long_values(train, features), ["feature"], "value", {"median": 0.5}, mode).collect():
+        found[r["feature"]] = r["median"] or 0.0
     return found
 
 
@@ -246,7 +248,7 @@ def raw_scores(df: DataFrame, nodes: DataFrame, config: ForestConfig, features:
 
     salts = broadcast_if_small(settle(
         rows.groupBy("model").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).cast("int").alias("_salts")), "salts"))
-    salted = rows.join(salts, "model").withColumn("_salt", F.pmod(F.xxhash64("timestamp", "service"), F.col("_salts")))
+    salted = null_safe_join(rows, salts, ["model"]).withColumn("_salt", F.pmod(F.xxhash64("timestamp", "service"), F.col("_salts")))
     copies = nodes.join(salts, "model").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts").cast("bigint") - 1))).drop("_salts")
 

@@ -17,11 +17,12 @@ def _n(cond: Column) -> Column:
 def confusion(predictions: DataFrame, labels: DataFrame, flag: str, truth: str, by: tuple[str, ...] = ()) -> DataFrame:
     """True and false positives and negatives after a join on (timestamp, service).
 
-    Both sides must hold the same keys: ``total_samples`` and ``unmatched`` tell whether they did.
+    Both sides must hold the same keys: ``total_samples`` and ``unmatched`` tell whether they did. With ``by``, labels
+    without a prediction form a group of their own, whose ``by`` columns are null.
     """
     both = predictions.select("timestamp", "service", *by, F.col(flag).alias("_p"), F.lit(True).alias("_has_p")).join(
         labels.select("timestamp", "service", F.col(truth).alias("_t"), F.lit(True).alias("_has_t")),
-        ["timestamp", "service"], "full" if not by else "left")
+        ["timestamp", "service"], "full")
     p, t = F.col("_p"), F.col("_t")
     grouped = both.groupBy(*by) if by else both.groupBy()
     return grouped.agg(

@@ -64,32 +64,39 @@ def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``service, depth``: length of the longest path from a node without callers (from any node if all have callers).
+    """``service, depth``: length of the longest path from a node without callers; 0 for nodes that no such path reaches.
 
-    Level-synchronous: level k holds the distinct nodes that end a path of k edges, so the work per level is bounded by
-    the edges however many paths there are. A level beyond the node count proves a cycle. Each level is written out, which
+    First the nodes reachable from those without callers are found, each in one level. Then nodes without open callers are
+    peeled off, level by level: the level is the depth, and each edge is looked at once. A level that peels nothing while
+    nodes are left proves a cycle at once, as does a graph in which all nodes have callers. Levels are written out, which
     also cuts the lineage of the loop.
     """
-    nodes = settle(nodes.select("service"), "nodes")
-    edges = settle(edges.select("caller", "dependency"), "edges")
-    n = nodes.count()
-    level = nodes.join(edges, nodes["service"] == edges["dependency"], "left_anti").select("service")
-    if level.isEmpty():
-        level = nodes
-    reached = 0
-    levels = [level.withColumn("depth", F.lit(0))]
+    nodes = settle(nodes.select("service").distinct(), "nodes")
+    edges = settle(edges.select("caller", "dependency").distinct(), "edges")
+    called = edges.select(F.col("dependency").alias("service"))
+    level = settle(nodes.join(called, "service", "left_anti"), "level")
+    if level.isEmpty() and not nodes.isEmpty():
+        raise CyclicTopology("the dependency graph has a cycle")
+    reached = level
     while True:
-        nxt = settle(level.join(edges, level["service"] == edges["caller"]).select(F.col("dependency").alias("service"))
-                     .distinct(), "level")
-        if nxt.isEmpty():
+        level = settle(edges.join(level, edges["caller"] == level["service"], "left_semi").select(F.col("dependency").alias("service"))
+                       .distinct().join(reached, "service", "left_anti"), "level")
+        if level.isEmpty():
             break
-        reached += 1
-        if reached > n:
+        reached = settle(reached.unionByName(level), "reached")
+
+    left, lines = reached, edges.join(reached, edges["caller"] == reached["service"], "left_semi")
+    depth, done = 0, []
+    while not left.isEmpty():
+        blocked = lines.select(F.col("dependency").alias("service"))
+        ready = settle(left.join(blocked, "service", "left_anti"), "ready")
+        if ready.isEmpty():
             raise CyclicTopology("the dependency graph has a cycle")
-        level = nxt
-        levels.append(level.withColumn("depth", F.lit(reached)))
-    seen = levels[0]
-    for more in levels[1:]:
-        seen = seen.unionByName(more)
-    best = seen.groupBy("service").agg(F.max("depth").alias("depth"))
+        done.append(ready.withColumn("depth", F.lit(depth)))
+        left = settle(left.join(ready, "service", "left_anti"), "left")
+        lines = settle(lines.join(ready, lines["caller"] == ready["service"], "left_anti"), "lines")
+        depth += 1
+    best = done[0] if done else nodes.limit(0).withColumn("depth", F.lit(0))
+    for more in done[1:]:
+        best = best.unionByName(more)
     return nodes.join(best, "service", "left").select("service", F.coalesce("depth", F.lit(0)).alias("depth"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from opslake.functions.scalars import is_infinite, utc_timestamp
+from opslake.functions.scalars import is_infinite, utc_time
 from opslake.plans.slicing import over_ordered
 from opslake.schema import (
     INCIDENT_TYPES, KEY, NON_NEGATIVE_METRICS, PERCENT_METRICS, REQUIRED_COLUMNS, SERVICES, UNIT_METRICS,
@@ -54,7 +54,7 @@ def validate_rules(df: DataFrame, services: tuple[str, ...] = SERVICES) -> DataF
     checks: list[tuple[str, str, str, Column, str]] = [
         ("null_values", "error", c, _count(is_null(c)), f"null values in {c}") for c in df.columns]
     checks.append(("timestamp_format", "error", "timestamp",
-                   _count(F.col("timestamp").isNotNull() & utc_timestamp(F.col("timestamp")).isNull()),
+                   _count(F.col("timestamp").isNotNull() & utc_time(df, "timestamp").isNull()),
                    "timestamps that cannot be parsed"))
     for m in PERCENT_METRICS:
         checks.append(("bounds", "error", m, _count((F.col(m) < 0) | (F.col(m) > 100)), f"{m} out of bounds [0, 100]"))
@@ -90,7 +90,7 @@ def validate_rules(df: DataFrame, services: tuple[str, ...] = SERVICES) -> DataF
 
 def validate_order(df: DataFrame, seq: str, mode: str = "auto") -> DataFrame:
     """Services whose timestamps step back when read in ``seq`` order; blocks of ``seq`` keep a busy service spread out."""
-    parsed = df.select("service", F.col(seq).alias("_seq"), utc_timestamp(F.col("timestamp")).alias("_ts"))
+    parsed = df.select("service", F.col(seq).alias("_seq"), utc_time(df, "timestamp").alias("_ts"))
 
     def steps(rows: DataFrame, partition: list[str]) -> DataFrame:
         w = Window.partitionBy(*partition).orderBy("_seq")

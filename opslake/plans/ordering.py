@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from opslake.plans.keys import null_safe_join
 from opslake.plans.sizing import use_spread_plan
 from opslake.session import fresh_path
 
@@ -37,7 +38,7 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], s
         *[F.sum(f"_s_{o}").over(whole).alias(f"{o}_total") for o in sums],
     )
     upto = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = parts.join(offsets, [*groups, "_part"])
+    joined = null_safe_join(parts, offsets, [*groups, "_part"])
     return joined.select(
         *df.columns,
         *[(F.sum(c).over(upto) + F.col(f"_o_{o}")).alias(o) for o, c in sums.items()],

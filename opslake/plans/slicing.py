@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opslake.functions.scalars import epoch_seconds
+from opslake.plans.keys import null_safe_join
 from opslake.plans.sizing import settle, use_spread_plan
 
 DAY = 86_400
@@ -58,7 +59,7 @@ def _halo_rows(rows: DataFrame, keys: list[str], order: list[str], lookback: int
 
     Positions count rows of the key before the slice, so a halo may reach over several thin slices. The slice that starts
     at position s needs the rows at s-lookback .. s-1; starts are matched on s div lookback, which leaves two candidates
-    per row and keeps the join an equi-join.
+    per row and keeps the join an equi-join. Null keys and the slice of null times are groups like any other.
     """
     by_slice = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
@@ -66,9 +67,9 @@ def _halo_rows(rows: DataFrame, keys: list[str], order: list[str], lookback: int
         .withColumn("_start", F.coalesce(F.sum("_n").over(by_slice), F.lit(0)))
     )
     from_end = Window.partitionBy(*keys, "_slice").orderBy(*[F.desc(c) for c in order])
+    last = rows.withColumn("_back", F.row_number().over(from_end)).where(F.col("_back") <= lookback)
     tails = (
-        rows.withColumn("_back", F.row_number().over(from_end)).where(F.col("_back") <= lookback)
-        .join(slices, [*keys, "_slice"])
+        null_safe_join(last, slices, [*keys, "_slice"])
         .withColumn("_pos", F.col("_start") + F.col("_n") - F.col("_back"))
         .drop("_start", "_n", "_back", "_slice")
         .withColumn("_cell", F.explode(F.array_distinct(F.array(
@@ -76,7 +77,7 @@ def _halo_rows(rows: DataFrame, keys: list[str], order: list[str], lookback: int
     )
     starts = slices.select(*keys, "_slice", "_start", F.floor(F.col("_start") / lookback).alias("_cell"))
     return (
-        tails.join(starts, [*keys, "_cell"])
+        null_safe_join(tails, starts, [*keys, "_cell"])
         .where((F.col("_start") > F.col("_pos")) & (F.col("_start") <= F.col("_pos") + lookback))
         .drop("_cell", "_start", "_pos")
         .withColumn("_halo", F.lit(True))

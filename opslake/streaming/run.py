@@ -30,6 +30,7 @@ def use_rocksdb(spark: SparkSession) -> None:
 def run_to_table(stream: DataFrame, mode: str = "append", out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run with ``availableNow`` into a Parquet table in the shared folder and read it back."""
     spark = stream.sparkSession
+    use_rocksdb(spark)
     out = out or fresh_path(spark, "stream")
     query = (
         stream.writeStream.format("parquet").outputMode(mode).option("path", out)
@@ -41,6 +42,7 @@ def run_to_table(stream: DataFrame, mode: str = "append", out: str | None = None
 
 def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str | None = None) -> None:
     """Run ``handle(batch, batch_id)`` on every micro-batch until the available data is used up."""
+    use_rocksdb(stream.sparkSession)
     query = (
         stream.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint or fresh_path(stream.sparkSession, "offsets"))

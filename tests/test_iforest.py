@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from conftest import at, rows_of
 from opslake.operators import iforest
 from opslake.operators.evaluate import detector_benchmark
-from opslake.operators.overlay import Scenario, fault_overlay
 
 CFG = iforest.ForestConfig(trees=20, max_samples=64)
 
@@ -109,14 +108,40 @@ def test_one_model_for_all(history):
 
 def test_save_and_load(history, model, spark, tmp_path):
     model.save(str(tmp_path / "forest"))
-    loaded = iforest.ForestModel.load(spark, str(tmp_path / "forest"), CFG)
+    loaded = iforest.ForestModel.load(spark, str(tmp_path / "forest"))
     few = history.limit(50).persist()
     assert rows_of(iforest.predict_forest(few, loaded), "timestamp", "service") == rows_of(
         iforest.predict_forest(few, model), "timestamp", "service")
 
 
+def test_global_forest_keeps_its_config(history, spark, tmp_path):
+    cfg = iforest.ForestConfig(trees=10, max_samples=64, per_service=False, contamination=0.1)
+    m = iforest.fit_forest(history, cfg)
+    m.save(str(tmp_path / "whole"))
+    loaded = iforest.ForestModel.load(spark, str(tmp_path / "whole"))
+    assert loaded.config == cfg
+    assert iforest.predict_forest(history, loaded).where("is_anomaly").count() == iforest.predict_forest(history, m).where("is_anomaly").count() > 0
+
+
+def test_gaps_after_training_take_the_training_median(history, model):
+    want = history.approxQuantile("latency_ms", [0.5], 0.0)[0]
+    assert abs(model.medians["latency_ms"] - want) < 1
+    gaps = history.limit(5).withColumn("latency_ms", F.lit(None).cast("double"))
+    full = gaps.withColumn("latency_ms", F.lit(model.medians["latency_ms"]))
+    assert rows_of(iforest.predict_forest(gaps, model), "timestamp", "service") == rows_of(iforest.predict_forest(full, model), "timestamp", "service")
+
+
+@pytest.mark.parametrize("mode", ["plain", "spread"])
+def test_rows_without_service_are_scored_zero(history, model, mode):
+    odd = history.limit(3).unionByName(history.limit(2).withColumn("service", F.lit(None).cast("string")))
+    got = iforest.predict_forest(odd, model, mode).collect()
+    assert len(got) == 5 and all(r.anomaly_score == 0 and not r.is_anomaly for r in got if r.service is None)
+
+
 def test_forest_finds_more_of_a_fault_than_the_baseline(history, incidents):
-    fault = fault_overlay(history, Scenario("2024-01-01 02:30:00", 1.0, 0.1, {"database": 0.0, "orders_service": 0.05, "api_gateway": 0.1}))
+    raised = F.col("timestamp").between(F.lit(at(9000)), F.lit(at(12600)))
+    fault = history.withColumns({m: F.when(raised, F.col(m) + add).otherwise(F.col(m)) for m, add in (
+        ("latency_ms", 300.0), ("error_rate", 0.2), ("cpu_usage_pct", 30.0))})
     inc = incidents({"root": "database", "affected": ["database", "orders_service", "api_gateway"], "start": 9000, "end": 12600})
     got = {r.detector: r for r in detector_benchmark(fault, inc, forest=CFG).collect()}
     assert got["isolation_forest"].recall > got["statistical_baseline"].recall

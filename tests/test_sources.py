@@ -78,16 +78,16 @@ def test_registry(spark, tmp_path):
     def run(i, model, **metrics):
         return registry.new_run(model, metrics, run_id=f"r{i}", training_timestamp=f"2024-01-0{i}T00:00:00")
 
-    rows = [run(1, "forest", f1=.77), run(2, "forest", f1=.85), run(3, "forest", recall=.5), run(4, "baseline", f1=.9)]
+    rows = [run(1, "trees", auc=.41), run(2, "trees", auc=.63), run(3, "trees", hits=12.0), run(4, "linear", auc=.5)]
     for part in (rows[:2], rows[2:]):
         registry.append_runs(spark.createDataFrame(part, RUN), path)
     (tmp_path / "runs" / "broken.json").write_text("{not json\n")
     runs = registry.read_runs(spark, path)
     assert [r.run_id for r in registry.list_runs(runs).collect()] == ["r4", "r3", "r2", "r1"]
-    assert [r.run_id for r in registry.list_runs(runs, "baseline").collect()] == ["r4"]
-    assert [r.run_id for r in registry.compare_runs(runs, "forest", "f1").collect()] == ["r2", "r1", "r3"]
-    assert [r.run_id for r in registry.compare_runs(runs, "forest", "f1", descending=False).collect()] == ["r1", "r2", "r3"]
-    assert registry.find_run(spark, path, "r2").first().metrics == {"f1": .85}
+    assert [r.run_id for r in registry.list_runs(runs, "linear").collect()] == ["r4"]
+    assert [r.run_id for r in registry.compare_runs(runs, "trees", "auc").collect()] == ["r2", "r1", "r3"]
+    assert [r.run_id for r in registry.compare_runs(runs, "trees", "auc", descending=False).collect()] == ["r1", "r2", "r3"]
+    assert registry.find_run(spark, path, "r2").first().metrics == {"auc": .63}
     with pytest.raises(FileNotFoundError):
         registry.find_run(spark, path, "nope")
 

@@ -117,3 +117,37 @@ def test_running_totals_and_quantiles_on_a_hot_group(spark):
         for r in quantiles(df, ["g"], "v", probs, mode).collect():
             want = np.percentile([v for g, v in rows if g == r.g], [10, 50, 95])
             assert np.allclose([r.a, r.b, r.c], want, atol=1e-12)
+
+
+def _odd_rows(spark):
+    """Rows with null services, null times and repeats, over several days."""
+    from datetime import timedelta
+
+    from conftest import T0
+
+    rows = [(T0 + timedelta(hours=i), ("a", None, "b")[i % 3], float(i * i % 37)) for i in range(300)]
+    rows += [(None, ("a", None)[i % 2], float(i)) for i in range(8)] + rows[:5]
+    return spark.createDataFrame(rows, "timestamp timestamp_ntz, service string, value double")
+
+
+def test_spread_windows_keep_null_keys(spark):
+    from pyspark.sql import Window, functions as F
+
+    from opslake.plans.slicing import over_ordered, time_slice
+
+    def sums(df, keys):
+        w = Window.partitionBy(*keys).orderBy("timestamp", "value").rowsBetween(-5, -1)
+        return df.withColumn("s", F.sum("value").over(w))
+
+    df = _odd_rows(spark)
+    got = [sorted(map(str, over_ordered(df, ["service"], ["timestamp", "value"], sums, 5, time_slice(F.col("timestamp"), 7200), mode)
+                      .select("timestamp", "service", "value", "s").collect())) for mode in ("plain", "spread")]
+    assert got[0] == got[1] and len(got[0]) == 313
+
+
+def test_spread_quantiles_keep_the_null_group(spark):
+    from opslake.plans.ordering import quantiles
+
+    df = _odd_rows(spark)
+    got = [sorted(map(str, quantiles(df, ["service"], "value", {"q": 0.9}, mode).collect())) for mode in ("plain", "spread")]
+    assert got[0] == got[1] and len(got[0]) == 3

@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opslake.functions.scalars import epoch_seconds
-from opslake.operators.overlay import Scenario, fault_overlay
 from opslake.schema import METRICS, SERVICES
 from opslake.session import tune
 from opslake.sources.incidents import parse_incident_documents
@@ -12,7 +11,6 @@ from opslake.sources.rollup import event_service, telemetry_from_events
 
 HORIZON = 6 * 3600
 SPLIT_DAY = "2024-01-08 00:00:00"
-FAULT = Scenario(start=SPLIT_DAY)
 
 INCIDENT_ROWS = """
   (0L, 'INC-001', 'database_connection_saturation', 'database', array('database','orders_service','api_gateway'),
@@ -36,8 +34,12 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry_from_events(table(spark, sf_dir, "events"))
 
 
-def faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fault_overlay(telemetry(spark, sf_dir), FAULT)
+def strained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Telemetry in which the error events of an hour weigh on its latency and connections, so that bursts stand out."""
+    weight = F.lit(1.0) + F.lit(9.0) * F.col("error_rate")
+    return telemetry(spark, sf_dir).withColumns({
+        "latency_ms": F.col("latency_ms") * weight,
+        "connection_utilization": F.least(F.lit(1.0), F.col("connection_utilization") * weight)})
 
 
 def incidents(spark: SparkSession) -> DataFrame:
@@ -135,21 +137,20 @@ def broken_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drift_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Before the fault, and the faulty day; plus a constant, a shifted constant and a column on one side only."""
+    """Before the split day, and all from then on; plus a constant, a shifted constant and a column on one side only."""
     t = telemetry(spark, sf_dir)
     before = t.where(F.col("timestamp") < F.lit(SPLIT_DAY).cast("timestamp_ntz"))
-    day = fault_overlay(t, FAULT).where(F.col("timestamp").between(
-        F.lit(SPLIT_DAY).cast("timestamp_ntz"), F.lit("2024-01-09 00:00:00").cast("timestamp_ntz")))
+    later = strained(spark, sf_dir).where(F.col("timestamp") >= F.lit(SPLIT_DAY).cast("timestamp_ntz"))
     return (
         before.withColumn("flat", F.lit(7.0)).withColumn("jump", F.lit(10.0)).withColumn("lost", F.col("latency_ms")),
-        day.withColumn("flat", F.lit(7.0)).withColumn("jump", F.lit(20.0)))
+        later.withColumn("flat", F.lit(7.0)).withColumn("jump", F.lit(20.0)))
 
 
 def severity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows with the severity that the documented error-rate tiers would give."""
     from opslake.operators.labels import severity_labels
 
-    t = faulty(spark, sf_dir)
+    t = strained(spark, sf_dir)
     tier = (
         F.when(F.col("error_rate") < 0.01, "low").when(F.col("error_rate") < 0.05, "medium")
         .when(F.col("error_rate") < 0.15, "high").otherwise("critical")

@@ -28,35 +28,6 @@ def _zscores(src: str) -> str:
         FROM (SELECT "timestamp", service, {z} FROM {src})"""
 
 
-def _overlay(src: str, start: str, hours: float) -> str:
-    amp = {
-        "latency_ms": (650.0, 850.0, 950.0), "error_rate": (0.04, 0.28, 0.35), "cpu_usage_pct": (50.0, 35.0, 25.0),
-        "active_connections": (50.0, 35.0, 40.0), "connection_utilization": (0.52, 0.40, None)}
-    cols = []
-    for m in METRICS:
-        high = 100 if m.endswith("pct") else 1 if m in ("error_rate", "connection_utilization") else None
-        value = m
-        if m in amp:
-            d, o, a = amp[m]
-            gate = f"WHEN 'api_gateway' THEN {a}::DOUBLE" if a is not None else ""
-            value = (f"({m} + CASE service WHEN 'database' THEN {d}::DOUBLE WHEN 'orders_service' THEN {o}::DOUBLE {gate} "
-                     f"ELSE 0::DOUBLE END * s)")
-        if m == "active_connections":
-            cols.append(f"CAST(greatest(0::DOUBLE, round({value})) AS BIGINT) AS {m}")
-            continue
-        value = f"least({high}::DOUBLE, {value})" if high else value
-        cols.append(f"greatest(0::DOUBLE, {value}) AS {m}")
-    return f"""
-        SELECT "timestamp", service, {', '.join(cols)} FROM (
-          SELECT *, x * x * (3 - 2 * x) AS s FROM (
-            SELECT *, CASE WHEN h >= 0 AND h < {hours} THEN least(1::DOUBLE, h / 4)
-                           WHEN h >= {hours} AND h < {hours} + 4 THEN greatest(0::DOUBLE, 1 - (h - {hours}) / 4)
-                           ELSE 0::DOUBLE END AS x
-            FROM (SELECT *, (epoch("timestamp") - epoch(TIMESTAMP '{start}')) / 3600::DOUBLE
-                         - CASE service WHEN 'database' THEN 0 WHEN 'orders_service' THEN 2 WHEN 'api_gateway' THEN 4 END AS h
-                  FROM {src})))"""
-
-
 CTES = {
     "ev": """
         SELECT event_id, ts, user_id, event_type,
@@ -77,7 +48,10 @@ CTES = {
                count(DISTINCT user_id) AS active_connections,
                least(1::DOUBLE, count(DISTINCT user_id)::DOUBLE / 50) AS connection_utilization
         FROM ev GROUP BY ALL""",
-    "flt": _overlay("tel", "2024-01-08 00:00:00", 24.0),
+    "flt": """
+        SELECT * REPLACE (latency_ms * (1::DOUBLE + 9::DOUBLE * error_rate) AS latency_ms,
+                          least(1::DOUBLE, connection_utilization * (1::DOUBLE + 9::DOUBLE * error_rate)) AS connection_utilization)
+        FROM tel""",
     "inc": """
         SELECT * FROM (VALUES
           (0::BIGINT, 'INC-001', 'database_connection_saturation', 'database', ['database','orders_service','api_gateway'],
@@ -329,7 +303,7 @@ def _drift_chain(tag: str, ref: str, cur: str, extra: tuple[tuple[str, int, int]
 
 CTES.update(_drift_chain(
     "", "tel WHERE \"timestamp\" < TIMESTAMP '2024-01-08 00:00:00'",
-    "flt WHERE \"timestamp\" BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-09 00:00:00'",
+    "flt WHERE \"timestamp\" >= TIMESTAMP '2024-01-08 00:00:00'",
     (("flat", 7, 7), ("jump", 10, 20)), "UNION ALL SELECT 'lost', 'MISSING', NULL, NULL, NULL"))
 CTES.update(_drift_chain("_stream", "tel WHERE \"timestamp\" < TIMESTAMP '2024-01-08 00:00:00'", "closedtel"))
 CTES["half"] = f"""
@@ -532,12 +506,12 @@ BODIES = {
         FROM tel WINDOW w AS (PARTITION BY service ORDER BY "timestamp" ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)""",
     "zscore_anomalies": "SELECT * FROM zt",
     "flagged_anomalies": "SELECT * FROM zf WHERE is_anomaly",
-    "fault_overlay": f"""
-        SELECT {KEY}, {', '.join(m if m == 'active_connections' else f'round({m}, 6) AS {m}' for m in METRICS)} FROM flt""",
     "contamination_flags": f"""
         SELECT {KEY}, anomaly_score, anomaly_score > round(cut, 9) AS is_anomaly FROM zf LEFT JOIN (
           SELECT service, quantile_cont(anomaly_score, 0.95) AS cut FROM zf
           WHERE "timestamp" < (SELECT min(start_time) FROM inc) GROUP BY service) USING (service)""",
+    "iforest_imputed_medians": f"""
+        {" UNION ALL ".join(f"SELECT '{m}' AS feature, round(median({m}::DOUBLE), 9) AS median FROM tel" for m in METRICS)}""",
     "topology_depth": """
         SELECT g.service, CAST(coalesce(max(w.depth), 0) AS INTEGER) AS depth FROM gnode g LEFT JOIN gwalk w USING (service)
         GROUP BY 1""",
@@ -643,8 +617,7 @@ BODIES = {
         SELECT *, status IN ('DRIFT','MISSING') AS is_drift, status = 'WARNING' AS is_warning FROM verdict""",
     "drift_summary": """
         SELECT (SELECT count(*) FROM tel WHERE "timestamp" < TIMESTAMP '2024-01-08 00:00:00') AS reference_count,
-               (SELECT count(*) FROM tel WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-08 00:00:00'
-                  AND TIMESTAMP '2024-01-09 00:00:00') AS current_count,
+               (SELECT count(*) FROM tel WHERE "timestamp" >= TIMESTAMP '2024-01-08 00:00:00') AS current_count,
                coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE status IN ('DRIFT','MISSING')), '')
                  AS drifted_features,
                coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE status = 'WARNING'), '') AS warning_features,
@@ -670,7 +643,7 @@ BODIES = {
           SELECT 1 AS episode, {KEY}, latency_ms, error_rate, active_connections FROM flt
             WHERE "timestamp" < TIMESTAMP '2024-01-11'
           UNION ALL SELECT 2, {KEY}, latency_ms, error_rate, active_connections
-            FROM ({_overlay("tel", "2024-01-17 06:00:00", 12.0)})
+            FROM flt
             WHERE "timestamp" >= TIMESTAMP '2024-01-11' AND "timestamp" < TIMESTAMP '2024-01-21'
           UNION ALL SELECT 3, {KEY}, latency_ms, error_rate, active_connections FROM tel
             WHERE "timestamp" >= TIMESTAMP '2024-01-21')""",
@@ -688,7 +661,7 @@ for _plain, _spread in (("validate_order", "validate_order_spread"), ("features_
 
 NUDGED = {
     "features_rolling", "features_rolling_spread", "features_delta", "features_interaction", "features_cross_service",
-    "features_all", "scaler_stats", "scaled_features", "zscore_baseline", "fault_overlay", "telemetry_with_anomalies",
+    "features_all", "scaler_stats", "scaled_features", "zscore_baseline", "telemetry_with_anomalies",
     "rca_service_stats", "rca_scores", "rca_confidence", "evidence_metrics", "drift_psi", "drift_psi_spread", "drift_ks",
     "episode_union",
 }

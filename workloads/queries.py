@@ -24,7 +24,8 @@ def query(fn: Query) -> Query:
     return fn
 
 
-# Added before rounding, so that exact ties such as 50.4740625 round alike whatever their last bit is.
+# Only for the comparison with SQL, never in an operator: added before rounding, so that exact ties such as 50.4740625 round
+# alike whatever their last bit is.
 NUDGE = 1e-9
 
 
@@ -79,7 +80,7 @@ def head_tail_split(spark, sf):
 @query
 def run_leaderboard(spark, sf):
     """Z-score runs at several thresholds as registry rows, ranked by F1; one run lacks the metric."""
-    t = I.faulty(spark, sf)
+    t = I.strained(spark, sf)
     truth = labels.incident_labels(t, I.incidents(spark)).select("timestamp", "service", "is_incident")
     scored = zscore.zscore_anomalies(t).select("timestamp", "service", "anomaly_score").join(truth, ["timestamp", "service"])
     tried = scored.select("is_incident", "anomaly_score", F.explode(F.array(
@@ -183,7 +184,7 @@ def active_window_labels(spark, sf):
 
 @query
 def telemetry_with_anomalies(spark, sf):
-    t = I.faulty(spark, sf)
+    t = I.strained(spark, sf)
     found = zscore.zscore_anomalies(t).where("anomaly_score >= 1").select(
         "timestamp", "service", "anomaly_score", "is_anomaly", F.lit(1.0).alias("latency_ms"))
     return rounded(rca.with_anomalies(t, found).select(
@@ -286,18 +287,21 @@ def zscore_anomalies_spread(spark, sf):
 
 @query
 def flagged_anomalies(spark, sf):
-    return zscore.zscore_anomalies(I.faulty(spark, sf)).where("is_anomaly")
+    return zscore.zscore_anomalies(I.strained(spark, sf)).where("is_anomaly")
 
 
 @query
-def fault_overlay(spark, sf):
-    return rounded(I.faulty(spark, sf))
+def iforest_imputed_medians(spark, sf):
+    """Medians that fill gaps at scoring: of every feature, whether or not training has gaps in it."""
+    t = I.telemetry(spark, sf)
+    found = iforest.feature_medians(t, list(iforest.ForestConfig().features))
+    return spark.createDataFrame(sorted(found.items()), "feature string, median double").withColumn("median", F.round("median", 9))
 
 
 @query
 def contamination_flags(spark, sf):
-    """Quantile threshold learned before the fault, applied to all rows, on z-scores."""
-    z = zscore.zscore_anomalies(I.faulty(spark, sf)).select("timestamp", "service", "anomaly_score")
+    """Quantile threshold learned before the first incident, applied to all rows, on z-scores."""
+    z = zscore.zscore_anomalies(I.strained(spark, sf)).select("timestamp", "service", "anomaly_score")
     cut = iforest.score_thresholds(labels.before_incidents(z, I.incidents(spark)), 0.05, "service", "anomaly_score")
     return z.join(cut.select("service", F.round("threshold", 9).alias("threshold")), "service", "left").select(
         "timestamp", "service", "anomaly_score", (F.col("anomaly_score") > F.col("threshold")).alias("is_anomaly"))
@@ -311,24 +315,24 @@ def iforest_model_nodes(spark, sf):
 
 @query
 def iforest_anomalies(spark, sf):
-    return iforest.detect_with_forest(I.faulty(spark, sf), incidents=I.incidents(spark))
+    return iforest.detect_with_forest(I.strained(spark, sf), incidents=I.incidents(spark))
 
 
 @query
 def iforest_anomalies_cogroup(spark, sf):
     """The same forest scored by shuffle instead of broadcast."""
-    t = I.faulty(spark, sf)
+    t = I.strained(spark, sf)
     model = iforest.fit_forest(labels.before_incidents(t, I.incidents(spark)))
     return iforest.predict_forest(t, model, mode="spread")
 
 
 @query
 def detector_benchmark(spark, sf):
-    return evaluate.detector_benchmark(I.faulty(spark, sf), I.incidents(spark))
+    return evaluate.detector_benchmark(I.strained(spark, sf), I.incidents(spark))
 
 
 def _labelled_features(spark, sf):
-    t = I.faulty(spark, sf)
+    t = I.strained(spark, sf)
     feats = features.extract_features(t)
     return feats.join(labels.horizon_labels(t, I.incidents(spark), I.HORIZON), ["timestamp", "service"])
 
@@ -347,7 +351,7 @@ def top_features_report(spark, sf):
 
 @query
 def severity_predictions(spark, sf):
-    t = I.faulty(spark, sf)
+    t = I.strained(spark, sf)
     lab = labels.severity_labels(t, I.incidents(spark)).where(F.col("severity").isNotNull())
     rows = settle(t.join(lab, ["timestamp", "service"]), "labelled")
     return predict_severity(rows, fit_severity(rows))
@@ -355,7 +359,7 @@ def severity_predictions(spark, sf):
 
 @query
 def incident_evaluation(spark, sf):
-    done = evaluate.evaluate_incidents(I.faulty(spark, sf), I.incidents(spark), PredictorConfig(horizon_seconds=I.HORIZON),
+    done = evaluate.evaluate_incidents(I.strained(spark, sf), I.incidents(spark), PredictorConfig(horizon_seconds=I.HORIZON),
                                        0.2, 0.2)
     return done.prediction.withColumn("lead_time_seconds", done.lead_time.scalar()).withColumn(
         "severity_macro_f1", done.severity.agg(F.max("macro_f1")).scalar())
@@ -369,7 +373,7 @@ def topology_depth(spark, sf):
 
 
 def _flagged(spark, sf):
-    t = I.faulty(spark, sf)
+    t = I.strained(spark, sf)
     kept = tuple(tsource.metric_columns(t))
     return rca.with_anomalies(zscore.zscore_anomalies(t, keep=kept).drop("anomalous_metrics"))
 
@@ -426,14 +430,14 @@ def rca_root_causes(spark, sf):
 
 @query
 def evidence_metrics(spark, sf):
-    m = explain.evidence_metrics(I.faulty(spark, sf), _windows(spark, sf))
+    m = explain.evidence_metrics(I.strained(spark, sf), _windows(spark, sf))
     return rounded(m.select("incident_id", "service", "metric", F.col("peak").alias("peak_value"),
                             F.col("mean").alias("mean_value")), 4)
 
 
 @query
 def evidence_signals(spark, sf):
-    s = explain.evidence_signals(explain.evidence_metrics(I.faulty(spark, sf), _windows(spark, sf)))
+    s = explain.evidence_signals(explain.evidence_metrics(I.strained(spark, sf), _windows(spark, sf)))
     return s.select("incident_id", "service", F.array_join("signal_metrics", ",").alias("signal_metrics"))
 
 
@@ -463,7 +467,7 @@ def rca_classification(spark, sf):
 # evaluation ----------------------------------------------------------------------------------------------------------
 
 def _detected(spark, sf):
-    t = I.faulty(spark, sf)
+    t = I.strained(spark, sf)
     return zscore.zscore_anomalies(t), labels.incident_labels(t, I.incidents(spark))
 
 
@@ -584,7 +588,7 @@ def drift_summary(spark, sf):
 
 @query
 def prediction_distribution(spark, sf):
-    return health.prediction_distribution(zscore.zscore_anomalies(I.faulty(spark, sf)))
+    return health.prediction_distribution(zscore.zscore_anomalies(I.strained(spark, sf)))
 
 
 @query
@@ -597,13 +601,11 @@ def model_health(spark, sf):
 
 @query
 def episode_union(spark, sf):
-    """Two faulty episodes and the plain table as one stream of telemetry."""
-    from opslake.operators.overlay import Scenario, fault_overlay as lay
-
-    t = I.telemetry(spark, sf)
+    """Two strained episodes and a plain one as one stream of telemetry."""
+    t, heavy = I.telemetry(spark, sf), I.strained(spark, sf)
     mid, last = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-11", "2024-01-21"))
-    first = lay(t.where(F.col("timestamp") < mid), I.FAULT)
-    second = lay(t.where((F.col("timestamp") >= mid) & (F.col("timestamp") < last)), Scenario("2024-01-17 06:00:00", 12.0))
+    first = heavy.where(F.col("timestamp") < mid)
+    second = heavy.where((F.col("timestamp") >= mid) & (F.col("timestamp") < last))
     third = t.where(F.col("timestamp") >= last)
     joined = first.withColumn("episode", F.lit(1)).unionByName(second.withColumn("episode", F.lit(2))).unionByName(
         third.withColumn("episode", F.lit(3)))
@@ -643,7 +645,6 @@ def _batched(spark, sf, handler):
 
 @query
 def stream_labels(spark, sf):
-    I.table(spark, sf, "events")
     return _batched(spark, sf, lambda out: detect.label_batches(I.incidents(spark), out))
 
 
