@@ -149,7 +149,8 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3,
 
 def assign(docs: DataFrame, plan: MixPlan, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Add size, source_size, target and copies: the (pass, shard) of each time the mix takes the document."""
-    df = without(docs, *ADDED).withColumn("_key", _key(doc_id, text, plan.seed))
+    # Sizes are taken before the join, so that a caller who needs no text has none of it shuffled.
+    df = without(docs, *ADDED).withColumns({"_key": _key(doc_id, text, plan.seed), "size": n_words(text_of(text))})
     df = _located(df, source, plan.sources, plan.seed).join(plan.blocks, ["_src", "_block"], "left")
     in_part = F.col("_edge").isNull() | (F.col("_order") < F.col("_edge")) | (
         (F.col("_order") == F.col("_edge")) & F.coalesce(F.col("_key") <= F.col("_last"), F.lit(False)))
@@ -157,7 +158,7 @@ def assign(docs: DataFrame, plan: MixPlan, doc_id: str = "doc_id", text: str = "
     extra = F.when(F.col("_key") == F.col("_fill"), F.array(F.struct(F.col("_passes").alias("pass"), F.col("_fill_shard").alias("shard"))))
     none = F.array().cast("array<struct<pass:int,shard:int>>")
     cols = [c for c in docs.columns if c not in ADDED]
-    return df.select(*cols, n_words(text_of(text)).alias("size"), "source_size", "target",
+    return df.select(*cols, "size", "source_size", "target",
                      F.concat(F.coalesce(whole, none), F.coalesce(extra, none)).alias("copies"))
 
 
