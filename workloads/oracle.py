@@ -512,6 +512,14 @@ BODIES = {
           WHERE "timestamp" < (SELECT min(start_time) FROM inc) GROUP BY service) USING (service)""",
     "iforest_imputed_medians": f"""
         {" UNION ALL ".join(f"SELECT '{m}' AS feature, round(median({m}::DOUBLE), 9) AS median FROM tel" for m in METRICS)}""",
+    "iforest_tree_account": """
+        SELECT service AS model, CAST(tree AS INTEGER) AS tree, least(256, n) AS sample, least(256, n) AS in_leaves, true AS is_binary,
+               true AS within_limit
+        FROM (SELECT service, count(*) AS n FROM tel WHERE "timestamp" < (SELECT min(start_time) FROM inc) GROUP BY 1 HAVING count(*) >= 2),
+             range(100) AS r(tree)""",
+    "iforest_round_trip": """
+        SELECT side, count(*) AS n_rows, 0::BIGINT AS n_different, true AS has_flags FROM tel, (VALUES ('reloaded'), ('cogroup')) AS s(side)
+        GROUP BY 1""",
     "topology_depth": """
         SELECT g.service, CAST(coalesce(max(w.depth), 0) AS INTEGER) AS depth FROM gnode g LEFT JOIN gwalk w USING (service)
         GROUP BY 1""",

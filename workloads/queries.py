@@ -298,6 +298,40 @@ def iforest_imputed_medians(spark, sf):
     return spark.createDataFrame(sorted(found.items()), "feature string, median double").withColumn("median", F.round("median", 9))
 
 
+def _early_forest(spark, sf, **config):
+    t = I.telemetry(spark, sf)
+    train = labels.before_incidents(t, I.incidents(spark))
+    return t, iforest.fit_forest(train, iforest.ForestConfig(**config))
+
+
+@query
+def iforest_tree_account(spark, sf):
+    """Certifies the trees: each holds its sample once in its leaves and is no deeper than its limit."""
+    _, m = _early_forest(spark, sf)
+    leaf = F.col("feature") < 0
+    limit = F.ceil(F.log2(F.greatest(F.max("sample"), F.lit(2))))
+    return m.nodes.groupBy("model", "tree").agg(
+        F.max("sample").alias("sample"), F.sum(F.when(leaf, F.col("size"))).alias("in_leaves"),
+        F.count_if(~leaf).alias("_inner"), F.count_if(leaf).alias("_leaves"), (F.max("depth") <= limit).alias("within_limit")).select(
+        "model", "tree", "sample", "in_leaves", (F.col("_leaves") == F.col("_inner") + 1).alias("is_binary"), "within_limit")
+
+
+@query
+def iforest_round_trip(spark, sf):
+    """Certifies saving and both scoring plans: rows, and rows that a reloaded global forest or the other plan scores differently."""
+    t, m = _early_forest(spark, sf, per_service=False)
+    path = fresh_path(spark, "forest")
+    m.save(path)
+    loaded = iforest.ForestModel.load(spark, path)
+    base = iforest.predict_forest(t, m)
+    other = [iforest.predict_forest(t, loaded).withColumn("side", F.lit("reloaded")), iforest.predict_forest(t, loaded, "spread").withColumn(
+        "side", F.lit("cogroup"))]
+    both = other[0].unionByName(other[1]).join(base.select("timestamp", "service", F.col("anomaly_score").alias("s"), F.col("is_anomaly").alias("f")),
+                                               ["timestamp", "service"], "left")
+    same = F.col("anomaly_score").eqNullSafe(F.col("s")) & F.col("is_anomaly").eqNullSafe(F.col("f"))
+    return both.groupBy("side").agg(F.count("*").alias("n_rows"), F.count_if(~same).alias("n_different"), (F.count_if("is_anomaly") > 0).alias("has_flags"))
+
+
 @query
 def contamination_flags(spark, sf):
     """Quantile threshold learned before the first incident, applied to all rows, on z-scores."""
