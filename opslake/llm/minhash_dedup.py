@@ -194,7 +194,7 @@ def near_groups(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "d
        is linked so, one check per node and bucket.
     4. Nodes that, given the bucket's least size and the number of their shingles which others have, can have no partner
        leave the bucket. Pairs of one bucket that are not yet in one component are compared by these numbers and by
-       their sketches, in blocks, and those that remain by their full sets. No link between components is lost but for the bands' own chance.
+       their sketches, in blocks and in the first band they share, and those that remain by their full sets. No link between components is lost but for the bands' own chance.
     """
     table = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(F.col(doc_id), text_of(text)).alias("_key"), text_of(text).alias("_text"))
     rows = _written(table.mapInArrow(_describe, "_id bigint, _key bigint, n_shingles bigint, _digest binary, _bands array<bigint>, _sketch array<bigint>"), "described")
@@ -230,18 +230,19 @@ def near_groups(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "d
     placed = _written(placed.drop("least"), "placed")
     open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where(
         F.col("lo") != F.col("hi")).select("band", "m")
-    left = placed.join(open_, "band").join(nodes.select("node", "_sketch"), "node").withColumn(
+    left = placed.join(open_, "band").join(nodes.select("node", "_sketch", "_bands"), "node").withColumn(
         "blocks", F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int"))
     left = _written(left, "open")
-    one = left.select("band", "node", "n", "held", "label", "_sketch", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    one = left.select("band", "node", "n", "held", "label", "_sketch", "_bands", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     two = left.select("band", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("held").alias("held2"),
-                      F.col("label").alias("label2"), F.col("_sketch").alias("_sketch2"),
+                      F.col("label").alias("label2"), F.col("_sketch").alias("_sketch2"), F.col("_bands").alias("_bands2"),
                       F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     apart = F.aggregate(F.zip_with("_sketch", "_sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = F.least("held", "held2")
     able_pair = den * both >= num * (F.col("n") + F.col("n2") - both)
     more = one.join(two, ["band", "block"]).where((F.col("node") < F.col("node2")) & (F.col("label") != F.col("label2")) & able_pair & (
-        apart <= sketch_limit(num / den))).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+        apart <= sketch_limit(num / den)) & (F.try_element_at(F.array_intersect("_bands", "_bands2"), F.lit(1)) == F.col("band"))).select(
+        F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
     links = links.union(_written(_linked(_written(more, "more"), sets, num, den), "links"))
     label = component_labels(links)
 
