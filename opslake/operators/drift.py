@@ -31,12 +31,26 @@ def compared_features(reference: DataFrame, current: DataFrame, features: Sequen
     return shared, [c for c in wanted if c not in shared]
 
 
-def value_counts(reference: DataFrame, current: DataFrame, features: Sequence[str], mode: str = "auto") -> DataFrame:
-    """Per (feature, value): rows of either side, with running and whole totals in value order; finite values only."""
-    sides = long_values(reference, features).withColumn("_ref", F.lit(1)).unionByName(
-        long_values(current, features).withColumn("_ref", F.lit(0)))
+def reference_counts(reference: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Rows per (feature, value), to be taken once for a reference that many tables are compared with."""
+    return settle(long_values(reference, features).where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+        F.count(F.lit(1)).alias("n")), "reference")
+
+
+def value_counts(reference: DataFrame, current: DataFrame, features: Sequence[str], mode: str = "auto",
+                 counted: DataFrame | None = None) -> DataFrame:
+    """Per (feature, value): rows of either side, with running and whole totals in value order; finite values only.
+
+    ``counted`` are the reference's counts, if they were taken before.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    if counted is None:
+        before = long_values(reference, features).select("feature", "value", one.alias("ref_n"), none.alias("cur_n"))
+    else:
+        before = counted.where(F.col("feature").isin(list(features))).select("feature", "value", F.col("n").alias("ref_n"), none.alias("cur_n"))
+    sides = before.unionByName(long_values(current, features).select("feature", "value", none.alias("ref_n"), one.alias("cur_n")))
     counts = sides.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
-        F.sum("_ref").alias("ref_n"), F.sum(F.lit(1) - F.col("_ref")).alias("cur_n"))
+        F.sum("ref_n").alias("ref_n"), F.sum("cur_n").alias("cur_n"))
     return running_totals(counts, ["feature"], ["value"], {"cum_ref": "ref_n", "cum_cur": "cur_n"}, mode)
 
 
@@ -103,7 +117,7 @@ def psi_values(counts: DataFrame, shape: DataFrame, config: DriftConfig = DriftC
 
 
 def feature_drift(reference: DataFrame, current: DataFrame, features: Sequence[str] | None = None,
-                  config: DriftConfig = DriftConfig(), mode: str = "auto") -> DataFrame:
+                  config: DriftConfig = DriftConfig(), mode: str = "auto", counted: DataFrame | None = None) -> DataFrame:
     """``feature, status, psi, ks_statistic, ks_p_value, is_drift, is_warning`` for every compared feature."""
     shared, missing = compared_features(reference, current, features)
     spark = reference.sparkSession
@@ -111,7 +125,7 @@ def feature_drift(reference: DataFrame, current: DataFrame, features: Sequence[s
         *[F.struct(F.lit(c).alias("feature"), F.lit(c in missing).alias("missing")) for c in [*shared, *missing]])).alias("f")
     ).select("f.*")
     if shared:
-        counts = settle(value_counts(reference, current, shared, mode), "counts")
+        counts = settle(value_counts(reference, current, shared, mode, counted), "counts")
         shape = settle(feature_shape(counts, config), "shape")
         measured = shape.join(psi_values(counts, shape, config), "feature").drop("edges")
     else:

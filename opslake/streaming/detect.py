@@ -5,10 +5,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from opslake.operators.drift import DriftConfig, feature_drift
+from opslake.operators.drift import DriftConfig, feature_drift, reference_counts
 from opslake.operators.iforest import ForestModel, predict_forest
 from opslake.operators.labels import incident_labels
 from opslake.operators.zscore import ZScoreConfig, zscore_anomalies
+from opslake.schema import numeric_columns
 from opslake.session import fresh_path
 from opslake.streaming.run import run_batches
 
@@ -84,12 +85,13 @@ def label_batches(incidents: DataFrame, out: str) -> Callable[[DataFrame, int],
 
 def drift_batches(reference: DataFrame, out: str, features: list[str] | None = None,
                   config: DriftConfig = DriftConfig()) -> Callable[[DataFrame, int], None]:
-    """Compare every micro-batch that has rows with a fixed reference."""
+    """Compare every micro-batch that has rows with a fixed reference, which is counted once."""
+    counted = reference_counts(reference, [c for c in features or numeric_columns(reference) if c in reference.columns])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        feature_drift(reference, batch, features, config).withColumn("batch_id", F.lit(batch_id)).write.mode(
+        feature_drift(reference, batch, features, config, counted=counted).withColumn("batch_id", F.lit(batch_id)).write.mode(
             "overwrite").parquet(f"{out}/{batch_id}")
 
     return handle
