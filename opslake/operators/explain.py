@@ -29,6 +29,7 @@ SIGNALS = {
     "cpu_usage_pct": (75.0, "High CPU utilization: peak %.1f%%", "Observed peak cpu usage of %.1f%% (mean %.1f%%)"),
     "active_connections": (50.0, "High active connections: %.0f", "Observed peak active connections of %.0f conn"),
 }
+# Texts that stand in every explanation.
 NOMINAL = "Nominal metric ranges across observed window."
 LIMITATIONS = (
     "Heuristic candidate ranking is not definitive causal proof.",
@@ -102,6 +103,7 @@ def evidence_temporal(ranked: DataFrame) -> DataFrame:
     share = F.col("anomaly_ratio") * 100
     quiet = (F.col("anomaly_count") == 0) | F.col("earliest_anomaly_time").isNull()
     tail = F.format_string("anomalous in %d samples (%.1f%% persistence).", F.col("anomaly_count"), share)
+    # The sentences.
     text = (
         F.when(quiet, F.lit("No anomalous samples observed during evaluation window."))
         .when(F.col("onset_delta_seconds") == 0.0,
@@ -131,6 +133,7 @@ def evidence_dependency(ranked: DataFrame, topology: Topology) -> DataFrame:
         .when(F.array_contains("callers", "orders_service"), F.lit(2))
         .when(F.array_contains("callers", "api_gateway"), F.lit(1)).otherwise(F.lit(2))
     )
+    # Roles and sentences.
     role = (
         F.when(~has_deps & has_callers, "Leaf downstream dependency")
         .when(has_deps & ~has_callers, "Top-level ingress caller")
@@ -160,6 +163,7 @@ def rca_confidence(ranked: DataFrame, config: ExplainConfig = ExplainConfig()) -
         .when(F.col("rank") == 1, F.when(high, "HIGH").when(score >= config.medium_score, "MEDIUM").otherwise("LOW"))
         .otherwise(F.when(score >= config.lower_rank_medium_score, "MEDIUM").otherwise("LOW"))
     )
+    # The sentences.
     why = (
         F.when(quiet, F.lit("No anomalous telemetry signals observed for this service."))
         .when(F.col("rank") != 1, F.format_string("Rank %d candidate score (%.3f).", F.col("rank"), score))
@@ -178,6 +182,7 @@ def rca_classification(ranked: DataFrame, topology: Topology) -> DataFrame:
     """``incident_id, service, classification`` with the precedence unaffected, root, cascading, secondary, correlated."""
     dep = evidence_dependency(ranked, topology).select("incident_id", "service", "anom_callers", "anom_deps")
     rows = ranked.join(dep, ["incident_id", "service"])
+    # The classes.
     label = (
         F.when((F.col("score") <= 0) | (F.col("anomaly_count") == 0), "Unaffected service")
         .when(F.col("rank") == 1, "Probable root cause")
@@ -211,6 +216,7 @@ def explain_candidates(ranked: DataFrame, telemetry: DataFrame, windows: DataFra
     )
     said = F.array_join(F.slice("supporting_signals", 1, 2), "; ")
     score = F.format_string("%.3f", F.col("score"))
+    # The sentences.
     root = F.concat(
         F.lit("Probable root cause: '"), F.col("service"), F.lit("' ranked #1 (Score: "), score, F.lit(", Confidence: "),
         F.col("confidence"), F.lit("). Temporal evidence: "), F.col("temporal_summary"), F.lit(" Dependency evidence: "),
@@ -238,6 +244,7 @@ def explain_incidents(incidents: DataFrame, candidates: DataFrame) -> DataFrame:
     lists = candidates.groupBy("incident_id").agg(F.array_sort(F.collect_list(body)).alias("candidates"))
     top = F.col("candidates")[0]
     found = F.coalesce(top["score"] > 0, F.lit(False))
+    # The sentences.
     text = (
         F.when(F.col("candidates").isNull(), F.lit("No telemetry candidates available for RCA explanation."))
         .when(~found, F.lit("No anomalous telemetry observed; no probable root cause identified."))

@@ -65,6 +65,7 @@ def model_health(current: DataFrame, reference: DataFrame | None, latency_ms: fl
         F.when(bad_quality, 2).otherwise(0),
         F.when(latency > sla * 2, 2).when(latency > sla, 1).otherwise(0),
         F.when(critical_drift, 2).when(any_drift, 1).otherwise(0))
+    # The sentences.
     reasons = F.array_compact(F.array(
         F.when(bad_quality, F.concat(F.lit("Data quality check failed with "), F.col("quality_issues").cast("string"),
                                      F.lit(" issue(s)."))),

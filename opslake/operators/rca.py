@@ -163,6 +163,7 @@ def rca_rank(scores: DataFrame) -> DataFrame:
         F.desc(F.round("raw_score", 6)), F.asc_nulls_last("earliest_ts"), F.asc("service"))
     onset = iso_utc(F.col("earliest_ts"))
     ranked = scores.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    # Fixed value: the sentence.
     text = F.format_string(
         "Candidate '%s' (Rank %d, score %.3f): temporal=%.2f (onset: %s), topology=%.2f (depth: %d), "
         "severity=%.2f (max_score: %.3f).",

@@ -13,42 +13,48 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opslake.functions.scalars import epoch_seconds
 from opslake.plans.keys import null_safe_join
-from opslake.plans.sizing import settle, use_spread_plan
+from opslake.plans.sizing import broadcast_if_small, settle, use_spread_plan
 
 DAY = 86_400
 
 
-def time_slice(ts: Column, seconds: int = DAY) -> Column:
-    return F.floor(epoch_seconds(ts) / F.lit(seconds)).cast("bigint")
+def time_slice(ts: Column, seconds: int | Column = DAY) -> Column:
+    return F.floor(epoch_seconds(ts) / (seconds if isinstance(seconds, Column) else F.lit(seconds))).cast("bigint")
 
 
-def fitting_time_slice(ts: str, keys: Sequence[str], target_rows: int = 1_000_000) -> Callable[[DataFrame], Column]:
-    """Days, or shorter slices if some (key, day) has more than ``target_rows`` rows.
+def fitting_time_slice(ts: str, keys: Sequence[str], target_rows: int = 1_000_000,
+                       least_rows: int = 256) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``_slice``: days, but shorter where a day of the key has more than ``target_rows`` rows, and as many days as
+    it takes to hold about ``least_rows`` where a key has few rows a day, so that its halos stay small beside its rows.
 
-    The fullest day is found by one grouped count over the key and time columns.
+    One grouped count over the key and time columns gives the width per key; the widths are joined in, by broadcast if
+    counted to be few.
     """
-
-    def choose(df: DataFrame) -> Column:
+    def add(df: DataFrame) -> DataFrame:
         per_day = df.groupBy(*keys, time_slice(F.col(ts)).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
-        fullest = per_day.agg(F.max("_n")).first()[0] or 0
-        return time_slice(F.col(ts), max(1, min(DAY, DAY * target_rows // max(fullest, 1))))
+        days = F.ceil(F.lit(least_rows) / F.avg("_n"))
+        width = F.when(F.max("_n") > target_rows, F.greatest(F.lit(1), F.floor(F.lit(DAY * target_rows) / F.max("_n")))).otherwise(DAY * days)
+        widths = per_day.groupBy(*keys).agg(width.cast("bigint").alias("_width"))
+        joined = null_safe_join(df, broadcast_if_small(widths), keys, "left")
+        return joined.withColumn("_slice", time_slice(F.col(ts), F.col("_width"))).drop("_width")
 
-    return choose
+    return add
 
 
 def over_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  compute: Callable[[DataFrame, list[str]], DataFrame], lookback: int,
-                 slice_by: Column | Callable[[DataFrame], Column], mode: str = "auto") -> DataFrame:
+                 slice_by: Column | Callable[[DataFrame], DataFrame], mode: str = "auto") -> DataFrame:
     """Run ``compute(frame, partition_columns)``, whose windows look back at most ``lookback`` rows.
 
-    ``slice_by``, or what it makes of the frame, must not decrease along ``order``; rows with equal slice go to one task.
+    ``slice_by``, or the ``_slice`` that it adds to the frame, must not decrease along ``order`` within a key; rows with
+    equal slice go to one task.
     """
     keys, order = list(keys), list(order)
     if not use_spread_plan(df, mode):
         return compute(df, keys)
 
     df = settle(df)
-    rows = df.withColumn("_slice", slice_by(df) if callable(slice_by) and not isinstance(slice_by, Column) else slice_by)
+    rows = df.withColumn("_slice", slice_by) if isinstance(slice_by, Column) else slice_by(df)
     halo = _halo_rows(rows, keys, order, lookback)
     both = rows.withColumn("_halo", F.lit(False)).unionByName(halo)
     return compute(both, keys + ["_slice"]).where(~F.col("_halo")).drop("_halo", "_slice")

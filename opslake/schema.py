@@ -25,6 +25,7 @@ TELEMETRY = T.StructType(
     + [T.StructField(m, T.LongType() if m == "active_connections" else T.DoubleType()) for m in METRICS]
 )
 
+# Fields of incident documents and of experiment runs.
 INCIDENT = T.StructType([
     T.StructField("incident_id", T.StringType()),
     T.StructField("incident_type", T.StringType()),

@@ -100,7 +100,7 @@ def test_slices_shrink_for_a_busy_service(telemetry):
     from opslake.plans.slicing import fitting_time_slice
 
     t = telemetry([(i * 60, "database", {}) for i in range(1440)])
-    sizes = [t.groupBy(fitting_time_slice("timestamp", ["service"], n)(t).alias("s")).count().agg(F.max("count")).first()[0]
+    sizes = [fitting_time_slice("timestamp", ["service"], n)(t).groupBy("_slice").count().agg(F.max("count")).first()[0]
              for n in (10_000, 100)]
     assert sizes == [1440, 100]
 
@@ -151,3 +151,17 @@ def test_spread_quantiles_keep_the_null_group(spark):
     df = _odd_rows(spark)
     got = [sorted(map(str, quantiles(df, ["service"], "value", {"q": 0.9}, mode).collect())) for mode in ("plain", "spread")]
     assert got[0] == got[1] and len(got[0]) == 3
+
+
+def test_thin_services_get_wide_slices(spark):
+    from pyspark.sql import functions as F
+
+    from opslake.plans.slicing import _halo_rows, fitting_time_slice
+
+    busy = spark.range(20_000).select(F.timestamp_seconds(F.col("id") * 130).cast("timestamp_ntz").alias("timestamp"), F.lit("busy").alias("service"))
+    thin = spark.range(60).select(F.timestamp_seconds(F.col("id") * 43_200).cast("timestamp_ntz").alias("timestamp"), F.lit(None).cast("string").alias("service"))
+    df = busy.unionByName(thin)
+    rows = fitting_time_slice("timestamp", ["service"], target_rows=500)(df)
+    n = {r["service"]: r["n"] for r in rows.groupBy("service").agg(F.countDistinct("_slice").alias("n")).collect()}
+    assert n["busy"] > 25 and n[None] == 1
+    assert rows.count() == df.count() and _halo_rows(rows, ["service"], ["timestamp"], 30).count() < 20_060
