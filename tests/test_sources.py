@@ -102,3 +102,22 @@ def test_artifacts(spark, tmp_path):
 
 def test_shared_dir_is_stable(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_default_load_checks_order_and_tells_every_finding(spark, telemetry, tmp_path):
+    from opslake.sources.telemetry import ContractError, read_telemetry
+
+    back = telemetry([(60 * i, "database", {}) for i in (0, 2, 1)]).coalesce(1)
+    back.write.parquet(str(tmp_path / "back.parquet"))
+    with pytest.raises(ContractError, match="order"):
+        read_telemetry(spark, str(tmp_path / "back.parquet"))
+    back.orderBy("timestamp").coalesce(1).write.csv(str(tmp_path / "good.csv"), header=True)
+    assert "ingest_seq" not in read_telemetry(spark, str(tmp_path / "good.csv")).columns
+    back.write.csv(str(tmp_path / "back.csv"), header=True)
+    with pytest.raises(ContractError, match="order"):
+        read_telemetry(spark, str(tmp_path / "back.csv"))
+    odd = telemetry([(60 * i, f"odd{i:02d}", {}) for i in range(30)]).coalesce(1)
+    odd.write.parquet(str(tmp_path / "odd.parquet"))
+    with pytest.raises(ContractError, match="29 more") as e:
+        read_telemetry(spark, str(tmp_path / "odd.parquet"))
+    assert e.value.findings.where("rule = 'unknown_service'").count() == 30
