@@ -25,8 +25,12 @@ FOUND = "array<struct<start:int,end:int,value:string>>"
 
 #: Bounds of the labelled sample: values per kind, background runs, and characters of a value.
 SAMPLE_VALUES, SAMPLE_BACKGROUND, SAMPLE_CHARS = 1_000, 4_000, 128
-#: Least log-likelihood ratio, in nats, of a format against ordinary runs.
+#: Log-likelihood ratio, in nats, of a format against ordinary runs above which a run counts as credential.
 LEAST_RATIO = 10.0
+#: Share of the labelled values that may lie below the level from which a run is no example of ordinary ones;
+#: the least such level, in nats per character, as labelled values can be ordinary words; and what is taken off, as the automaton
+#: of unlabelled runs was fitted to them.
+LOW_SHARE, LOW_RATIO, LOW_SLACK = 0.05, -0.8, 0.3
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -159,13 +163,26 @@ class Automaton:
 
 
 class Formats:
-    """One automaton per kind of credential, one for ordinary runs, and the ratio from which a run counts as credential."""
+    """One automaton per kind of credential, and one for ordinary runs.
+
+    The unlabelled runs hold bare credentials too, in any share. Those that score as labelled values do are
+    set aside and the automaton of ordinary runs is inferred anew from the others, and last from all that stay at or below LEAST_RATIO,
+    so that runs set aside too early come back. Where most runs are bare credentials, a format can still be missed.
+    """
 
     def __init__(self, labelled: dict[int, list[str]], background: list[str]):
-        self.kinds = [Automaton(v) for v in labelled.values() if v]
+        labelled = [v for v in labelled.values() if v]
+        self.kinds = [Automaton(v) for v in labelled]
         self.plain = Automaton(background or ["-"])
-        ratios = sorted(self.ratio(v) for v in background)
-        self.least = max(LEAST_RATIO, ratios[int(0.995 * (len(ratios) - 1))] if ratios else LEAST_RATIO)
+        scored = []  # labelled values with their likelihood by their kind, and of each half by an automaton of the other
+        for values, kind in zip(labelled, self.kinds, strict=True):
+            halves = values[::2], values[1::2]
+            tries = [(kind, values)] + [(Automaton(fit), held) for fit, held in (halves, halves[::-1]) if fit and held]
+            scored += [(v, x) for own, held in tries for v in held if (x := own.score(v, strict=True)) > -math.inf]
+        for last in (False, False, False, True) if scored else ():
+            ratios = sorted((x - self.ordinary(v)) / len(v) for v, x in scored)
+            low = min(0.0, max(LOW_RATIO, ratios[int(LOW_SHARE * len(ratios))] - LOW_SLACK))
+            self.plain = Automaton([v for v in background if self.ratio(v) <= (LEAST_RATIO if last else low * len(v))] or ["-"])
 
     def ratio(self, value: str) -> float:
         """Of the best format that accepts the run, against ordinary runs."""
@@ -178,7 +195,7 @@ class Formats:
         return max(own, -len(value) * math.log(13)) if NUMBER.fullmatch(value) else own
 
     def is_credential(self, value: str) -> bool:
-        return bool(self.kinds) and self.ratio(value) > self.least
+        return bool(self.kinds) and self.ratio(value) > LEAST_RATIO
 
 
 def fit_formats(scanned: DataFrame) -> Formats:
@@ -198,7 +215,7 @@ def find_secrets(docs: DataFrame, text: str = "text", formats: Formats | None =
 
     Kinds 0 to 2 are the base patterns, leftmost and not overlapping per kind, and always stay. Kind 3 are further runs of
     16 or more credential characters whose likelihood under an automaton of a credential format is above that of ordinary
-    runs by ``Formats.least``; runs that overlap a base span are not added. Without ``formats`` they are inferred from the
+    runs by LEAST_RATIO; runs that overlap a base span are not added. Without ``formats`` they are inferred from the
     values that the base patterns found in ``docs``; if these hold none, only base spans come back. Null or empty text has
     no spans. Other columns but the text pass through; repeated rows are scanned each for itself.
 

@@ -166,6 +166,23 @@ def test_formats_find_bare_credentials():
     assert model.kinds[0].states < 60
 
 
+@pytest.mark.parametrize("share", [0.02, 0.3, 0.7])
+def test_bare_credentials_are_found_in_any_share(share):
+    import random
+    import string
+
+    rnd = random.Random(6)
+    draw = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    key = lambda: rnd.choice(["ghp_" + draw(36, string.ascii_lowercase + string.digits), draw(43, string.ascii_uppercase + string.digits) + "="])
+    word = lambda: draw(rnd.randint(16, 24), "aeinorstlhd")
+    n = int(800 * share)
+    bare = [key() for _ in range(n)]
+    model = secrets.Formats({0: [key() for _ in range(300)]}, bare + [word() for _ in range(800 - n)])
+    known = [k for k in bare + [key() for _ in range(200)] if max(a.score(k, strict=True) for a in model.kinds) > -1e9]
+    assert len(known) > 0.9 * (n + 200) and sum(map(model.is_credential, known)) >= 0.97 * len(known)
+    assert not any(model.is_credential(word()) for _ in range(200))
+
+
 def test_toxicity_learns_and_ignores_other_columns(spark):
     import random
 
