@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from opslake.llm import bpe, embed_dedup, exact_dedup, line_dedup, lm_score, minhash_dedup, mixing, secrets, token_count, toxicity
+from opslake.llm import bpe, embed_dedup, exact_dedup, line_dedup, lm_score, merkle, minhash_dedup, mixing, secrets, token_count, toxicity
 from opslake.llm.rows import remainder
 
 QUERIES: dict = {}
@@ -117,6 +117,76 @@ def op3_embedding_dedup(spark, sf):
     return embed_dedup.near_vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), cosine=0.95)
 
 
+@query
+def op11_merkle_manifest(spark, sf):
+    docs = documents(spark, sf)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.when(remainder("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    found = merkle.manifest(docs, merkle.leaf_digest(*fields, F.col("text")),
+                            keep={"doc_id": F.col("doc_id"), "seen": merkle.leaf_digest(*fields, tampered)})
+    text, back = merkle.text_of_digest, merkle.folded(F.col("seen"), F.col("path"))
+    return found.select("doc_id", text(F.col("leaf")).alias("leaf"), text(F.col("subroot")).alias("subroot"), text(F.col("root")).alias("root"),
+                        F.sha2(text(merkle.siblings(F.col("path"))), 256).alias("proof_sha256"), text(back).alias("folded_root"),
+                        (back == F.col("root")).alias("verified"))
+
+
+ORACLE["op11_merkle_manifest"] = r"""
+WITH RECURSIVE field AS (
+  SELECT doc_id, source, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+         || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+             lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS inverted
+  FROM documents),
+leaf AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         CASE WHEN inverted & 1 = 1 THEN replace(text, chr(10), '') ELSE text END AS cut, head
+  FROM field),
+placed AS (
+  SELECT doc_id, source, leaf, sha256(head || coalesce(strlen(cut) || ':' || cut, '-')) AS seen,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n
+  FROM leaf),
+low AS (
+  SELECT 0 AS level, source, pos, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT level + 1, source, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM low WHERE n > 1
+  GROUP BY level, source, pos // 3),
+top AS (
+  SELECT source, d AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (
+  SELECT 0 AS level, pos, n, subroot AS d FROM top
+  UNION ALL
+  SELECT level + 1, pos // 3, (any_value(n) + 2) // 3, sha256(string_agg(d, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY level, pos // 3),
+side_low AS (
+  SELECT a.level, a.source, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM low a JOIN low b ON a.level = b.level AND a.source IS NOT DISTINCT FROM b.source AND a.pos // 3 = b.pos // 3 WHERE a.n > 1
+  GROUP BY ALL),
+side_high AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM high a JOIN high b ON a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL),
+path AS (
+  SELECT p.source, p.pos, s.level, s.l, s.r FROM placed p JOIN side_low s
+  ON s.source IS NOT DISTINCT FROM p.source AND s.pos = p.pos // (3 ** s.level)::BIGINT
+  UNION ALL
+  SELECT p.source, p.pos, 1000 + s.level, s.l, s.r FROM placed p JOIN top t ON t.source IS NOT DISTINCT FROM p.source
+  JOIN side_high s ON s.pos = t.pos // (3 ** s.level)::BIGINT),
+proof AS (
+  SELECT source, pos, string_agg(l || r, '' ORDER BY level) AS all_, list({'l': l, 'r': r} ORDER BY level) AS steps FROM path GROUP BY source, pos),
+fold AS (
+  SELECT p.source, p.pos, 1 AS k, p.seen AS d, coalesce(f.steps, []) AS steps FROM placed p
+  LEFT JOIN proof f ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos
+  UNION ALL
+  SELECT source, pos, k + 1, sha256(steps[k].l || d || steps[k].r), steps FROM fold WHERE k <= len(steps))
+SELECT p.doc_id, p.leaf, t.subroot, h.d AS root, sha256(coalesce(f.all_, '')) AS proof_sha256, o.d AS folded_root, o.d = h.d AS verified
+FROM placed p JOIN top t ON t.source IS NOT DISTINCT FROM p.source JOIN high h ON h.n = 1
+LEFT JOIN proof f ON f.source IS NOT DISTINCT FROM p.source AND f.pos = p.pos
+JOIN fold o ON o.source IS NOT DISTINCT FROM p.source AND o.pos = p.pos AND o.k = len(o.steps) + 1
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
