@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from opslake.llm import bpe, embed_dedup, exact_dedup, line_dedup, lm_score, merkle, minhash_dedup, mixing, secrets, token_count, toxicity
+from opslake.llm import bpe, collocations, embed_dedup, exact_dedup, line_dedup, lm_score, merkle, minhash_dedup, mixing, secrets, token_count, toxicity
 from opslake.llm.rows import remainder
 
 QUERIES: dict = {}
@@ -187,6 +187,38 @@ JOIN fold o ON o.source IS NOT DISTINCT FROM p.source AND o.pos = p.pos AND o.k
 """
 
 
+@query
+def op13_collocations(spark, sf):
+    return collocations.collocations(documents(spark, sf), min_count=100, max_words=5, covered=100, top=2000)
+
+
+ORACLE["op13_collocations"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece),
+gram AS (
+  SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS size))),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, n.n, k, l.f AS l, r.f AS r, ((1000::HUGEINT * c.a * n.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+  JOIN n ON n.lang = c.lang),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM cand)) GROUP BY ALL)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, w.phrase) AS rank, w.phrase, a, l, r, n, score
+FROM worst w LEFT JOIN inner_ i ON i.lang = w.lang AND i.phrase = w.phrase WHERE longest IS NULL OR 100 * longest < 100 * a
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
