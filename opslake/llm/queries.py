@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from opslake.llm import bpe, collocations, embed_dedup, exact_dedup, line_dedup, lm_score, merkle, minhash_dedup, mixing, secrets, token_count, toxicity
+from opslake.llm import bpe, collocations, embed_dedup, exact_dedup, line_dedup, lm_score, merkle, minhash_dedup, mixing, secrets, suffix_dedup, token_count, toxicity
 from opslake.llm.rows import remainder
 
 QUERIES: dict = {}
@@ -219,6 +219,29 @@ QUALIFY rank <= 2000
 """
 
 
+@query
+def op12_suffix_dedup(spark, sf):
+    return suffix_dedup.remove_repeats(documents(spark, sf).select("doc_id", "text"), length=200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op12_suffix_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+s AS (SELECT k, p, md5_number(substr(h, (2 * p + 1)::INT, 400)) AS m FROM (SELECT k, h, unnest(range(n - 199)) AS p FROM d WHERE n >= 200)),
+twice AS (SELECT m FROM s GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT k, p, p > coalesce(lag(p) OVER (PARTITION BY k ORDER BY p), -1000) + 200 AS new FROM s WHERE m IN (SELECT m FROM twice)),
+run AS (SELECT k, min(p) AS a, max(p) + 200 AS b FROM (SELECT k, p, sum(new::INT) OVER (PARTITION BY k ORDER BY p) AS r FROM hit) GROUP BY k, r),
+gap AS (SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS free FROM run),
+cut AS (
+  SELECT k, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, (2 * free + 1)::INT, (2 * (a - free))::INT), '' ORDER BY a) AS head
+  FROM gap JOIN d USING (k) GROUP BY k)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h, (2 * coalesce(last, 0) + 1)::INT))) AS kept_sha256
+FROM d LEFT JOIN cut USING (k)
+"""
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
