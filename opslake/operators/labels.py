@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from opslake.functions.scalars import shift_seconds
-from opslake.plans.intervals import SLICE_SECONDS, attach_ranges
+from opslake.plans.intervals import attach_max
 
 
 def affected() -> Column:
@@ -14,15 +14,11 @@ def affected() -> Column:
                       F.when(root.isNotNull(), F.array(root)).otherwise(F.array().cast("array<string>")))
 
 
-def _any(hits: Column, test) -> Column:
-    return F.coalesce(F.exists(hits, test), F.lit(False))
+def _found(c: str) -> Column:
+    return F.coalesce(F.col(c), F.lit(False))
 
 
-def _last(hits: Column) -> Column:
-    return F.try_element_at(hits, F.lit(-1))
-
-
-def incident_labels(telemetry: DataFrame, incidents: DataFrame, width: int = SLICE_SECONDS) -> DataFrame:
+def incident_labels(telemetry: DataFrame, incidents: DataFrame, width: int | None = None) -> DataFrame:
     """``timestamp, service, is_incident, is_root_cause, incident_id, incident_type``.
 
     The root flag does not depend on the affected list. When incidents overlap, id and type come from the one listed last.
@@ -32,17 +28,14 @@ def incident_labels(telemetry: DataFrame, incidents: DataFrame, width: int = SLI
     ranges = named.select(
         F.explode(F.array_distinct(F.array_compact(F.concat("_affected", F.array(root))))).alias("service"),
         "ord", F.col("start_time").alias("from_ts"), F.col("end_time").alias("to_ts"),
-        "incident_id", "incident_type", "_affected", root.alias("_root"),
-    ).select("service", "ord", "from_ts", "to_ts", "incident_id", "incident_type",
-             F.array_contains("_affected", F.col("service")).alias("hit"),
-             F.coalesce(F.col("_root") == F.col("service"), F.lit(False)).alias("root"))
-    rows = attach_ranges(telemetry.select("timestamp", "service"), ranges, True, "_hits", width, apart=("hit", "root"))
-    last = _last(F.filter("_hits", lambda r: r["hit"]))
+        "incident_id", "incident_type", "_affected", root.alias("_root"))
+    hit = F.array_contains("_affected", F.col("service"))
+    rows = attach_max(telemetry.select("timestamp", "service"), ranges, True, {
+        "_last": F.when(hit, F.struct("ord", "incident_id", "incident_type")),
+        "_is_root": F.coalesce(F.col("_root") == F.col("service"), F.lit(False))}, width)
     return rows.select(
-        "timestamp", "service",
-        _any(F.col("_hits"), lambda r: r["hit"]).alias("is_incident"),
-        _any(F.col("_hits"), lambda r: r["root"]).alias("is_root_cause"),
-        last["incident_id"].alias("incident_id"), last["incident_type"].alias("incident_type"))
+        "timestamp", "service", F.col("_last").isNotNull().alias("is_incident"), _found("_is_root").alias("is_root_cause"),
+        F.col("_last.incident_id").alias("incident_id"), F.col("_last.incident_type").alias("incident_type"))
 
 
 def _by_service(incidents: DataFrame, start: Column, end: Column, *payload: Column) -> tuple[DataFrame, DataFrame]:
@@ -53,19 +46,18 @@ def _by_service(incidents: DataFrame, start: Column, end: Column, *payload: Colu
     return named, base.where(F.size("_affected") == 0).select(*cols)
 
 
-def severity_labels(telemetry: DataFrame, incidents: DataFrame, width: int = SLICE_SECONDS) -> DataFrame:
+def severity_labels(telemetry: DataFrame, incidents: DataFrame, width: int | None = None) -> DataFrame:
     """``timestamp, service, severity``: lower-cased severity of the last listed matching incident, else null."""
     level = F.lower(F.coalesce(F.col("severity"), F.lit("medium"))).alias("level")
     named, everywhere = _by_service(incidents, F.col("start_time"), F.col("end_time"), level)
-    rows = attach_ranges(telemetry.select("timestamp", "service"), named, True, "_named", width)
-    rows = attach_ranges(rows, everywhere, False, "_every", width)
-    none = F.array().cast(rows.schema["_named"].dataType)
-    hits = F.array_sort(F.concat(F.coalesce("_named", none), F.coalesce("_every", none)))
-    return rows.select("timestamp", "service", _last(hits)["level"].alias("severity"))
+    last = F.struct("ord", "level")
+    rows = attach_max(telemetry.select("timestamp", "service"), named, True, {"_named": last}, width)
+    rows = attach_max(rows, everywhere, False, {"_every": last}, width)
+    return rows.select("timestamp", "service", F.greatest("_named", "_every")["level"].alias("severity"))
 
 
 def horizon_labels(telemetry: DataFrame, incidents: DataFrame, horizon_seconds: float, service_specific: bool = True,
-                   lead_time_only: bool = False, width: int = SLICE_SECONDS) -> DataFrame:
+                   lead_time_only: bool = False, width: int | None = None) -> DataFrame:
     """``timestamp, service, is_incident_in_horizon``: an incident is active or starts within the horizon.
 
     ``lead_time_only`` drops rows at or after the start of the incident.
@@ -75,22 +67,22 @@ def horizon_labels(telemetry: DataFrame, incidents: DataFrame, horizon_seconds:
     named, everywhere = _by_service(incidents, begin, end)
     if not service_specific:
         everywhere = incidents.select("ord", begin.alias("from_ts"), end.alias("to_ts"))
-    rows = attach_ranges(telemetry.select("timestamp", "service"), everywhere, False, "_every", width, lead_time_only)
-    found = F.coalesce(F.size("_every") > 0, F.lit(False))
+    hit = F.lit(True)
+    rows = attach_max(telemetry.select("timestamp", "service"), everywhere, False, {"_every": hit}, width, lead_time_only)
+    found = _found("_every")
     if service_specific:
-        rows = attach_ranges(rows, named, True, "_named", width, lead_time_only)
-        found = found | F.coalesce(F.size("_named") > 0, F.lit(False))
+        rows = attach_max(rows, named, True, {"_named": hit}, width, lead_time_only)
+        found = found | _found("_named")
     return rows.select("timestamp", "service", found.alias("is_incident_in_horizon"))
 
 
-def active_window_labels(telemetry: DataFrame, incidents: DataFrame, width: int = SLICE_SECONDS) -> DataFrame:
+def active_window_labels(telemetry: DataFrame, incidents: DataFrame, width: int | None = None) -> DataFrame:
     """``timestamp, service, incident_label, severity_label``: every service counts while an incident is active."""
     ranges = incidents.select("ord", F.col("start_time").alias("from_ts"), F.col("end_time").alias("to_ts"),
                               F.coalesce(F.col("severity"), F.lit("critical")).alias("level"))
-    rows = attach_ranges(telemetry.select("timestamp", "service"), ranges, False, "_hits", width)
-    hit = F.coalesce(F.size("_hits") > 0, F.lit(False))
-    return rows.select("timestamp", "service", hit.cast("int").alias("incident_label"),
-                       F.coalesce(_last(F.col("_hits"))["level"], F.lit("low")).alias("severity_label"))
+    rows = attach_max(telemetry.select("timestamp", "service"), ranges, False, {"_last": F.struct("ord", "level")}, width)
+    return rows.select("timestamp", "service", F.col("_last").isNotNull().cast("int").alias("incident_label"),
+                       F.coalesce(F.col("_last.level"), F.lit("low")).alias("severity_label"))
 
 
 def before_incidents(telemetry: DataFrame, incidents: DataFrame) -> DataFrame:

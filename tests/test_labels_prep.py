@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import at, rows_of
+from conftest import T0, at, rows_of
 from opslake.operators.labels import active_window_labels, before_incidents, horizon_labels, incident_labels, severity_labels
 from opslake.operators.prep import chronological_split, positional_split, scale, scaler_stats
 
@@ -54,31 +54,68 @@ def test_labels_do_not_depend_on_slice_width(telemetry, incidents):
     assert got[0] == got[1] == got[2]
 
 
-def test_salted_merge_join_equals_broadcast(telemetry, incidents):
-    from opslake.plans.intervals import attach_ranges, pair_ranges
+def test_salted_merge_join_equals_broadcast(telemetry, incidents, monkeypatch):
+    from opslake.plans import intervals
 
+    monkeypatch.setattr(intervals, "SALT_ROWS", 3)
     t = telemetry([(i * 300, s, {}) for i in range(60) for s in ("database", "api_gateway")]).select("timestamp", "service")
     inc = incidents(*[{"root": "database", "start": i * 900, "end": i * 900 + 4000, "id": str(i % 3)} for i in range(15)])
     ranges = inc.select("ord", "incident_id", F.col("start_time").alias("from_ts"), F.col("end_time").alias("to_ts"))
     named = ranges.withColumn("service", F.lit("database"))
     for r, on in ((ranges, False), (named, True)):
-        got = [rows_of(attach_ranges(t, r, on, "hits", 3600, max_rows=m).select("timestamp", "service", "hits"),
-                       "timestamp", "service") for m in (10**6, 0)]
-        assert got[0] == got[1]
-        got = [rows_of(pair_ranges(t, r, on, 3600, max_rows=m).select("timestamp", "service", "ord"), "timestamp", "service", "ord")
+        got = [rows_of(intervals.attach_max(t, r, on, {"last": F.col("ord")}, w, max_rows=m, mode=how), "timestamp", "service")
+               for m, w, how in ((10**6, None, "plain"), (10**6, 3600, "spread"), (0, 40, "plain"), (0, 10**6, "spread"))]
+        assert got[0] == got[1] == got[2] == got[3] and any(g[2] is not None for g in got[0])
+        got = [rows_of(intervals.pair_ranges(t, r, on, 3600, max_rows=m).select("timestamp", "service", "ord"), "timestamp", "service", "ord")
                for m in (10**6, 0)]
         assert got[0] == got[1] and len(got[0]) > 60
 
 
-def test_copies_shrink_but_the_last_one_wins(telemetry, incidents):
-    from opslake.plans.intervals import attach_ranges
+@pytest.mark.parametrize("crowd,finest", [(32, 20), (1, 3), (1, 20)])
+def test_overlaps_of_all_kinds(spark, telemetry, monkeypatch, crowd, finest):
+    """Winner and flag of each row against a scan of all ranges: nested, touching, equal, empty and open-ended ones."""
+    import random
+
+    from opslake.plans import intervals
+
+    monkeypatch.setattr(intervals, "CROWD", crowd)
+    monkeypatch.setattr(intervals, "FINEST", finest)
+    rng = random.Random(7)
+    points = [(rng.randrange(0, 5000) / 10, rng.choice(["database", "api_gateway", None])) for _ in range(300)]
+    spans = [(rng.randrange(0, 500), rng.randrange(0, 500), rng.choice(["database", "api_gateway", None])) for _ in range(120)]
+    spans += [(s, s, "database") for s in range(0, 400, 50)] + [(-10**9, 10**9, "api_gateway"), (100, 10**9, None)]
+    t = telemetry([(s, svc, {}) for s, svc in points]).select("timestamp", "service")
+    r = spark.createDataFrame([(i, at(a), at(b), svc) for i, (a, b, svc) in enumerate(spans)] + [(999, None, at(5), "database")],
+                              "ord bigint, from_ts timestamp_ntz, to_ts timestamp_ntz, service string")
+    for on in (True, False):
+        for open_ in (True, False):
+            def best(s, svc):
+                return max((i for i, (a, b, other) in enumerate(spans)
+                            if a <= s and (s < b if open_ else s <= b) and a <= b and (not on or (svc is not None and svc == other))), default=None)
+
+            got = intervals.attach_max(t, r, on, {"last": F.col("ord"), "odd": F.col("ord") % 2 == 1}, until_open=open_)
+            assert sorted((str(x.timestamp), str(x.service), x.last) for x in got.collect()) == sorted(
+                ((str(at(s)), str(svc), best(s, svc)) for s, svc in points), key=lambda x: x[:2] + (x[2],))
+
+
+def test_ten_thousand_overlapping_incidents(spark, telemetry):
+    """All in one hour of one service: the last one listed wins, and no array of ranges is built."""
+    from opslake.plans.intervals import attach_max
+
+    t = telemetry([(i, "database", {}) for i in range(0, 3600, 40)]).select("timestamp", "service")
+    r = spark.range(10_000).select(
+        F.col("id").alias("ord"), F.lit("database").alias("service"),
+        F.expr(f"timestamp_ntz'{T0}' + make_dt_interval(0, 0, 0, id % 1800)").alias("from_ts"),
+        F.expr(f"timestamp_ntz'{T0}' + make_dt_interval(0, 0, 0, id % 1800 + 1 + id % 1701)").alias("to_ts"))
+    got = attach_max(t, r, True, {"last": F.col("ord")})
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {s: max((i for i in range(10_000) if i % 1800 <= s <= i % 1800 + 1 + i % 1701), default=None) for s in range(0, 3600, 40)}
+    assert {(x.timestamp - T0).seconds: x.last for x in got.collect()} == want
+
 
+def test_copies_shrink_but_the_last_one_wins(telemetry, incidents):
     t = _series(telemetry, 6)
     inc = incidents(*[{"root": "database", "start": 0, "end": 40 * MIN, "id": str(i)} for i in range(50)])
-    ranges = inc.select("ord", "incident_id", F.col("root_cause_service").alias("service"), F.col("start_time").alias("from_ts"),
-                        F.col("end_time").alias("to_ts"))
-    hits = [r.hits for r in attach_ranges(t, ranges, True, "hits").orderBy("timestamp").collect()]
-    assert [[h.incident_id for h in x] for x in hits] == [["49"]] * 5 + [[]]
     assert [r[4] for r in rows_of(incident_labels(t, inc), "timestamp")] == ["49"] * 5 + [None]
 
 
