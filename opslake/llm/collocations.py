@@ -11,11 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opslake.llm.rows import text_slices
-from opslake.plans.sizing import broadcast_if_small
+from opslake.plans.sizing import broadcast_if_small, has_at_most
 from opslake.session import fresh_path
 
 #: Words of a shard (a longer piece stays whole); a bound on what one index holds.
 SHARD_WORDS = 1 << 20
+#: Frequent phrases of one length that are sent to every shard of their language.
+LIST_ROWS = 300_000
 #: What ends a piece. No word can hold a full stop, so it stands for the end of a piece among the words.
 PIECE_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 END = b"."
@@ -41,21 +43,23 @@ class FMIndex:
         self.bwt, self.n, self.occurrences = bwt, n, bwt[order].astype(np.int64) * n + order
 
     @staticmethod
-    def transform(x: np.ndarray) -> np.ndarray:
-        """The transform of x, which ends with 0. Ends are told apart by place, so suffixes are sorted once prefixes as long as the longest piece are."""
-        n, ends = len(x), x == 0
-        rank = x.astype(np.int64) + int(ends.sum())
-        rank[ends] = np.arange(ends.sum())
-        order, step = np.argsort(rank, kind="stable"), 1
-        while True:
-            sorted_rank = rank[order]
-            dense = np.empty(n, np.int64)
-            dense[order] = np.concatenate(([0], np.cumsum(sorted_rank[1:] != sorted_rank[:-1])))
-            if n == 0 or dense[order[-1]] == n - 1:
-                return np.where(order > 0, x[order - 1], 0)
-            rank = dense * (n + 1)
-            rank[:-step] += dense[step:] + 1
-            order, step = np.argsort(rank), step * 2
+    def transform(x: np.ndarray, depth: int) -> np.ndarray:
+        """The transform of x, which ends with 0, with suffixes sorted by their first ``depth`` ids, which is enough for phrases of so many words."""
+        n = len(x)
+        bits = int(x.max(initial=0)).bit_length() or 1
+        packed = max(1, min(depth, 62 // bits))
+        key, padded = np.zeros(n, np.int64), np.append(x, np.zeros(depth, x.dtype)).astype(np.int64)
+        for k in range(packed):
+            key |= padded[k:k + n] << (bits * (packed - 1 - k))
+        order, known = np.argsort(key), packed
+        while known < depth:
+            key = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([1], key[1:] != key[:-1])))
+            key = rank * (n + 1)
+            key[:max(0, n - known)] += rank[known:]
+            order, known = np.argsort(key), known * 2
+        return np.where(order > 0, x[order - 1], 0)
 
     def extend(self, word: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of phrases that have ``word`` before the phrases of the given intervals."""
@@ -93,61 +97,56 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), np.int32)
 
 
-def _make_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per shard: language, distinct words, and the ids of words (from 1) and piece ends (0) in order."""
-    held: dict[str, tuple[_Ids, list[np.ndarray], list[int]]] = {}
-
-    def fresh():
-        return _Ids({END: 0}), [], [0]
-
-    def out(lang: str) -> pa.RecordBatch:
-        ids, parts, _ = held.pop(lang)
-        words = pa.array([[w.decode() for w in list(ids)[1:]]], pa.list_(pa.string()))
-        return pa.RecordBatch.from_arrays([pa.array([lang]), words, pa.array([_packed(np.concatenate(parts))], pa.binary())], ["lang", "words", "ids"])
-
-    for part, texts in text_slices(batches, "text"):
-        for lang, text in zip(part.column(0).to_pylist(), texts.to_pylist(), strict=True):
-            words = PIECE_ENDS.sub(b" . ", text.lower()).replace(b"\t", b" ").split(b" ")
-            words = [w for w in words if w]
-            words.append(END)
-            start = 0
-            while start < len(words):
-                end = min(len(words), start + SHARD_WORDS)
-                while words[end - 1] != END:  # a piece that is longer than a shard stays whole
-                    end += 1
-                ids, parts, size = held.setdefault(lang, fresh())
-                parts.append(np.fromiter(map(ids.__getitem__, words[start:end]), np.int32, end - start))
-                size[0] += end - start
-                start = end
-                if size[0] >= SHARD_WORDS:
-                    yield out(lang)
-    for lang in list(held):
-        yield out(lang)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _make_index(limit: int, depth: int):
+    """Arrow rows, one per shard: language, number of words, distinct words (id - 1 is their place) and both transforms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[_Ids, list[np.ndarray], list[int]]] = {}
+
+        def out(lang: str) -> pa.RecordBatch:
+            ids, parts, _ = held.pop(lang)
+            x = np.concatenate(parts)
+            both = [_packed(FMIndex.transform(np.append(y, 0), depth)) for y in (x, x[::-1])]
+            words = pa.array([[w.decode() for w in list(ids)[1:]]], pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int((x > 0).sum())], pa.int64()), words, *[pa.array([b], pa.binary()) for b in both]],
+                                              ["lang", "n", "words", "before", "after"])
+
+        for part, texts in text_slices(batches, "text"):
+            for lang, text in zip(part.column(0).to_pylist(), texts.to_pylist(), strict=True):
+                words = [w for w in PIECE_ENDS.sub(b" . ", text.lower()).replace(b"\t", b" ").split(b" ") if w]
+                words.append(END)
+                start = 0
+                while start < len(words):
+                    end = min(len(words), start + limit)
+                    while words[end - 1] != END:  # a piece that is longer than a shard stays whole
+                        end += 1
+                    ids, parts, size = held.setdefault(lang, (_Ids({END: 0}), [], [0]))
+                    parts.append(np.fromiter(map(ids.__getitem__, words[start:end]), np.int32, end - start))
+                    size[0] += end - start
+                    start = end
+                    if size[0] >= limit:
+                        yield out(lang)
+        for lang in list(held):
+            yield out(lang)
+
+    return run
+
+
+def _counted(batch: pa.RecordBatch, i: int, phrases: pa.Array, count: np.ndarray) -> pa.RecordBatch:
+    n, one = len(count), [batch.column(c)[i].as_py() for c in ("shard", "lang")]
+    return pa.RecordBatch.from_arrays([pa.array([one[0]] * n, pa.int64()), pa.array([one[1]] * n, pa.string()), phrases, pa.array(count, pa.int64())],
+                                      ["shard", "lang", "phrase", "n"])
+
+
+def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts, per shard, of all words and all pairs of words."""
     for batch in batches:
         for i in range(batch.num_rows):
-            shard, lang, words = (batch.column(k)[i] for k in range(3))
-            n = len(words)
-            count = np.bincount(_unpacked(batch.column(3)[i].as_py()), minlength=n + 1)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([shard.as_py()] * n, pa.int64()), pa.array([lang.as_py()] * n, pa.string()),
-                                              words.values, pa.array(count, pa.int64())], ["shard", "lang", "phrase", "n"])
-
-
-def _make_index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both transforms of each shard over its frequent words; other words end a piece, as no frequent phrase holds them."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {name: batch.column(name)[i].as_py() for name in ("shard", "lang", "words", "ids", "phrases")}
-            known = {w: k for k, w in enumerate(sorted(row["phrases"]), 1)}
-            new = np.array([0] + [known.get(w, 0) for w in row["words"]], np.int32)
-            x = new[_unpacked(row["ids"])]
-            x = x[np.concatenate((x[:-1] + x[1:] > 0, [True]))] if len(x) else x  # runs of ends are one
-            both = [_packed(FMIndex.transform(np.append(y, 0))) for y in (x, x[::-1])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row["shard"]], pa.int64()), pa.array([row["lang"]], pa.string()), pa.array([list(known)], pa.list_(pa.string())),
-                 *[pa.array([b], pa.binary()) for b in both]], ["shard", "lang", "words", "before", "after"])
+            words = batch.column("words")[i].values
+            after = FMIndex(_unpacked(batch.column("after")[i].as_py()))
+            yield _counted(batch, i, words, np.bincount(after.bwt, minlength=len(words) + 1)[1:])
+            first, second, count = after.extensions(*after.find([np.arange(1, len(words) + 1)]))
+            yield _counted(batch, i, pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second - 1)), " "), count)
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,43 +155,25 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             words = batch.column("words")[i].values
             ids = {w: k for k, w in enumerate(words.to_pylist(), 1)}
-            table = np.array([[ids[w] for w in p.split(" ")] for p in batch.column("phrases")[i].as_py()], np.int32)
+            given = [[ids.get(w, 0) for w in p.split(" ")] for p in batch.column("phrases")[i].as_py()]
+            table = np.array([p for p in given if all(p)], np.int32)
+            if len(table) == 0:
+                continue
             columns = list(table.T)
             before, after = (FMIndex(_unpacked(batch.column(c)[i].as_py())) for c in ("before", "after"))
             right_of, right, count = after.extensions(*after.find(columns))
             left_of, left, _ = before.extensions(*before.find(columns[::-1]))
-            longer = np.column_stack((table[right_of], right))
+            longer = np.column_stack((table[right_of], right)).astype(np.int64)
             odd = np.random.default_rng(13).integers(1 << 62, size=longer.shape[1], dtype=np.int64) * 2 + 1
             # Equal sums of unequal phrases would only let a phrase through that the global sum drops later.
-            both = np.isin(longer @ odd, np.column_stack((left, table[left_of])) @ odd)
+            both = np.isin(longer @ odd, np.column_stack((left, table[left_of])).astype(np.int64) @ odd)
             longer, count = longer[both], count[both]
-            phrases = pc.binary_join_element_wise(*[words.take(pa.array(c - 1)) for c in longer.T], " ")
-            n, one = len(count), [batch.column(c)[i].as_py() for c in ("shard", "lang")]
-            yield pa.RecordBatch.from_arrays([pa.array([one[0]] * n, pa.int64()), pa.array([one[1]] * n, pa.string()), phrases,
-                                              pa.array(count, pa.int64())], ["shard", "lang", "phrase", "n"])
+            yield _counted(batch, i, pc.binary_join_element_wise(*[words.take(pa.array(c - 1)) for c in longer.T], " "), count)
 
 
 COUNTS = "shard bigint, lang string, phrase string, n bigint"
 
 
-class _Shards:
-    """Tables with one row per shard, bucketed by shard, so that joins with what a shard needs do not move the shards."""
-
-    def __init__(self, spark, buckets: int):
-        self.spark, self.buckets, self.names = spark, buckets, []
-
-    def save(self, df: DataFrame, name: str, spread: bool) -> DataFrame:
-        path = fresh_path(self.spark, name)
-        self.names.append(f"{name}_{path.rsplit('-', 1)[-1]}")
-        (df.repartition(self.buckets, "shard") if spread else df).write.format("parquet").option("path", path).bucketBy(
-            self.buckets, "shard").saveAsTable(self.names[-1])
-        return self.spark.read.table(self.names[-1])
-
-    def forget(self) -> None:
-        for name in self.names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
-
 def _written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -206,33 +187,30 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
     (A-Z), pieces end at ``.,;:!?`` and at line ends, words at spaces and tabs; a phrase lies within a piece. Counts are exact.
 
     Texts become shards of about a million words in the tasks that read them, none of them shuffled. Each shard keeps a
-    bidirectional index of its frequent words. Level by level, each shard extends those of its phrases that are frequent
-    over all shards by one word on either side, keeps what both sides give, and the counts are summed over shards. A
-    phrase can only be frequent if both phrases one word shorter are, so nothing is lost.
+    bidirectional index. Words and pairs are counted in all shards and summed; from there on, level by level, each shard
+    extends those of its phrases that are frequent over all shards by one word on either side and keeps what both sides
+    give. A phrase can only be frequent if both phrases one word shorter are, so nothing is lost. A level's frequent phrases go to
+    the shards as a list per language if counted to be at most LIST_ROWS, else each shard is joined with those it has.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
-    shards = _written(rows.mapInArrow(_make_shards, "lang string, words array<string>, ids binary").withColumn(
-        "shard", F.monotonically_increasing_id()), "shards").select("shard", "lang", "words", "ids")
-    tables = _Shards(spark, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    kept = tables.save(shards, "shards", True)
-    counts = _written(kept.mapInArrow(_count_words, COUNTS), "phrase-counts")
-    sizes = _written(counts.groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    found, index = [], None
-    for size in range(1, max_words + 1):
+    made = rows.mapInArrow(_make_index(SHARD_WORDS, max_words), "lang string, n bigint, words array<string>, before binary, after binary")
+    index = _written(made.withColumn("shard", F.monotonically_increasing_id()), "phrase-index")
+    counts = index.mapInArrow(_words_and_pairs, COUNTS)
+    found = []
+    for size in range(2, max_words + 1):
         totals = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-        found.append(_written(totals.withColumn("size", F.lit(size)), "phrases"))
+        found.append(_written(totals.withColumn("size", F.size(F.split("phrase", " "))), "phrases"))
+        last = found[-1].where(F.col("size") == size).select("lang", "phrase")
         if size == max_words:
             break
-        own = counts.join(broadcast_if_small(found[-1].select("lang", "phrase")), ["lang", "phrase"], "left_semi")
-        lists = own.groupBy("shard").agg(F.collect_list("phrase").alias("phrases"))
-        if index is None:
-            made = kept.join(lists.hint("merge"), "shard").mapInArrow(
-                _make_index, "shard bigint, lang string, words array<string>, before binary, after binary")
-            index = tables.save(made, "phrase_index", False)
-        counts = _written(index.join(lists.hint("merge"), "shard").mapInArrow(_grow, COUNTS), "phrase-counts")
-    tables.forget()
-    return reduce(DataFrame.unionByName, found), sizes
+        if has_at_most(last, LIST_ROWS):
+            given = index.join(F.broadcast(last.groupBy("lang").agg(F.collect_list("phrase").alias("phrases"))), "lang")
+        else:
+            own = counts.join(last.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("phrase").alias("phrases"))
+            given = index.join(own.hint("merge"), "shard")
+        counts = given.mapInArrow(_grow, COUNTS)
+    return reduce(DataFrame.unionByName, found), index.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def collocations(docs: DataFrame, min_count: int = 100, max_words: int = 5, covered: int = 100, top: int | None = 2000,

@@ -56,8 +56,9 @@ def rows():
     return out + out[:20]
 
 
-@pytest.mark.parametrize("shard,least,covered,top", [(64, 5, 100, 2000), (1 << 20, 20, 90, 7), (700, 1, 60, None)])
-def test_collocations(spark, rows, monkeypatch, shard, least, covered, top):
+@pytest.mark.parametrize("shard,least,covered,top,lists", [(64, 5, 100, 2000, 10**6), (1 << 20, 20, 90, 7, 0), (700, 1, 60, None, 0)])
+def test_collocations(spark, rows, monkeypatch, shard, least, covered, top, lists):
+    monkeypatch.setattr(co, "LIST_ROWS", lists)
     monkeypatch.setattr(co, "SHARD_WORDS", shard)
     some = rows if least > 1 else rows[:60]
     got = made(spark, some, min_count=least, max_words=5, covered=covered, top=top)
@@ -70,11 +71,12 @@ def test_nothing(spark):
     assert co.collocations(df).collect() == []
 
 
-def test_index_extends_both_ways():
+@pytest.mark.parametrize("depth", [3, 4, 300])
+def test_index_extends_both_ways(depth):
     rng = np.random.default_rng(1)
     x = np.append(rng.integers(0, 6, 400), 0).astype(np.int32)
     text = x.tolist()
-    before, after = co.FMIndex(co.FMIndex.transform(x)), co.FMIndex(co.FMIndex.transform(np.append(x[-2::-1], 0).astype(np.int32)))
+    before, after = co.FMIndex(co.FMIndex.transform(x, depth)), co.FMIndex(co.FMIndex.transform(np.append(x[-2::-1], 0).astype(np.int32), depth))
     grams = sorted({tuple(text[i:i + 2]) for i in range(len(text) - 1) if 0 not in text[i:i + 2]})
     table = np.array(grams, np.int32)
     for index, words, longer in ((before, [table[:, 1], table[:, 0]], lambda g, w: (w, *g)), (after, [table[:, 0], table[:, 1]], lambda g, w: (*g, w))):
