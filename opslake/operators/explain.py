@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opslake.functions.scalars import iso_utc, seconds_between
 from opslake.operators.rca import neighbour_stats
 from opslake.operators.topology import Topology
-from opslake.plans.intervals import SLICE_SECONDS, pair_ranges
+from opslake.plans.rollups import Part, window_totals
 from opslake.plans.sizing import settle
 
 # Tracked metrics in display order with display name, unit, multiplier.
@@ -46,20 +46,23 @@ class ExplainConfig:
     lower_rank_medium_score: float = 0.20
 
 
-def evidence_metrics(telemetry: DataFrame, windows: DataFrame, width: int = SLICE_SECONDS) -> DataFrame:
+def evidence_metrics(telemetry: DataFrame, windows: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """``incident_id, service, metric, pos, peak, mean`` (unrounded) of each tracked metric in the window.
 
-    All metrics are aggregated side by side and turned long afterwards, on one row per (incident, service).
+    All metrics are aggregated side by side, over blocks of time, and turned long afterwards, on one row per (incident, service).
+    ``facts`` are the ``window_facts`` of the telemetry, if they were made before.
     """
-    tracked = [f for f in FORMATS if f[0] in telemetry.columns]
-    rows = pair_ranges(telemetry.select("timestamp", "service", *[f[0] for f in tracked]), windows, False, width)
-    wide = rows.groupBy("incident_id", "service").agg(
-        *[F.max(m).cast("double").alias(f"{m}_peak") for m, *_ in tracked],
-        *[F.avg(m).alias(f"{m}_mean") for m, *_ in tracked])
-    return wide.select("incident_id", "service", F.inline(F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.lit(i).alias("pos"), F.col(f"{m}_peak").alias("peak"),
-                 F.col(f"{m}_mean").alias("mean"))
-        for i, (m, *_) in enumerate(tracked)]))).where(F.col("peak").isNotNull())
+    tracked = [(i, m) for i, (m, *_) in enumerate(f for f in FORMATS if f[0] in telemetry.columns)]
+    if facts is None:
+        parts = {}
+        for _, m in tracked:
+            parts |= {f"{m}_peak": Part(F.col(m), "max"), f"{m}_sum": Part(F.col(m).cast("double"), "sum"),
+                      f"{m}_n": Part(F.when(F.col(m).isNotNull(), 1).otherwise(0).cast("bigint"), "sum")}
+        facts = window_totals(telemetry, windows, parts)
+    return facts.select("incident_id", "service", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.lit(i).alias("pos"), F.col(f"{m}_peak").cast("double").alias("peak"),
+                 F.when(F.col(f"{m}_n") > 0, F.col(f"{m}_sum") / F.col(f"{m}_n")).alias("mean"))
+        for i, m in tracked]))).where(F.col("peak").isNotNull())
 
 
 def _signal_cases(make) -> Column:
@@ -194,10 +197,10 @@ def rca_classification(ranked: DataFrame, topology: Topology) -> DataFrame:
 
 
 def explain_candidates(ranked: DataFrame, telemetry: DataFrame, windows: DataFrame, topology: Topology,
-                       config: ExplainConfig = ExplainConfig()) -> DataFrame:
+                       config: ExplainConfig = ExplainConfig(), facts: DataFrame | None = None) -> DataFrame:
     """One row per candidate with all evidence nested and its summary sentence."""
     by = ["incident_id", "service"]
-    detail = evidence_detail(evidence_metrics(telemetry, windows))
+    detail = evidence_detail(evidence_metrics(telemetry, windows, facts))
     one = F.struct("pos", F.col("metric").alias("metric_name"), "display_name",
                    F.round("peak", 4).alias("peak_value"), F.round("mean", 4).alias("mean_value"), "unit", "description")
     facts = detail.groupBy(*by).agg(
@@ -260,9 +263,11 @@ def explain_incidents(incidents: DataFrame, candidates: DataFrame) -> DataFrame:
 def explain_root_causes(telemetry: DataFrame, incidents: DataFrame, topology: Topology,
                         anomalies: DataFrame | None = None, config: ExplainConfig = ExplainConfig()) -> DataFrame:
     """Rank and explain in one call, over the topology of the ranking."""
-    from opslake.operators.rca import close_windows, evaluation_windows, rank_root_causes
+    from opslake.operators.rca import close_windows, evaluation_windows, rca_rank, rca_scores, service_stats, window_facts, with_findings
 
-    incidents, telemetry = settle(incidents, "incidents"), settle(telemetry, "flagged")
-    ranked = settle(rank_root_causes(telemetry, incidents, topology, anomalies), "ranked")
-    windows = close_windows(evaluation_windows(incidents), telemetry)
-    return explain_incidents(incidents, explain_candidates(ranked, telemetry, windows, topology, config))
+    incidents = settle(incidents, "incidents")
+    rows = settle(with_findings(telemetry, anomalies), "flagged")
+    windows = close_windows(evaluation_windows(incidents), rows)
+    facts = window_facts(rows, windows)
+    ranked = settle(rca_rank(rca_scores(service_stats(rows, windows, topology, facts), topology)), "ranked")
+    return explain_incidents(incidents, explain_candidates(ranked, rows, windows, topology, config, facts))

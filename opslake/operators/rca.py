@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opslake.functions.scalars import clip, iso_utc, seconds_between
 from opslake.operators.topology import Topology
-from opslake.plans.intervals import SLICE_SECONDS, pair_ranges
+from opslake.plans.rollups import Part, window_totals
 from opslake.plans.sizing import settle
 
 
@@ -50,28 +50,45 @@ def close_windows(windows: DataFrame, rows: DataFrame) -> DataFrame:
         F.coalesce("to_ts", rows.agg(F.max("timestamp")).scalar()).alias("to_ts"))
 
 
-def service_stats(rows: DataFrame, windows: DataFrame, topology: Topology, width: int = SLICE_SECONDS) -> DataFrame:
+#: Metrics of which a window's peak and mean are evidence.
+EVIDENCE = ("connection_utilization", "error_rate", "latency_ms", "cpu_usage_pct", "memory_usage_pct", "active_connections")
+
+
+def window_facts(rows: DataFrame, windows: DataFrame, evidence: bool = True) -> DataFrame:
+    """Per (incident, service seen in its window): counts, onset, scores and, with ``evidence``, peak, sum and count of metrics.
+
+    All that ranking and explaining need of the telemetry, in one pass over blocks of time (``window_totals``); written
+    once, as several small steps read it. ``rows`` are as ``with_anomalies`` gives them.
+    """
+    flag, score = F.col("is_anomaly"), F.col("anomaly_score")
+    parts = {"total_samples": Part(F.lit(1).cast("bigint"), "sum"), "anomaly_count": Part(F.when(flag, 1).otherwise(0).cast("bigint"), "sum"),
+             "earliest_ts": Part(F.when(flag, F.col("timestamp")), "min"), "_score_sum": Part(score, "sum"),
+             "_score_n": Part(F.when(score.isNotNull(), 1).otherwise(0).cast("bigint"), "sum"), "max_anomaly_score": Part(score, "max")}
+    for out, c in (("max_conn_util", "connection_utilization"), ("max_error_rate", "error_rate")):
+        if c in rows.columns:
+            parts[out] = Part(F.col(c), "max")
+    for c in EVIDENCE if evidence else ():
+        if c in rows.columns:
+            parts |= {f"{c}_peak": Part(F.col(c), "max"), f"{c}_sum": Part(F.col(c).cast("double"), "sum"),
+                      f"{c}_n": Part(F.when(F.col(c).isNotNull(), 1).otherwise(0).cast("bigint"), "sum")}
+    return settle(window_totals(rows, windows, parts), "facts")
+
+
+def service_stats(rows: DataFrame, windows: DataFrame, topology: Topology, facts: DataFrame | None = None) -> DataFrame:
     """One row per (incident, candidate): the services seen in the window and those of the topology, with zeros if unseen.
 
-    Incidents whose window holds no row have no candidates.
+    Incidents whose window holds no row have no candidates. ``facts`` are the ``window_facts`` of the rows, if they were made before.
     """
     zero = F.lit(0.0)
+    facts = window_facts(rows, windows, evidence=False) if facts is None else facts
 
     def peak(c: str) -> Column:
-        return F.coalesce(F.max(c), zero) if c in rows.columns else zero
-
-    used = ["timestamp", "service", "is_anomaly", "anomaly_score",
-            *[c for c in ("connection_utilization", "error_rate") if c in rows.columns]]
-    # One small row per (incident, service); several small steps read it, so it is written once.
-    seen = settle(
-        pair_ranges(rows.select(*used), windows, False, width).groupBy("incident_id", "service").agg(
-            F.count(F.lit(1)).alias("total_samples"),
-            F.count_if("is_anomaly").alias("anomaly_count"),
-            F.min(F.when(F.col("is_anomaly"), F.col("timestamp"))).alias("earliest_ts"),
-            F.avg("anomaly_score").alias("mean_anomaly_score"),
-            F.max("anomaly_score").alias("max_anomaly_score"),
-            peak("connection_utilization").alias("max_conn_util"),
-            peak("error_rate").alias("max_error_rate")), "stats")
+        return F.coalesce(F.col(c), zero) if c in facts.columns else zero
+
+    seen = facts.select(
+        "incident_id", "service", "total_samples", "anomaly_count", "earliest_ts",
+        F.when(F.col("_score_n") > 0, F.col("_score_sum") / F.col("_score_n")).alias("mean_anomaly_score"), "max_anomaly_score",
+        peak("max_conn_util").alias("max_conn_util"), peak("max_error_rate").alias("max_error_rate"))
     # A row of zeros per (incident with data, topology node) joins the measured rows in one more small aggregate.
     candidates = topology.nodes.where("listed").agg(F.collect_list("service")).scalar()
     blank = (
@@ -183,13 +200,18 @@ def rca_rank(scores: DataFrame) -> DataFrame:
 def rank_root_causes(telemetry: DataFrame, incidents: DataFrame, topology: Topology, anomalies: DataFrame | None = None,
                      config: RcaConfig = RcaConfig(), start: str | None = None, end: str | None = None) -> DataFrame:
     """Telemetry, incidents and findings in; ranked candidates out. Without findings or flags the forest is run."""
+    rows = with_findings(telemetry, anomalies)
+    windows = evaluation_windows(incidents, start, end)
+    return rca_rank(rca_scores(service_stats(rows, close_windows(windows, telemetry), topology), topology, config))
+
+
+def with_findings(telemetry: DataFrame, anomalies: DataFrame | None) -> DataFrame:
+    """``with_anomalies``, with the forest's findings where there are none."""
     if anomalies is None and "is_anomaly" not in telemetry.columns:
         from opslake.operators.iforest import detect_with_forest
 
         anomalies = detect_with_forest(telemetry)
-    rows = with_anomalies(telemetry, anomalies)
-    windows = evaluation_windows(incidents, start, end)
-    return rca_rank(rca_scores(service_stats(rows, close_windows(windows, telemetry), topology), topology, config))
+    return with_anomalies(telemetry, anomalies)
 
 
 def top_k(ranked: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import at
 from opslake.operators.explain import explain_candidates, explain_root_causes
@@ -93,3 +94,40 @@ def test_two_runs_agree(spark, telemetry, incidents):
     topo = Topology.from_map(spark)
     runs = [rank_root_causes(x, inc, topo, found).orderBy("rank").collect() for x in (t, t.repartition(5))]
     assert runs[0] == runs[1]
+
+
+@pytest.mark.parametrize("width", [None, 7_000_000, 1_000_000_000])
+def test_window_totals_equal_a_scan(spark, telemetry, monkeypatch, width):
+    """Nested, touching, empty, unbounded and far-reaching windows, at any width of the lowest blocks."""
+    import random
+
+    from opslake.plans import rollups
+
+    rng = random.Random(11)
+    points = [(rng.randrange(0, 40_000) / 4, rng.choice(["database", "api_gateway", "orders_service"]), {"cpu_usage_pct": float(rng.randrange(100))}) for _ in range(500)]
+    spans = [(f"w{i}", a, a + rng.choice([0, 0.25, 3, 50, 900, 9_000])) for i, a in enumerate(rng.randrange(-2_000, 42_000) / 4 for _ in range(60))]
+    spans += [("all", -10**9, 10**9), ("back", 50, 40), ("far", 10**8, 10**9)]
+    t = telemetry(points)
+    w = spark.createDataFrame([(i, at(a), at(b)) for i, a, b in spans] + [("open", None, at(5))], "incident_id string, from_ts timestamp_ntz, to_ts timestamp_ntz")
+    parts = {"n": rollups.Part(F.lit(1).cast("bigint"), "sum"), "top": rollups.Part(F.col("cpu_usage_pct"), "max"),
+             "first": rollups.Part(F.when(F.col("cpu_usage_pct") > 50, F.col("timestamp")), "min")}
+    want = []
+    for i, a, b in spans:
+        for svc in ("database", "api_gateway", "orders_service"):
+            inside = [(s, m["cpu_usage_pct"]) for s, v, m in points if v == svc and a <= s <= b]
+            if inside:
+                want.append((i, svc, len(inside), max(m for _, m in inside), min((at(s) for s, m in inside if m > 50), default=None)))
+    for few in (10**6, 0):
+        monkeypatch.setattr(rollups, "FEW_WINDOWS", few)
+        got = rollups.window_totals(t, w, parts, width=width)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want, key=lambda r: r[:2])
+
+
+def test_no_window_and_no_row(spark, telemetry):
+    from opslake.plans import rollups
+
+    w = spark.createDataFrame([("a", at(0), at(9))], "incident_id string, from_ts timestamp_ntz, to_ts timestamp_ntz")
+    parts = {"n": rollups.Part(F.lit(1).cast("bigint"), "sum")}
+    t = telemetry([(0, "database", {})])
+    assert rollups.window_totals(t.limit(0), w, parts).collect() == []
+    assert rollups.window_totals(t, w.limit(0), parts).collect() == []
