@@ -113,7 +113,7 @@ def _not_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([held.column("owner"), held.column("at")], ["owner", "at"])
 
 
-PLACES = "o1 bigint, o2 bigint, first bigint, name bigint, x1 bigint, x2 bigint, more int, near binary"
+PLACES = "o1 bigint, o2 bigint, first bigint, name bigint, x1 bigint, x2 bigint, more int, before int, near binary"
 
 
 def _neighbourhoods(length: int):
@@ -124,7 +124,7 @@ def _neighbourhoods(length: int):
         from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
         for part, texts in text_slices(batches, "text"):
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for o1, o2, places, text in zip(*[part.column(c).to_pylist() for c in ("o1", "o2", "places")], texts.to_pylist(), strict=True):
                 for packed in sorted(set(places)):
                     at, before, least = packed >> 14, packed >> 7 & 127, packed & 127
@@ -133,11 +133,11 @@ def _neighbourhoods(length: int):
                         continue
                     near = text[first:last + length]
                     x = xxh3_128_intdigest(near + bytes((before, least)))
-                    row = (o1, o2, first, _signed(xxh3_64_intdigest(text[at:at + short])), _signed(x >> 64), _signed(x & (1 << 64) - 1), last - first, near)
+                    row = (o1, o2, first, _signed(xxh3_64_intdigest(text[at:at + short])), _signed(x >> 64), _signed(x & (1 << 64) - 1), last - first, before, near)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:6]], pa.array(out[6], pa.int32()), pa.array(out[7], pa.binary())],
-                                             ["o1", "o2", "first", "name", "x1", "x2", "more", "near"])
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:6]], *[pa.array(c, pa.int32()) for c in out[6:8]], pa.array(out[8], pa.binary())],
+                                             ["o1", "o2", "first", "name", "x1", "x2", "more", "before", "near"])
 
     return run
 
@@ -187,20 +187,28 @@ def _merge_in_task(length: int):
     return run
 
 
-def _strings(length: int):
-    """Arrow rows of all strings of neighbourhoods: 128-bit digest, neighbourhood, offset and how often the neighbourhood occurs."""
+PARTS = "x1 bigint, x2 bigint, more int, before int, near binary, n bigint, open int, low int, size int"
+
+
+def _part_names(length: int):
+    """Adds two 128-bit names to parts, the strings of a neighbourhood that start low .. low + size - 1 bytes before the sampled position.
+
+    The core is what all strings of such a part have in common in any neighbourhood, the hull what this neighbourhood's strings cover.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
         for batch in batches:
-            for x1, x2, more, near, n in zip(*[batch.column(c).to_pylist() for c in ("x1", "x2", "more", "near", "n")], strict=True):
-                d = [xxh3_128_intdigest(near[i:i + length]) for i in range(more + 1)]
-                k = len(d)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_signed(v >> 64) for v in d], pa.int64()), pa.array([_signed(v & (1 << 64) - 1) for v in d], pa.int64()),
-                     pa.array([x1] * k, pa.int64()), pa.array([x2] * k, pa.int64()), pa.array(range(k), pa.int32()), pa.array([n] * k, pa.int64())],
-                    ["d1", "d2", "x1", "x2", "i", "n"])
+            names = []
+            for more, before, near, low, size in zip(*[batch.column(c).to_pylist() for c in ("more", "before", "near", "low", "size")], strict=True):
+                near_at, far = max(low, before - more), min(low + size - 1, before)
+                core = near[before - low:max(before - low, before - (low + size - 1) + length)]
+                hull = near[before - far:before - near_at + length]
+                names.append([xxh3_128_intdigest(part + bytes(tag)) for part, tag in ((core, (low, size, 0)), (hull, (near_at, far, 1)))])
+            columns = [pa.array([_signed(w) for n in names for w in [n[i] >> 64 if high else n[i] & (1 << 64) - 1]], pa.int64())
+                       for i in (0, 1) for high in (True, False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "c1", "c2", "h1", "h2"])
 
     return run
 
@@ -222,12 +230,39 @@ def _join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], n: str) -> DataF
 
 
 def _many(near: DataFrame, length: int) -> DataFrame:
-    """As ``_merge_in_task`` for names with any number of neighbourhoods: strings meet by digest."""
-    strings = _written(near.select("x1", "x2", "more", "near", "n").mapInArrow(_strings(length), "d1 bigint, d2 bigint, x1 bigint, x2 bigint, i int, n bigint"), "suffix-strings")
-    twice = _written(strings.groupBy("d1", "d2").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 1").drop("n"), "suffix-twice")
-    hits = _join_hot(strings.drop("n"), twice, ["d1", "d2"], "rows")
-    each = F.transform(F.array_sort(F.collect_set("i")), lambda i: F.struct(i.alias("a"), i.alias("b")))
-    return hits.groupBy("x1", "x2").agg(each.alias("runs"))
+    """As ``_merge_in_task`` for names with any number of neighbourhoods, by recursion on longer names.
+
+    The strings of a neighbourhood are halved again and again, at the same distances from the sampled position in all of
+    them. A part whose core nobody else has is done; parts with the same hull are settled, and one of them goes on as their
+    witness while others that are open share its core; the rest is halved. So a common passage with different surroundings
+    costs a few parts each time, not all its strings.
+    """
+    ids = ["x1", "x2", "low"]
+    size = 1 << (COVER - 1).bit_length()
+    parts = near.select("x1", "x2", "more", "before", "near", "n", F.lit(1).alias("open"), F.lit(0).alias("low"), F.lit(size).alias("size"))
+    settled = []
+    while size:
+        named = _written(parts.mapInArrow(_part_names(length), f"{PARTS}, c1 bigint, c2 bigint, h1 bigint, h2 bigint"), "suffix-parts", "zstd")
+        keys = named.select("n", "open", F.inline(F.array(F.struct(F.col("c1").alias("k1"), F.col("c2").alias("k2")),
+                                                          F.struct(F.col("h1").alias("k1"), F.col("h2").alias("k2")))))
+        sums = keys.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.sum("open").alias("open"), F.count("*").alias("rows"))
+        twice = _written(sums.where((F.col("n") > 1) & (F.col("open") > 0)).select("k1", "k2", "rows"), "suffix-twice")
+        cores, hulls = (twice.select(F.col("k1").alias(f"{c}1"), F.col("k2").alias(f"{c}2"), "rows") for c in "ch")
+        shared = _written(_join_hot(named, cores, ["c1", "c2"], "rows").drop("rows"), "suffix-parts", "zstd")
+        done = _written(_join_hot(shared.select(*ids, "more", "before", "size", "open", "h1", "h2"), hulls, ["h1", "h2"], "rows"), "suffix-settled")
+        far, near_at = F.least(F.col("low") + F.col("size") - 1, F.col("before")), F.greatest(F.col("low"), F.col("before") - F.col("more"))
+        settled.append(done.where("open = 1").select("x1", "x2", F.struct((F.col("before") - far).alias("a"), (F.col("before") - near_at).alias("b")).alias("run")))
+        witness = done.groupBy("h1", "h2").agg(F.min(F.struct(*ids)).alias("id")).select("id.*")
+        size //= 2
+        halves = F.explode(F.array("low", F.col("low") + size))
+        rest = shared.join(done.select(*ids), ids, "left_anti").unionByName(
+            shared.join(witness, ids, "left_semi").withColumn("n", F.lit(2).cast("bigint")).withColumn("open", F.lit(0)))
+        parts = rest.select("x1", "x2", "more", "before", "near", "n", "open", halves.alias("low"), F.lit(size).alias("size"))
+        parts = parts.where((F.col("low") <= F.col("before")) & (F.col("low") + size > F.col("before") - F.col("more")))
+    every = settled[0]
+    for s in settled[1:]:
+        every = every.unionByName(s)
+    return every.groupBy("x1", "x2").agg(F.collect_list("run").alias("runs"))
 
 
 def _repeats(docs: DataFrame, length: int) -> DataFrame:
@@ -237,7 +272,7 @@ def _repeats(docs: DataFrame, length: int) -> DataFrame:
     places = _written(ordered.mapInArrow(_not_alone, "owner bigint, at bigint").groupBy("owner").agg(F.collect_set("at").alias("places")), "suffix-places")
     joined = docs.select("o1", "o2", "text").join(places.withColumnRenamed("owner", "o1"), "o1")
     kept = _written(joined.mapInArrow(_neighbourhoods(length), PLACES), "suffix-near", "zstd")
-    near = _written(kept.groupBy("name", "x1", "x2", "more").agg(F.first("near").alias("near"), F.count("*").alias("n")), "suffix-kinds", "zstd")
+    near = _written(kept.groupBy("name", "x1", "x2", "more", "before").agg(F.first("near").alias("near"), F.count("*").alias("n")), "suffix-kinds", "zstd")
     crowded = near.groupBy("name").agg(F.count("*").alias("kinds")).where(F.col("kinds") > GROUP_ROWS)
     crowded = _written(crowded, "suffix-crowded")  # at most 1 / GROUP_ROWS of the neighbourhoods
     some = near.join(crowded.select("name"), "name", "left_anti")
