@@ -14,8 +14,8 @@ from opslake.llm.rows import text_slices
 from opslake.plans.sizing import broadcast_if_small, has_at_most
 from opslake.session import fresh_path
 
-#: Words of a shard (a longer piece stays whole); a bound on what one index holds.
-SHARD_WORDS = 1 << 20
+#: Words of a shard (a longer piece stays whole); a bound on what one index holds. Rows of a batch that leaves a task.
+SHARD_WORDS, BATCH_ROWS = 1 << 19, 1 << 16
 #: Frequent phrases of one length that are sent to every shard of their language.
 LIST_ROWS = 300_000
 #: What ends a piece. No word can hold a full stop, so it stands for the end of a piece among the words.
@@ -132,10 +132,15 @@ def _make_index(limit: int, depth: int):
     return run
 
 
-def _counted(batch: pa.RecordBatch, i: int, phrases: pa.Array, count: np.ndarray) -> pa.RecordBatch:
-    n, one = len(count), [batch.column(c)[i].as_py() for c in ("shard", "lang")]
-    return pa.RecordBatch.from_arrays([pa.array([one[0]] * n, pa.int64()), pa.array([one[1]] * n, pa.string()), phrases, pa.array(count, pa.int64())],
-                                      ["shard", "lang", "phrase", "n"])
+def _counted(batch: pa.RecordBatch, i: int, words: pa.Array, columns: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of phrases given word by word (from 1) and their counts in the i-th shard of a batch."""
+    shard, lang = (batch.column(c)[i].as_py() for c in ("shard", "lang"))
+    for k in range(0, len(count), BATCH_ROWS):
+        parts = [words.take(pa.array(c[k:k + BATCH_ROWS] - 1)) for c in columns]
+        phrases = pc.binary_join_element_wise(*parts, " ") if len(parts) > 1 else parts[0]
+        n = len(phrases)
+        yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array([lang] * n, pa.string()), phrases,
+                                          pa.array(count[k:k + BATCH_ROWS], pa.int64())], ["shard", "lang", "phrase", "n"])
 
 
 def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +149,11 @@ def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for i in range(batch.num_rows):
             words = batch.column("words")[i].values
             after = FMIndex(_unpacked(batch.column("after")[i].as_py()))
-            yield _counted(batch, i, words, np.bincount(after.bwt, minlength=len(words) + 1)[1:])
-            first, second, count = after.extensions(*after.find([np.arange(1, len(words) + 1)]))
-            yield _counted(batch, i, pc.binary_join_element_wise(words.take(pa.array(first)), words.take(pa.array(second - 1)), " "), count)
+            single = np.arange(1, len(words) + 1)
+            yield from _counted(batch, i, words, [single], np.bincount(after.bwt, minlength=len(words) + 1)[1:])
+            first, second, count = after.extensions(*after.find([single]))
+            del after
+            yield from _counted(batch, i, words, [first + 1, second], count)
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +175,7 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Equal sums of unequal phrases would only let a phrase through that the global sum drops later.
             both = np.isin(longer @ odd, np.column_stack((left, table[left_of])).astype(np.int64) @ odd)
             longer, count = longer[both], count[both]
-            yield _counted(batch, i, pc.binary_join_element_wise(*[words.take(pa.array(c - 1)) for c in longer.T], " "), count)
+            yield from _counted(batch, i, words, list(longer.T), count)
 
 
 COUNTS = "shard bigint, lang string, phrase string, n bigint"
@@ -186,7 +193,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
     The first part has lang, phrase (words joined by spaces), size and f; the second lang and n. Texts are lower-cased
     (A-Z), pieces end at ``.,;:!?`` and at line ends, words at spaces and tabs; a phrase lies within a piece. Counts are exact.
 
-    Texts become shards of about a million words in the tasks that read them, none of them shuffled. Each shard keeps a
+    Texts become shards of about half a million words in the tasks that read them, none of them shuffled. Each shard keeps a
     bidirectional index. Words and pairs are counted in all shards and summed; from there on, level by level, each shard
     extends those of its phrases that are frequent over all shards by one word on either side and keeps what both sides
     give. A phrase can only be frequent if both phrases one word shorter are, so nothing is lost. A level's frequent phrases go to
