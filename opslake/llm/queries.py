@@ -92,12 +92,16 @@ def op10_toxicity(spark, sf):
     return scored.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def _field(name: str):
+    return lambda c: c[name]
+
+
 @query
 def op2_source_mixing(spark, sf):
     docs = documents(spark, sf).select("doc_id", "source", "text")
     dealt = mixing.assign(docs, mixing.plan_mix(docs))
     return dealt.select("doc_id", "size", "source_size", "target", (F.size("copies") * F.col("size")).alias("taken"),
-                        F.array_join(F.transform("copies", lambda c: c["shard"]), ",").alias("shards"))
+                        *[F.array_join(F.transform("copies", _field(n)), ",").alias(f"{n}s") for n in ("shard", "place")])
 
 
 @query

@@ -336,30 +336,72 @@ def test_sketch_tells_close_sets():
     assert apart(a, a) == 0 and apart(a, near) <= minhash_dedup.sketch_limit(0.85) < apart(a, far)
 
 
-def test_mixing(spark):
-    import random
-
-    rnd = random.Random(2)
-    rows_ = [(i, "w " * rnd.choice([0, 1, 5, 30, 200]), rnd.choice(["a", "b", "b", "b", "b", "Z", None, "ß"])) for i in range(3000)]
-    rows_ += [(None, None, "b"), (7, rows_[7][1], rows_[7][2]), (9000, "one two", "tiny")]
+def shared_out(sizes, cap=3):
+    """Targets by the rule alone: share by weight, stop at the cap, share the excess again until none is above."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: 1 + i % 3 for i, s in enumerate(order)}
+    total, fixed = sum(sizes.values()), set()
+    while True:
+        rest = total - sum(cap * sizes[s] for s in fixed)
+        mass = sum(weight[s] for s in order if s not in fixed)
+        out = {s: float(cap * sizes[s]) if s in fixed else weight[s] * rest / mass for s in order}
+        over = {s for s in order if s not in fixed and out[s] > cap * sizes[s]}
+        if not over:
+            return out
+        fixed |= over
+
+
+def near_targets(spark, rows_):
     docs = spark.createDataFrame(rows_, "doc_id bigint, text string, source string")
     plan = mixing.plan_mix(docs, shards=8)
     out = mixing.assign(docs, plan).collect()
     sizes = {}
     for _, t, s in rows_:
         sizes[s] = sizes.get(s, 0) + len((t or "").split())
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    target = dict(zip(order, mixing.fill_targets([sizes[s] for s in order], [1 + i % 3 for i in range(len(order))]), strict=True))
+    target = shared_out(sizes)
     assert sum(target.values()) == pytest.approx(sum(sizes.values()))
-    for s in order:
+    for s in sizes:
         mine = [r for r in out if r["source"] == s]
-        assert {r["source_size"] for r in mine} == {sizes[s]} and {r["target"] for r in mine} == {target[s]}
-        assert abs(sum(r["size"] * len(r["copies"]) for r in mine) - target[s]) <= 100  # half of the largest document
-    assert max(len(r["copies"]) for r in out) <= 3
+        assert {r["source_size"] for r in mine} == {sizes[s]} and max(abs(r["target"] - target[s]) for r in mine) < 1e-6
+        free = [r["size"] for r in mine if len(r["copies"]) < 3 and r["size"]]
+        missing = target[s] - sum(r["size"] * len(r["copies"]) for r in mine)
+        assert -1e-6 <= missing and (missing < min(free) if free else missing < 1)
+    assert all(len(r["copies"]) == len({c["pass"] for c in r["copies"]}) <= 3 and {c["shard"] for c in r["copies"]} <= set(range(8)) for r in out)
+    return docs, out
+
+
+def test_mixing(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows_ = [(i, "w " * rnd.choice([0, 1, 5, 30, 200]), rnd.choice(["a", "b", "b", "b", "b", "Z", None, "ß"])) for i in range(3000)]
+    rows_ += [(None, None, "b"), (9000, "one two", "tiny")]
+    docs, out = near_targets(spark, rows_)
     again = mixing.assign(docs.repartition(5), mixing.plan_mix(docs.repartition(7), shards=8)).collect()
     assert Counter((r["doc_id"], str(r["copies"])) for r in out) == Counter((r["doc_id"], str(r["copies"])) for r in again)
     mixed = mixing.mix(docs, shards=8)
-    assert mixed.count() == sum(len(r["copies"]) for r in out)
+    assert Counter((r["doc_id"], r["mix_shard"], r["mix_pass"]) for r in mixed.collect()) == Counter(
+        (r["doc_id"], c["shard"], c["pass"]) for r in out for c in r["copies"])
+
+
+def test_mixing_with_one_giant_document_per_source(spark):
+    rows_ = [(i, "w " * 10, "a") for i in range(500)] + [(500, "w " * 10_000, "a")] + [(i, "w " * 10, "b") for i in range(1000, 2200)]
+    near_targets(spark, rows_)
+    near_targets(spark, [(0, "w " * 7_000, "a"), (1, "w " * 900, "b"), (2, "w", "b"), (3, "w w", "c")])
+
+
+def test_mixing_repeated_rows_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_WORDS", 50)
+    rows_ = [(i % 40, "w " * (i % 40 % 7), "s%d" % (i % 2), "x", 1, 2) for i in range(80)]
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string, source string, _name string, _key int, mix_pass int")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "text", "source", "_name", "_key", "mix_shard", "mix_pass"]
+    plan = mixing.plan_mix(docs)
+    assert plan.shards > 1 and max(r["mix_shard"] for r in out.collect()) < plan.shards
+    clash = docs.withColumnsRenamed({"_key": "_row", "mix_pass": "_plan"}).withColumn("size", F.lit("s"))
+    got = mixing.assign(clash, plan)
+    assert got.columns == ["doc_id", "text", "source", "_name", "_row", "_plan", "size", "source_size", "target", "copies"] and got.count() == 80
+    assert mixing.mix(docs.limit(0)).count() == 0
 
 
 def test_fill_targets_stop_and_reshare():
