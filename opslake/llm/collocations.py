@@ -101,14 +101,16 @@ def _make_index(limit: int, depth: int):
     """Arrow rows, one per shard: language, number of words, distinct words (id - 1 is their place) and both transforms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         held: dict[str, tuple[_Ids, list[np.ndarray], list[int]]] = {}
 
         def out(lang: str) -> pa.RecordBatch:
             ids, parts, _ = held.pop(lang)
             x = np.concatenate(parts)
             both = [_packed(FMIndex.transform(np.append(y, 0), depth)) for y in (x, x[::-1])]
-            words = pa.array([[w.decode() for w in list(ids)[1:]]], pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int((x > 0).sum())], pa.int64()), words, *[pa.array([b], pa.binary()) for b in both]],
+            words = zstandard.compress(b"\n".join(list(ids)[1:]), 1)
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int((x > 0).sum())], pa.int64()), *[pa.array([b], pa.binary()) for b in (words, *both)]],
                                               ["lang", "n", "words", "before", "after"])
 
         for part, texts in text_slices(batches, "text"):
@@ -132,6 +134,13 @@ def _make_index(limit: int, depth: int):
     return run
 
 
+def _words(batch: pa.RecordBatch, i: int) -> pa.Array:
+    import zstandard
+
+    blob = zstandard.decompress(batch.column("words")[i].as_py())
+    return pa.array(blob.split(b"\n") if blob else [], pa.binary()).cast(pa.string())
+
+
 def _counted(batch: pa.RecordBatch, i: int, words: pa.Array, columns: list[np.ndarray], count: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows of phrases given word by word (from 1) and their counts in the i-th shard of a batch."""
     shard, lang = (batch.column(c)[i].as_py() for c in ("shard", "lang"))
@@ -147,7 +156,7 @@ def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """Counts, per shard, of all words and all pairs of words."""
     for batch in batches:
         for i in range(batch.num_rows):
-            words = batch.column("words")[i].values
+            words = _words(batch, i)
             after = FMIndex(_unpacked(batch.column("after")[i].as_py()))
             single = np.arange(1, len(words) + 1)
             yield from _counted(batch, i, words, [single], np.bincount(after.bwt, minlength=len(words) + 1)[1:])
@@ -160,10 +169,11 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts, per shard, of the phrases one word longer than the given ones of which both ends are given."""
     for batch in batches:
         for i in range(batch.num_rows):
-            words = batch.column("words")[i].values
-            ids = {w: k for k, w in enumerate(words.to_pylist(), 1)}
-            given = [[ids.get(w, 0) for w in p.split(" ")] for p in batch.column("phrases")[i].as_py()]
-            table = np.array([p for p in given if all(p)], np.int32)
+            words = _words(batch, i)
+            given = pc.split_pattern(pc.split_pattern(batch.column("phrases").slice(i, 1), "\n").flatten(), " ")
+            table = pc.fill_null(pc.index_in(given.flatten(), words), -1).to_numpy().reshape(len(given), -1) + 1
+            table = table[(table > 0).all(axis=1)]
+            del given
             if len(table) == 0:
                 continue
             columns = list(table.T)
@@ -201,10 +211,10 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
-    made = rows.mapInArrow(_make_index(SHARD_WORDS, max_words), "lang string, n bigint, words array<string>, before binary, after binary")
+    made = rows.mapInArrow(_make_index(SHARD_WORDS, max_words), "lang string, n bigint, words binary, before binary, after binary")
     index = _written(made.withColumn("shard", F.monotonically_increasing_id()), "phrase-index")
     counts = index.mapInArrow(_words_and_pairs, COUNTS)
-    found = []
+    found, lists = [], F.array_join(F.collect_list("phrase"), "\n").alias("phrases")
     for size in range(2, max_words + 1):
         totals = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         found.append(_written(totals.withColumn("size", F.size(F.split("phrase", " "))), "phrases"))
@@ -212,9 +222,9 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
         if size == max_words:
             break
         if has_at_most(last, LIST_ROWS):
-            given = index.join(F.broadcast(last.groupBy("lang").agg(F.collect_list("phrase").alias("phrases"))), "lang")
+            given = index.join(F.broadcast(last.groupBy("lang").agg(lists)), "lang")
         else:
-            own = counts.join(last.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(F.collect_list("phrase").alias("phrases"))
+            own = counts.join(last.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(lists)
             given = index.join(own.hint("merge"), "shard")
         counts = given.mapInArrow(_grow, COUNTS)
     return reduce(DataFrame.unionByName, found), index.groupBy("lang").agg(F.sum("n").alias("n"))
