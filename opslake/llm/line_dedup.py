@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opslake.llm.rows import BLANKS, ascii_lower, text_of, without
+from opslake.llm.rows import BLANKS, ascii_lower, shielded, text_of, without
 
 
 def _lines(text: Column) -> Column:
@@ -36,6 +36,7 @@ def common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_ch
             .where(F.col("n_docs") >= min_docs))
 
 
+@shielded
 def drop_common_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10,
                       min_chars: int = 1) -> DataFrame:
     """Explode normalised lines, hash, count documents per hash, drop lines over the threshold, reassemble by position.

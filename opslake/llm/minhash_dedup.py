@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from opslake.llm.components import component_labels
-from opslake.llm.rows import text_of, text_slices, without
+from opslake.llm.rows import shielded, text_of, text_slices, without
 from opslake.session import fresh_path
 
 #: Words of a shingle.
@@ -256,6 +256,7 @@ def near_groups(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "d
         F.when(empty, F.col("_key")).otherwise(F.col("_first")).alias("_first"))
 
 
+@shielded
 def keep_one(docs: DataFrame, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class one row with its smallest id stays.
 

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -21,6 +22,22 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def shielded(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that pass other columns through: input columns that start with ``_`` cannot meet those the operator makes on its way."""
+
+    @wraps(fn)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        given = {a for a in (*args, *kwargs.values()) if isinstance(a, str)}
+        names = [c for c in docs.columns if c.startswith("_") and c not in given]
+        mark = "in"
+        while any(c.startswith(mark) for c in docs.columns):
+            mark += "_"
+        out = fn(docs.withColumnsRenamed({c: mark + c for c in names}), *args, **kwargs)
+        return out.withColumnsRenamed({mark + c: c for c in names})
+
+    return run
+
+
 def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import DataFrame, functions as F
 
-from opslake.llm.rows import per_text, without
+from opslake.llm.rows import per_text, shielded, without
 from opslake.session import fresh_path
 
 # The base patterns, and the kinds in their order.
@@ -210,6 +210,7 @@ def fit_formats(scanned: DataFrame) -> Formats:
     return Formats({k: sample(values.where(F.col("kind") == k), SAMPLE_VALUES) for k in range(3)}, sample(runs, SAMPLE_BACKGROUND))
 
 
+@shielded
 def find_secrets(docs: DataFrame, text: str = "text", formats: Formats | None = None) -> DataFrame:
     """Add ``spans``: secrets of each whole text as (start, end, kind), code points, end exclusive.
 

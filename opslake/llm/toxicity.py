@@ -70,13 +70,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     """At most ``SAMPLE_ROWS`` labelled rows outside the held-out third, by smallest hash of the id: id, y, text.
 
     Near copies would make chance words look telling, so of rows that share the least or the greatest hash of their shingles
-    one stays. A row that several labels name counts as toxic if one does. Rows without id, label or document are left out.
+    one stays. A row that several labels name counts as toxic if one does. Ids are whole numbers of any type, labels numbers or booleans. Rows without id, label or document are left out.
     """
-    named = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", 3) != 1)).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.max("toxic").alias("_y"))
-    present = named.join(docs.select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
+    named = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id", 3) != 1)).groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(
+        F.max(F.col("toxic").cast("int")).alias("_y"))
+    present = named.join(docs.select(F.col(doc_id).cast("bigint").alias("_id")).distinct(), "_id", "left_semi")
     chosen = present.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
+    sample = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id").select("_id", "_y", "_text")
     keyed = sample.mapInArrow(_copy_keys, "_id bigint, _y int, _text string, _lo bigint, _hi bigint")
     one = F.min(F.struct("_id", "_y", "_text", "_hi")).alias("s")
     return keyed.groupBy("_lo").agg(one).select("s.*").groupBy("_hi").agg(F.min(F.struct("_id", "_y", "_text")).alias("s")).select("s.*")

@@ -432,3 +432,25 @@ def test_query_equals_sql(spark, name):
     cols = [d[0] for d in want.description]
     got = entry.queries()[name](spark, SF)
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("apply", [
+    lambda d: line_dedup.drop_common_lines(d, min_docs=2), lambda d: secrets.find_secrets(d), lambda d: minhash_dedup.keep_one(d),
+    lambda d: mixing.mix(d, shards=2), lambda d: bpe.decode(bpe.encode(d, *RANKS), *RANKS),
+    lambda d: token_count.count_tokens(d, tokenizers.path("byte_bpe_50k.json"))], ids=["lines", "secrets", "near", "mix", "bpe", "count"])
+def test_other_columns_pass_whatever_their_names(spark, apply):
+    extra = ["_id", "_key", "_name", "_gone", "_note", "_h", "_base", "_values", "_runs", "_block", "in_id"]
+    rows_ = [(i, f"text {i}\nshared line\npassword = abcdef{i}", "s", *[f"{c}{i}" for c in extra]) for i in range(5)] + [(None, "no id here", "s", *["x"] * len(extra))]
+    out = apply(spark.createDataFrame(rows_, "doc_id bigint, text string, source string, " + ", ".join(f"`{c}` string" for c in extra)))
+    assert set(extra) <= set(out.columns)
+    got = out.collect()
+    assert {r["doc_id"] for r in got} == {0, 1, 2, 3, 4, None} and all(r[c] == (f"{c}{r['doc_id']}" if r["doc_id"] is not None else "x") for r in got for c in extra)
+
+
+@pytest.mark.parametrize("kind,ids", [("int", "bigint"), ("bigint", "int"), ("boolean", "bigint")])
+def test_toxicity_takes_any_type_of_label(spark, kind, ids):
+    rows_ = [(i, f"words of text {i} {'vilewort' if i % 3 == 0 else 'fair'} number {i * 7}") for i in range(120)]
+    docs = spark.createDataFrame(rows_, f"doc_id {ids}, text string")
+    labels = spark.createDataFrame([(i, i % 3 == 0 if kind == "boolean" else int(i % 3 == 0)) for i, _ in rows_], f"doc_id {ids}, toxic {kind}")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == 120 and all(r["predicted"] == (r["doc_id"] % 3 == 0) for r in got)
