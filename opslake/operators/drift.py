@@ -3,8 +3,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from math import gcd, inf
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from opslake.operators.prep import long_values
 from opslake.plans.ordering import quantile_from_totals, running_totals
@@ -54,6 +57,60 @@ def value_counts(reference: DataFrame, current: DataFrame, features: Sequence[st
     return running_totals(counts, ["feature"], ["value"], {"cum_ref": "ref_n", "cum_cur": "cur_n"}, mode)
 
 
+#: Rows of the larger side up to which the p-value of a feature is exact.
+EXACT_ROWS = 10_000
+
+
+def exact_ks_tail(d: float, n: int, m: int) -> float:
+    """Probability that two samples of n and m rows from one distribution are at least d apart, counted over all their orders.
+
+    An order is a path over a grid of n x m steps; the samples stay closer than d while the path stays in a band. Paths are
+    counted by where they first leave the band, as each such step leaves a free path to the end; so small probabilities
+    keep their digits. Rows of counts are rescaled, as they outgrow a double. One row of the grid is one running sum.
+    """
+    g = gcd(n, m)
+    a, b = m // g, n // g
+    h = round(d * a * n)
+    if h <= 0:
+        return 1.0
+    if n > m:
+        n, m, a, b = m, n, b, a
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + m + 1)))))
+    total = logs[n + m] - logs[n] - logs[m]
+    free = lambda i, j: logs[n - i + m - j] - logs[n - i] - logs[m - j]
+    outside, scale = -inf, 0.0
+    low, high = 0, min(m, (h - 1) // b)
+    u = np.ones(high + 1)
+    for i in range(n + 1):
+        if high < m:  # the step to the right of the band's last cell
+            outside = np.logaddexp(outside, scale + np.log(u[-1]) + free(i, high + 1))
+        if i == n:
+            break
+        new_low, new_high = max(0, ((i + 1) * a - h) // b + 1), min(m, ((i + 1) * a + h - 1) // b)
+        gone = min(max(0, new_low - low), len(u))
+        if gone:  # steps up that leave the band on its left
+            cells = np.arange(low, low + gone)
+            with np.errstate(divide="ignore"):
+                outside = np.logaddexp(outside, np.logaddexp.reduce(scale + np.log(u[:gone]) + free(i + 1, cells)))
+        if new_low > high:
+            break
+        u = np.cumsum(np.concatenate((u[gone:], np.zeros(new_high - high))))
+        low, high = new_low, new_high
+        top = u[-1]
+        u, scale = u / top, scale + np.log(top)
+    return float(min(1.0, np.exp(outside - total)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_tail(stat: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    """Of a row per feature; features with a larger side than EXACT_ROWS are left to the asymptotic series."""
+    def one(d, a, b):
+        known = d == d and a == a and b == b and 0 < min(a, b) and max(a, b) <= EXACT_ROWS
+        return exact_ks_tail(float(d), int(a), int(b)) if known else None
+
+    return pd.Series([one(*row) for row in zip(stat, n, m, strict=True)], dtype="object").astype("float64")
+
+
 def ks_p_value(stat: Column, n: Column, m: Column) -> Column:
     """Two-sided asymptotic Kolmogorov tail for the two-sample distance."""
     lam2 = stat * stat * F.try_divide(n * m, n + m)
@@ -66,7 +123,7 @@ def ks_p_value(stat: Column, n: Column, m: Column) -> Column:
 
 
 def feature_shape(counts: DataFrame, config: DriftConfig = DriftConfig()) -> DataFrame:
-    """Per feature: sizes, ranges, KS distance and p-value, and the reference quantile edges, from one aggregation."""
+    """Per feature: sizes, ranges, KS distance and p-value (exact up to EXACT_ROWS rows a side), and the reference quantile edges, from one aggregation."""
     ref, cur = F.col("cum_ref_total"), F.col("cum_cur_total")
     gap = F.abs(F.try_divide(F.col("cum_ref"), ref) - F.try_divide(F.col("cum_cur"), cur))
     on_ref, on_cur = F.col("ref_n") > 0, F.col("cur_n") > 0
@@ -78,8 +135,8 @@ def feature_shape(counts: DataFrame, config: DriftConfig = DriftConfig()) -> Dat
         F.max(gap).alias("ks_statistic"), *edges)
     return agg.select(
         "feature", "ref_count", "cur_count", "ref_min", "ref_max", "cur_min", "cur_max", "ks_statistic",
-        ks_p_value(F.col("ks_statistic"), F.col("ref_count").cast("double"), F.col("cur_count").cast("double"))
-        .alias("ks_p_value"),
+        F.coalesce(_exact_tail(F.col("ks_statistic"), F.col("ref_count").cast("double"), F.col("cur_count").cast("double")),
+                   ks_p_value(F.col("ks_statistic"), F.col("ref_count").cast("double"), F.col("cur_count").cast("double"))).alias("ks_p_value"),
         F.array_distinct(F.array(*[F.col(f"_e{i}") for i in range(config.bins + 1)])).alias("edges"))
 
 
@@ -118,11 +175,11 @@ def psi_values(counts: DataFrame, shape: DataFrame, config: DriftConfig = DriftC
 
 def feature_drift(reference: DataFrame, current: DataFrame, features: Sequence[str] | None = None,
                   config: DriftConfig = DriftConfig(), mode: str = "auto", counted: DataFrame | None = None) -> DataFrame:
-    """``feature, status, psi, ks_statistic, ks_p_value, is_drift, is_warning`` for every compared feature."""
+    """``feature, status, psi, ks_statistic, ks_p_value, is_drift, is_warning, message`` for every compared feature."""
     shared, missing = compared_features(reference, current, features)
     spark = reference.sparkSession
     names = spark.range(1).select(F.explode(F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.lit(c in missing).alias("missing")) for c in [*shared, *missing]])).alias("f")
+        *[F.struct(F.lit(c).alias("feature"), F.lit(c in missing).alias("missing"), F.lit("current" if c in reference.columns else "reference").alias("_side")) for c in [*shared, *missing]])).alias("f")
     ).select("f.*")
     if shared:
         counts = settle(value_counts(reference, current, shared, mode, counted), "counts")
@@ -152,11 +209,18 @@ def feature_drift(reference: DataFrame, current: DataFrame, features: Sequence[s
         return F.when(F.col("missing") | empty, F.lit(None).cast("double")).when(
             constant, F.when(equal, F.lit(same)).otherwise(F.lit(shifted))).otherwise(F.round(value, 4))
 
+    # The sentences.
+    said = F.format_string("(PSI=%.4f, KS=%.4f, p=%.4e)", psi, ks, p)
+    message = (
+        F.when(F.col("missing"), F.format_string("Feature '%s' missing from %s dataset.", "feature", "_side")).when(empty, "Feature contains no finite values.")
+        .when(constant, F.when(equal, "Constant identical values across datasets.").otherwise("Constant value shifted completely."))
+        .otherwise(F.concat(F.when(status == "DRIFT", "Significant drift ").when(status == "WARNING", "Moderate drift / warning ")
+                            .otherwise("Distribution stable "), said)))
     judged = rows.select(
-        "feature", status.alias("status"), measure(psi, 0.0, 1.0).alias("psi"),
+        "feature", message.alias("message"), status.alias("status"), measure(psi, 0.0, 1.0).alias("psi"),
         measure(ks, 0.0, 1.0).alias("ks_statistic"), measure(p, 1.0, 0.0).alias("ks_p_value"))
-    return judged.select("*", F.col("status").isin("DRIFT", "MISSING").alias("is_drift"),
-                         (F.col("status") == "WARNING").alias("is_warning"))
+    return judged.select(*[c for c in judged.columns if c != "message"], F.col("status").isin("DRIFT", "MISSING").alias("is_drift"),
+                         (F.col("status") == "WARNING").alias("is_warning"), "message")
 
 
 def drift_report(verdicts: DataFrame, reference: DataFrame, current: DataFrame) -> DataFrame:

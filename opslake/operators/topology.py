@@ -53,8 +53,8 @@ class Topology:
 
     @classmethod
     def from_tables(cls, nodes: DataFrame, edges: DataFrame) -> Topology:
-        """From node and edge tables of any size."""
-        return cls(nodes.join(longest_depth(nodes, edges), "service").withColumn("listed", F.lit(True)), edges)
+        """From node and edge tables of any size; the nodes of a cycle share the depth of the cycle."""
+        return cls(nodes.join(condensed_depth(nodes, edges).drop("in_cycle"), "service").withColumn("listed", F.lit(True)), edges)
 
 
 def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -100,3 +100,81 @@ def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for more in done[1:]:
         best = best.unionByName(more)
     return nodes.join(best, "service", "left").select("service", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def _between(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges of which both ends are among the nodes."""
+    ends = lines.join(nodes.select(F.col("service").alias("caller")), "caller", "left_semi")
+    return ends.join(nodes.select(F.col("service").alias("dependency")), "dependency", "left_semi")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``service, component``: the smallest node that each node can reach and be reached from, itself included.
+
+    Nodes that nothing leads to, or that lead nowhere, are components of their own and are trimmed, again and again. What
+    is left is coloured: each node takes the smallest node that reaches it. A node that has its own colour then is the smallest of its
+    component, which is what reaches it backwards within the colour. These components are taken out and the rest goes
+    round again; each round settles at least one component per colour. Steps are joins and minima on written tables, so no
+    component or reach has to fit a task. Edges to unknown nodes count for nothing; no nodes give no rows.
+    """
+    left = settle(nodes.select("service").distinct(), "nodes")
+    lines = settle(_between(edges.select("caller", "dependency").where(F.col("caller") != F.col("dependency")).distinct(), left), "lines")
+    found = []
+    while True:
+        while True:
+            live = left.join(lines.select(F.col("caller").alias("service")), "service", "left_semi").join(
+                lines.select(F.col("dependency").alias("service")), "service", "left_semi")
+            live = settle(live, "live")
+            alone = settle(left.join(live, "service", "left_anti").withColumn("component", F.col("service")), "alone")
+            if alone.isEmpty():
+                break
+            found.append(alone)
+            left, lines = live, settle(_between(lines, live), "lines")
+        if left.isEmpty():
+            break
+        colours = left.withColumn("colour", F.col("service"))
+        while True:
+            coming = lines.join(colours.withColumnRenamed("service", "caller"), "caller").groupBy(F.col("dependency").alias("service")).agg(
+                F.min("colour").alias("_new"))
+            stepped = settle(colours.join(coming, "service", "left").select(
+                "service", F.least("colour", "_new").alias("colour"), (F.col("_new") < F.col("colour")).alias("_moved")), "colours")
+            colours = stepped.select("service", "colour")
+            if stepped.where("_moved").isEmpty():
+                break
+        ends = [colours.select(F.col("service").alias(c), F.col("colour").alias(f"_{c}")) for c in ("caller", "dependency")]
+        inner = settle(lines.join(ends[0], "caller").join(ends[1], "dependency").where("_caller = _dependency").select("caller", "dependency"), "inner")
+        reached = front = settle(colours.where(F.col("service") == F.col("colour")), "roots")
+        while True:
+            front = settle(inner.join(front.withColumnRenamed("service", "dependency"), "dependency").select(
+                F.col("caller").alias("service"), "colour").distinct().join(reached, "service", "left_anti"), "front")
+            if front.isEmpty():
+                break
+            reached = settle(reached.unionByName(front), "reached")
+        found.append(reached.withColumnRenamed("colour", "component"))
+        left = settle(left.join(reached, "service", "left_anti"), "nodes")
+        lines = settle(_between(lines, left), "lines")
+    out = found[0] if found else left.withColumn("component", F.col("service"))
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``service, component, size`` of every node on a cycle; a node that calls itself is a cycle of size 1."""
+    parts = settle(strong_components(nodes, edges), "components")
+    own = edges.where(F.col("caller") == F.col("dependency")).select(F.col("caller").alias("service")).distinct()
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
+    looped = parts.join(own, "service", "left_semi").select("service", "component")
+    met = parts.join(sizes, "component").select("service", "component", "size")
+    return met.where("size > 1").unionByName(met.where("size = 1").join(looped.select("service"), "service", "left_semi"))
+
+
+def condensed_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``service, depth, in_cycle``: as ``longest_depth``, with the nodes of a cycle taken as one."""
+    parts = settle(strong_components(nodes, edges), "components")
+    ends = [parts.select(F.col("service").alias(c), F.col("component").alias(f"_{c}")) for c in ("caller", "dependency")]
+    lines = edges.join(ends[0], "caller").join(ends[1], "dependency").where("_caller <> _dependency").select(
+        F.col("_caller").alias("caller"), F.col("_dependency").alias("dependency"))
+    sizes = parts.groupBy(F.col("component").alias("service")).agg((F.count("*") > 1).alias("in_cycle"))
+    depths = longest_depth(sizes.select("service"), lines).join(sizes, "service").withColumnRenamed("service", "component")
+    return parts.join(depths, "component").select("service", "depth", "in_cycle")

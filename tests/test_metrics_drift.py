@@ -152,3 +152,46 @@ def test_prediction_distribution(spark):
     assert (r.total_predictions, r.positive_predictions, r.positive_rate) == (11, 3, 0.2727)
     assert (r.score_p50, r.score_p90, r.score_p99) == tuple(round(float(np.percentile(scores, p)), 4) for p in (50, 90, 99))
     assert prediction_distribution(df.where("false")).first()[:] == (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_exact_ks_tail_counts_all_orders():
+    """Against the share of all orders of both samples that are at least as far apart, for every distance there is."""
+    from fractions import Fraction
+    from itertools import combinations
+    from math import comb
+
+    from opslake.operators.drift import exact_ks_tail
+
+    for n, m in ((1, 1), (2, 3), (4, 4), (5, 3), (6, 4), (3, 8)):
+        far = []
+        for mine in combinations(range(n + m), n):
+            i, most = 0, Fraction(0)
+            for k in range(n + m):
+                i += k in mine
+                most = max(most, abs(Fraction(i, n) - Fraction(k + 1 - i, m)))
+            far.append(most)
+        for d in set(far) | {Fraction(0)}:
+            want = sum(f >= d for f in far) / comb(n + m, n)
+            assert exact_ks_tail(float(d), n, m) == pytest.approx(want, rel=1e-12)
+
+
+def test_exact_ks_tail_of_large_and_distant_samples():
+    from math import comb
+
+    from opslake.operators.drift import exact_ks_tail
+
+    assert exact_ks_tail(1.0, 300, 200) == pytest.approx(2 / comb(500, 200), rel=1e-9)
+    # Of equal sizes, two-sided, by reflections of the path at the band's borders.
+    n, h = 1500, 61
+    want = 2 * sum((-1) ** (k + 1) * (comb(2 * n, n - k * h) / comb(2 * n, n)) for k in range(1, n // h + 1))
+    assert exact_ks_tail(h / n, n, n) == pytest.approx(want, rel=1e-9)
+    assert exact_ks_tail(0.02, 10_000, 9_999) == pytest.approx(0.0366, abs=2e-3)  # the asymptotic series is near
+
+
+def test_messages(spark):
+    a = spark.createDataFrame([(float(i), 1.0, 2.0, 5.0) for i in range(50)], "x double, flat double, moved double, gone double")
+    b = spark.createDataFrame([(float(i + 40), 1.0, 3.0) for i in range(50)], "x double, flat double, moved double")
+    said = {r.feature: r.message for r in feature_drift(a, b).collect()}
+    assert said["flat"] == "Constant identical values across datasets." and said["moved"] == "Constant value shifted completely."
+    assert said["gone"] == "Feature 'gone' missing from current dataset."
+    assert said["x"].startswith("Significant drift (PSI=") and "KS=0.8000, p=" in said["x"]

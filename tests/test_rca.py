@@ -131,3 +131,41 @@ def test_no_window_and_no_row(spark, telemetry):
     t = telemetry([(0, "database", {})])
     assert rollups.window_totals(t.limit(0), w, parts).collect() == []
     assert rollups.window_totals(t, w.limit(0), parts).collect() == []
+
+
+def test_cycles_are_reported_and_condensed(spark):
+    """Nested and chained cycles, a self-call, a tail, a node apart and an edge to nowhere, against plain reachability."""
+    import random
+
+    from opslake.operators.topology import condensed_depth, cycles, strong_components
+
+    rng = random.Random(4)
+    names = [f"n{i:02d}" for i in range(30)]
+    lines = {(rng.choice(names), rng.choice(names)) for _ in range(20)} | {("n01", "n01"), ("n02", "gone")}
+    for ring in ("05 06 07", "10 11 12 13", "12 11", "20 21"):
+        around = [f"n{k}" for k in ring.split()]
+        lines |= set(zip(around, around[1:] + around[:1], strict=True))
+    lines |= {("n07", "n10"), ("n21", "n05")}
+    edges = spark.createDataFrame(sorted(lines), "caller string, dependency string")
+    nodes = spark.createDataFrame([(n,) for n in names], "service string")
+    reach = {n: {n} for n in names}
+    for _ in names:
+        for a, b in lines:
+            if b in reach:
+                for n in names:
+                    if a in reach[n]:
+                        reach[n].add(b)
+    part = {n: min(m for m in reach[n] if n in reach.get(m, ())) for n in names}
+    assert {r.service: r.component for r in strong_components(nodes, edges).collect()} == part
+    size = {c: list(part.values()).count(c) for c in part.values()}
+    assert max(size.values()) > 2
+    want = {(n, c, size[c]) for n, c in part.items() if size[c] > 1 or (n, n) in lines}
+    assert {tuple(r) for r in cycles(nodes, edges).collect()} == want
+    deep = {r.service: (r.depth, r.in_cycle) for r in condensed_depth(nodes, edges).collect()}
+    between = {(part[a], part[b]) for a, b in lines if b in part and part[a] != part[b]}
+
+    def depth(c):
+        return max((depth(a) + 1 for a, b in between if b == c), default=0)
+
+    assert deep == {n: (depth(c), size[c] > 1) for n, c in part.items()}
+    assert strong_components(nodes.limit(0), edges).collect() == []

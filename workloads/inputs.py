@@ -184,3 +184,13 @@ def entity_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         one = t[name].select(key(kind, column).alias("service"))
         nodes = one if nodes is None else nodes.unionByName(one)
     return nodes, edges
+
+
+def looped_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The entity graph with edges back from each customer to the last of its orders and from each nation to its first supplier."""
+    nodes, edges = entity_graph(spark, sf_dir)
+    back = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("k")).select(
+        F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("caller"), F.concat(F.lit("order:"), F.col("k").cast("string")).alias("dependency"))
+    more = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("k")).select(
+        F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("caller"), F.concat(F.lit("supplier:"), F.col("k").cast("string")).alias("dependency"))
+    return nodes, edges.unionByName(back).unionByName(more)

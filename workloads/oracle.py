@@ -231,6 +231,22 @@ CTES = {
         SELECT 'order:' || o_orderkey AS service FROM orders UNION ALL SELECT 'customer:' || c_custkey FROM customer
         UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'part:' || p_partkey FROM part
         UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'region:' || r_regionkey FROM region""",
+    "gback": """
+        SELECT * FROM gedge UNION SELECT 'customer:' || o_custkey, 'order:' || max(o_orderkey) FROM orders GROUP BY o_custkey
+        UNION SELECT 'nation:' || s_nationkey, 'supplier:' || min(s_suppkey) FROM supplier GROUP BY s_nationkey""",
+    "greach": """
+        SELECT service AS a, service AS b FROM gnode
+        UNION
+        SELECT r.a, e.dependency FROM greach r JOIN gback e ON e.caller = r.b""",
+    "gscc": """
+        SELECT x.a AS service, min(x.b) AS component FROM greach x JOIN greach y ON x.a = y.b AND x.b = y.a GROUP BY 1""",
+    "gcline": """
+        SELECT DISTINCT a.component AS caller, b.component AS dependency FROM gback e JOIN gscc a ON a.service = e.caller
+        JOIN gscc b ON b.service = e.dependency WHERE a.component <> b.component""",
+    "gcwalk": """
+        SELECT DISTINCT component, 0 AS depth FROM gscc WHERE component NOT IN (SELECT dependency FROM gcline)
+        UNION
+        SELECT e.dependency, w.depth + 1 FROM gcwalk w JOIN gcline e ON e.caller = w.component""",
     "gwalk": """
         SELECT service, 0 AS depth FROM gnode WHERE service NOT IN (SELECT dependency FROM gedge)
         UNION
@@ -266,11 +282,26 @@ def _drift_chain(tag: str, ref: str, cur: str, extra: tuple[tuple[str, int, int]
             FROM (SELECT *, sum(rn) OVER w AS cr, sum(cn) OVER w AS cc, sum(rn) OVER (PARTITION BY feature) AS rt,
                          sum(cn) OVER (PARTITION BY feature) AS ct
                   FROM vc{tag} WINDOW w AS (PARTITION BY feature ORDER BY value)) GROUP BY 1""",
+        # Orders of both samples as paths over a grid; u are paths that stay in the band, a row at a time, scaled by exp(s).
+        f"band{tag}": f"""
+            SELECT feature, ref_count AS n, cur_count AS m, ref_count // g AS b, cur_count // g AS a,
+                   round(d * (cur_count // g) * ref_count)::BIGINT AS h
+            FROM (SELECT *, gcd(ref_count, cur_count) AS g FROM ks{tag})""",
+        f"paths{tag}": f"""
+            SELECT *, 0::BIGINT AS i, 1::DOUBLE AS u, 0::DOUBLE AS s
+            FROM (SELECT *, unnest(range(0, least(m, (h - 1) // b) + 1)) AS j FROM band{tag} WHERE h > 0)
+            UNION ALL
+            SELECT feature, n, m, b, a, h, jj, i + 1, v / max(v) OVER (PARTITION BY feature), s + ln(max(v) OVER (PARTITION BY feature))
+            FROM (SELECT *, sum(CASE WHEN jj = j THEN u ELSE 0 END) OVER (PARTITION BY feature ORDER BY jj) AS v
+                  FROM (SELECT *, unnest(CASE WHEN j = max(j) OVER (PARTITION BY feature)
+                                              THEN range(j, greatest(j, least(m, ((i + 1) * a + h - 1) // b)) + 1) ELSE [j] END) AS jj
+                        FROM paths{tag} WHERE i < n)
+                  WHERE abs((i + 1) * a - jj * b) < h)
+            WHERE v > 0""",
         f"ksp{tag}": f"""
-            SELECT *, CASE WHEN sqrt(l2) < 0.2 THEN 1 ELSE least(1::DOUBLE, greatest(0::DOUBLE, 2 * list_sum(list_transform(
-                     range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2::DOUBLE * k * k * l2)))))
-                   END AS p
-            FROM (SELECT *, d * d * (ref_count::DOUBLE * cur_count / (ref_count + cur_count)) AS l2 FROM ks{tag})""",
+            SELECT k.*, CASE WHEN u IS NULL THEN 1::DOUBLE
+                   ELSE greatest(0::DOUBLE, 1 - exp(ln(u) + s - (lgamma(n + m + 1) - lgamma(n + 1) - lgamma(m + 1)))) END AS p
+            FROM ks{tag} k LEFT JOIN (SELECT * FROM paths{tag} WHERE i = n AND j = m) USING (feature)""",
         f"edge{tag}": f"""
             SELECT feature, list_sort(list_distinct(quantile_cont(value, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e,
                    min(value) AS lo, max(value) AS hi, count(*) AS rt FROM dref{tag} GROUP BY 1""",
@@ -306,6 +337,7 @@ CTES.update(_drift_chain(
     "flt WHERE \"timestamp\" >= TIMESTAMP '2024-01-08 00:00:00'",
     (("flat", 7, 7), ("jump", 10, 20)), "UNION ALL SELECT 'lost', 'MISSING', NULL, NULL, NULL"))
 CTES.update(_drift_chain("_stream", "tel WHERE \"timestamp\" < TIMESTAMP '2024-01-08 00:00:00'", "closedtel"))
+CTES.update(_drift_chain("_exact", "tel WHERE service = 'database'", "tel WHERE service <> 'database'"))
 CTES["half"] = f"""
     SELECT late, {RATES}, {FPR} FROM (SELECT late, {COUNTS} FROM (
       SELECT "timestamp" >= TIMESTAMP '2024-01-16 00:00:00' AS late, z.is_anomaly AS p, l.is_incident AS t
@@ -523,6 +555,12 @@ BODIES = {
     "topology_depth": """
         SELECT g.service, CAST(coalesce(max(w.depth), 0) AS INTEGER) AS depth FROM gnode g LEFT JOIN gwalk w USING (service)
         GROUP BY 1""",
+    "topology_cycles": """
+        SELECT c.service, c.component, z.size FROM gscc c JOIN (SELECT component, count(*) AS size FROM gscc GROUP BY 1) z USING (component)
+        WHERE z.size > 1""",
+    "topology_depth_condensed": """
+        SELECT c.service, coalesce(max(w.depth), 0)::INTEGER AS depth, count(DISTINCT o.service) > 1 AS in_cycle
+        FROM gscc c LEFT JOIN gcwalk w USING (component) JOIN gscc o ON o.component = c.component GROUP BY 1""",
     "rca_service_stats": """
         SELECT incident_id, service, total_samples, anomaly_count, round(anomaly_ratio, 6) AS anomaly_ratio, earliest_ts,
                round(mean_anomaly_score, 6) AS mean_anomaly_score, round(max_anomaly_score, 6) AS max_anomaly_score,
@@ -623,6 +661,15 @@ BODIES = {
         SELECT feature, ref_count, cur_count, round(d, 6) AS ks_statistic, round(p, 6) AS ks_p_value FROM ksp""",
     "drift_verdicts": """
         SELECT *, status IN ('DRIFT','MISSING') AS is_drift, status = 'WARNING' AS is_warning FROM verdict""",
+    "drift_ks_exact": """
+        SELECT feature, ref_count, cur_count, round(d, 6) AS ks_statistic, round(p, 6) AS ks_p_value FROM ksp_exact""",
+    "drift_messages": """
+        SELECT feature, CASE WHEN status = 'MISSING' THEN printf('Feature ''%s'' missing from current dataset.', feature)
+                             WHEN lo = hi AND clo = chi AND lo = clo THEN 'Constant identical values across datasets.'
+                             WHEN lo = hi AND clo = chi THEN 'Constant value shifted completely.'
+                             ELSE CASE status WHEN 'DRIFT' THEN 'Significant drift ' WHEN 'WARNING' THEN 'Moderate drift / warning '
+                                       ELSE 'Distribution stable ' END || printf('(PSI=%.4f, KS=%.4f', s.psi, k.d) END AS message
+        FROM verdict v LEFT JOIN stability s USING (feature) LEFT JOIN ks k USING (feature)""",
     "drift_summary": """
         SELECT (SELECT count(*) FROM tel WHERE "timestamp" < TIMESTAMP '2024-01-08 00:00:00') AS reference_count,
                (SELECT count(*) FROM tel WHERE "timestamp" >= TIMESTAMP '2024-01-08 00:00:00') AS current_count,

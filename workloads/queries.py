@@ -10,6 +10,7 @@ from opslake.operators import (
 from opslake.operators.predictor import PredictorConfig, fit_predictor, predict_incidents, top_features
 from opslake.operators.severity import fit_severity, predict_severity
 from opslake.plans.sizing import settle
+from opslake.schema import METRICS
 from opslake.session import fresh_path
 from opslake.sources import registry, telemetry as tsource
 from opslake.streaming import detect, rollup as srollup, run as srun
@@ -406,6 +407,16 @@ def topology_depth(spark, sf):
     return topology.longest_depth(*I.entity_graph(spark, sf))
 
 
+@query
+def topology_cycles(spark, sf):
+    return topology.cycles(*I.looped_graph(spark, sf))
+
+
+@query
+def topology_depth_condensed(spark, sf):
+    return topology.condensed_depth(*I.looped_graph(spark, sf))
+
+
 def _flagged(spark, sf):
     t = I.strained(spark, sf)
     kept = tuple(tsource.metric_columns(t))
@@ -609,7 +620,22 @@ def drift_ks(spark, sf):
 
 @query
 def drift_verdicts(spark, sf):
-    return drift.feature_drift(*I.drift_sides(spark, sf))
+    return drift.feature_drift(*I.drift_sides(spark, sf)).drop("message")
+
+
+@query
+def drift_ks_exact(spark, sf):
+    """Exact p-values, also of weak differences: each metric of one service against the same metric of all others."""
+    t = I.telemetry(spark, sf)
+    return rounded(drift.feature_shape(drift.value_counts(t.where("service = 'database'"), t.where("service <> 'database'"), METRICS)).select(
+        "feature", "ref_count", "cur_count", "ks_statistic", "ks_p_value"))
+
+
+@query
+def drift_messages(spark, sf):
+    """The sentence per feature; the p-value in it is cut to the exponent's sign, as SQL subtracts from 1."""
+    d = drift.feature_drift(*I.drift_sides(spark, sf))
+    return d.select("feature", F.regexp_replace("message", r", p=.*", "").alias("message"))
 
 
 @query
@@ -691,4 +717,4 @@ def stream_forest(spark, sf):
 @query
 def stream_drift(spark, sf):
     ref = I.drift_sides(spark, sf)[0].drop("flat", "jump", "lost")
-    return _batched(spark, sf, lambda out: detect.drift_batches(ref, out)).drop("batch_id")
+    return _batched(spark, sf, lambda out: detect.drift_batches(ref, out)).drop("batch_id", "message")
