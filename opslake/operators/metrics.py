@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from opslake.functions.scalars import ratio, seconds_between, shift_seconds
 from opslake.operators.labels import affected
-from opslake.plans.intervals import pair_ranges
+from opslake.plans.nextevent import next_event
 from opslake.plans.ordering import running_totals
 from opslake.schema import SEVERITIES
 
@@ -57,10 +57,14 @@ def _watched(incidents: DataFrame, begin: Column, end: Column, match_all: bool)
 
 
 def _first_alerts(alerts: DataFrame, named: DataFrame, rest: DataFrame, until_open: bool) -> DataFrame:
-    hits = pair_ranges(alerts, named, True, until_open=until_open).select("incident_id", "start_time", "timestamp")
-    every = pair_ranges(alerts, rest, False, until_open=until_open).select("incident_id", "start_time", "timestamp")
-    return hits.unionByName(every).groupBy("incident_id").agg(
-        F.min("start_time").alias("start_time"), F.min("timestamp").alias("first_alert"))
+    """The first alert of each range that has one; a range looks up one alert, whatever else lies in it."""
+    ok = F.col("_next") < F.col("to_ts") if until_open else F.col("_next") <= F.col("to_ts")
+    hits = [next_event(named, alerts, "from_ts", ["service"], "_next")]
+    if not rest.isEmpty():
+        hits.append(next_event(rest, alerts, "from_ts", [], "_next"))
+    found = [h.where(ok).select("incident_id", "start_time", "_next") for h in hits]
+    return (found[0] if len(found) == 1 else found[0].unionByName(found[1])).groupBy("incident_id").agg(
+        F.min("start_time").alias("start_time"), F.min("_next").alias("first_alert"))
 
 
 def detection_delays(predictions: DataFrame, incidents: DataFrame) -> DataFrame:

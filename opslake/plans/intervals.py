@@ -1,8 +1,4 @@
-"""Joining rows to the incidents whose time range covers them.
-
-Ranges are cut into time slices so that the join is an equi-join on (slice[, service]) with the exact range as a residual,
-instead of rows x incidents comparisons.
-"""
+"""Joining rows to the incidents whose time range covers them: ranges are made disjoint first, so a row meets one entry at most."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -12,34 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opslake.plans.keys import null_safe_join
 from opslake.plans.ordering import running_totals
 from opslake.plans.sizing import BROADCAST_ROWS, broadcast_if_small, has_at_most, settle
-from opslake.plans.slicing import time_slice
-
-SLICE_SECONDS = 6 * 3600
-SALTS = 64
-
-
-def spread_ranges(ranges: DataFrame, width: int = SLICE_SECONDS) -> DataFrame:
-    """One row per (range, slice it touches); empty ranges give none."""
-    ok = ranges.where(F.col("from_ts") <= F.col("to_ts"))
-    return ok.withColumn("_slice", F.explode(F.sequence(time_slice(F.col("from_ts"), width), time_slice(F.col("to_ts"), width))))
-
-
-def _join_slices(rows: DataFrame, index: DataFrame, by: list[str], how: str, small: bool) -> DataFrame:
-    """Broadcast the index when its pieces were counted to be few.
-
-    A larger one is met by a merge join on salted slices: there are few slices compared with rows, so each is spread over
-    ``SALTS`` tasks, and the index, small beside the rows, is copied to them.
-    """
-    if small:
-        return rows.join(F.broadcast(index), by, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("timestamp", "service"), F.lit(SALTS)))
-    copies = index.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    return salted.join(copies.hint("merge"), [*by, "_salt"], how).drop("_salt")
-
-
-def _covers(ts: Column, start: Column, end: Column, until_open: bool) -> Column:
-    return (ts >= start) & ((ts < end) if until_open else (ts <= end))
-
 
 #: Cells into which the span of the rows is cut, entries that a cell may hold before it is cut finer, and how fine at most (as a power of two).
 CELLS, CROWD, FINEST = 1024, 32, 20
@@ -133,13 +101,3 @@ def attach_max(rows: DataFrame, ranges: DataFrame, on_service: bool, values: dic
     on = [F.col(k) == F.col(f"_r{k}") for k in keys]
     joined = met.join(side(index), [*on, (ts >= F.col("_from")) & (ts < F.col("_to"))], "left")
     return joined.select(*rows.columns, *values)
-
-
-def pair_ranges(rows: DataFrame, ranges: DataFrame, on_service: bool, width: int = SLICE_SECONDS,
-                until_open: bool = False, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Inner join: one row per (row, covering range), for aggregates keyed by the range."""
-    by = ["_slice"] + (["service"] if on_service else [])
-    ts = F.col("timestamp")
-    index = spread_ranges(ranges, width)
-    joined = _join_slices(rows.withColumn("_slice", time_slice(ts, width)), index, by, "inner", has_at_most(index, max_rows))
-    return joined.where(_covers(ts, F.col("from_ts"), F.col("to_ts"), until_open)).drop("_slice")

@@ -195,3 +195,27 @@ def test_messages(spark):
     assert said["flat"] == "Constant identical values across datasets." and said["moved"] == "Constant value shifted completely."
     assert said["gone"] == "Feature 'gone' missing from current dataset."
     assert said["x"].startswith("Significant drift (PSI=") and "KS=0.8000, p=" in said["x"]
+
+
+@pytest.mark.parametrize("cells", [1, 4, 4096])
+def test_next_event_equals_a_scan(spark, monkeypatch, cells):
+    """Ties, points before, between and after all events, keys without events, null keys and times; columns of the join's own names."""
+    from opslake.plans import nextevent
+
+    monkeypatch.setattr(nextevent, "CELLS", cells)
+    rng = random.Random(9)
+    keys = ["a", "b", None, "quiet"]
+    events = [(k, rng.randrange(0, 400)) for k in keys[:3] for _ in range(25)] + [("a", 77), ("a", 77)]
+    points = [(i, rng.choice(keys), rng.randrange(-50, 450)) for i in range(150)] + [(900, "a", 77), (901, "a", None)]
+    e = spark.createDataFrame([(k, at(s)) for k, s in events] + [("a", None)], "service string, timestamp timestamp_ntz")
+    p = spark.createDataFrame([(i, k, at(s) if s is not None else None, "x") for i, k, s in points], "id int, service string, since timestamp_ntz, _cell string")
+    for by in (["service"], []):
+        def first(k, s):
+            later = [x for other, x in events if s is not None and x >= s and (not by or other == k)]
+            return at(min(later)) if later else None
+
+        got = nextevent.next_event(p, e, "since", by)
+        assert got.columns == ["id", "service", "since", "_cell", "next_event"]
+        assert {r.id: r.next_event for r in got.collect()} == {i: first(k, s) for i, k, s in points}
+    none = nextevent.next_event(p, e.limit(0), "since", ["service"]).collect()
+    assert len(none) == len(points) and not any(r.next_event for r in none)
