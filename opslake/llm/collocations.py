@@ -14,8 +14,8 @@ from opslake.llm.rows import text_slices
 from opslake.plans.sizing import broadcast_if_small, has_at_most
 from opslake.session import fresh_path
 
-#: Words of a shard (a longer piece stays whole); a bound on what one index holds. Rows of a batch that leaves a task.
-SHARD_WORDS, BATCH_ROWS = 1 << 19, 1 << 16
+#: Words of a shard (a longer piece stays whole); a bound on what one index holds. Rows of a batch that leaves a task, and rows that are summed in it.
+SHARD_WORDS, BATCH_ROWS, HELD_ROWS = 1 << 19, 1 << 14, 1 << 18
 #: Frequent phrases of one length that are sent to every shard of their language.
 LIST_ROWS = 300_000
 #: What ends a piece. No word can hold a full stop, so it stands for the end of a piece among the words.
@@ -163,29 +163,53 @@ def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             first, second, count = after.extensions(*after.find([single]))
             del after
             yield from _counted(batch, i, words, [first + 1, second], count)
+            pa.default_memory_pool().release_unused()
+
+
+def _longer(batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
+    """Counts, in the i-th shard of a batch, of the phrases one word longer than the given ones of which both ends are given."""
+    words = _words(batch, i)
+    given = pc.split_pattern(pc.split_pattern(batch.column("phrases").slice(i, 1), "\n").flatten(), " ")
+    table = pc.fill_null(pc.index_in(given.flatten(), words), -1).to_numpy().reshape(len(given), -1) + 1
+    table = table[(table > 0).all(axis=1)]
+    del given
+    if len(table) == 0:
+        return
+    columns = list(table.T)
+    before, after = (FMIndex(_unpacked(batch.column(c)[i].as_py())) for c in ("before", "after"))
+    right_of, right, count = after.extensions(*after.find(columns))
+    left_of, left, _ = before.extensions(*before.find(columns[::-1]))
+    longer = np.column_stack((table[right_of], right)).astype(np.int64)
+    odd = np.random.default_rng(13).integers(1 << 62, size=longer.shape[1], dtype=np.int64) * 2 + 1
+    # Equal sums of unequal phrases would only let a phrase through that the global sum drops later.
+    both = np.isin(longer @ odd, np.column_stack((left, table[left_of])).astype(np.int64) @ odd)
+    longer, count = longer[both], count[both]
+    yield from _counted(batch, i, words, list(longer.T), count)
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts, per shard, of the phrases one word longer than the given ones of which both ends are given."""
     for batch in batches:
         for i in range(batch.num_rows):
-            words = _words(batch, i)
-            given = pc.split_pattern(pc.split_pattern(batch.column("phrases").slice(i, 1), "\n").flatten(), " ")
-            table = pc.fill_null(pc.index_in(given.flatten(), words), -1).to_numpy().reshape(len(given), -1) + 1
-            table = table[(table > 0).all(axis=1)]
-            del given
-            if len(table) == 0:
-                continue
-            columns = list(table.T)
-            before, after = (FMIndex(_unpacked(batch.column(c)[i].as_py())) for c in ("before", "after"))
-            right_of, right, count = after.extensions(*after.find(columns))
-            left_of, left, _ = before.extensions(*before.find(columns[::-1]))
-            longer = np.column_stack((table[right_of], right)).astype(np.int64)
-            odd = np.random.default_rng(13).integers(1 << 62, size=longer.shape[1], dtype=np.int64) * 2 + 1
-            # Equal sums of unequal phrases would only let a phrase through that the global sum drops later.
-            both = np.isin(longer @ odd, np.column_stack((left, table[left_of])).astype(np.int64) @ odd)
-            longer, count = longer[both], count[both]
-            yield from _counted(batch, i, words, list(longer.T), count)
+            yield from _longer(batch, i)
+
+
+def _grow_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As ``_grow``, with the counts of the shards of a task summed before they leave it, as far as HELD_ROWS allows."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if held:
+            table = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("n", "sum"), ("shard", "min")])
+            held.clear()
+            yield from table.rename_columns(["lang", "phrase", "n", "shard"]).select(["shard", "lang", "phrase", "n"]).to_batches(max_chunksize=BATCH_ROWS)
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            held += _longer(batch, i)
+            pa.default_memory_pool().release_unused()
+            if sum(h.num_rows for h in held) > HELD_ROWS:
+                yield from out()
+    yield from out()
 
 
 COUNTS = "shard bigint, lang string, phrase string, n bigint"
@@ -213,10 +237,10 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
     made = rows.mapInArrow(_make_index(SHARD_WORDS, max_words), "lang string, n bigint, words binary, before binary, after binary")
     index = _written(made.withColumn("shard", F.monotonically_increasing_id()), "phrase-index")
-    counts = index.mapInArrow(_words_and_pairs, COUNTS)
+    counts = summed = index.mapInArrow(_words_and_pairs, COUNTS)
     found, lists = [], F.array_join(F.collect_list("phrase"), "\n").alias("phrases")
     for size in range(2, max_words + 1):
-        totals = counts.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
+        totals = summed.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         found.append(_written(totals.withColumn("size", F.size(F.split("phrase", " "))), "phrases"))
         last = found[-1].where(F.col("size") == size).select("lang", "phrase")
         if size == max_words:
@@ -226,7 +250,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
         else:
             own = counts.join(last.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(lists)
             given = index.join(own.hint("merge"), "shard")
-        counts = given.mapInArrow(_grow, COUNTS)
+        counts, summed = given.mapInArrow(_grow, COUNTS), given.mapInArrow(_grow_and_sum, COUNTS)
     return reduce(DataFrame.unionByName, found), index.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
