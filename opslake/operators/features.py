@@ -5,6 +5,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from opslake.plans.scan import affine_scan
 from opslake.plans.sizing import settle, use_spread_plan
 from opslake.plans.slicing import fitting_time_slice, over_ordered
 from opslake.schema import require
@@ -87,6 +88,22 @@ def cross_service_features(telemetry: DataFrame, config: FeatureConfig = Feature
                              F.col("latency_ms") / (F.col("system_mean_latency") + F.lit(config.epsilon)))
 
 
+def ewma_features(telemetry: DataFrame, metrics: tuple[str, ...] = ("latency_ms", "error_rate"), alpha: float = 0.3, mode: str = "auto") -> DataFrame:
+    """Exponentially weighted mean of each metric over the whole history of its service, as ``<metric>_ewma``.
+
+    A value k observations back weighs (1 - alpha)^k, weights are divided by their sum, and missing values count as no
+    observation; before the first one the mean is null. Exact for histories of any length.
+    """
+    maps = {}
+    for m in metrics:
+        seen = F.col(m).isNotNull()
+        keep = F.when(seen, F.lit(1.0 - alpha)).otherwise(F.lit(1.0))
+        maps |= {f"_{m}_sum": (keep, F.coalesce(F.col(m).cast("double"), F.lit(0.0))), f"_{m}_weight": (keep, F.when(seen, 1.0).otherwise(0.0))}
+    scanned = affine_scan(telemetry, ["service"], ["timestamp"], maps, mode)
+    return scanned.select(*telemetry.columns, *[
+        F.when(F.col(f"_{m}_weight") > 0, F.col(f"_{m}_sum") / F.col(f"_{m}_weight")).alias(f"{m}_ewma") for m in metrics])
+
+
 def extract_features(telemetry: DataFrame, config: FeatureConfig = FeatureConfig(), mode: str = "auto") -> DataFrame:
     """Telemetry plus all features: narrow steps first, so the join carries few columns into the windows."""
     require(telemetry)

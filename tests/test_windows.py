@@ -2,9 +2,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import at, rows_of
+from conftest import T0, at, rows_of
 from opslake.functions.scalars import epoch_seconds
 from opslake.operators.features import FeatureConfig, extract_features, history_features
 from opslake.operators.zscore import ZScoreConfig, zscore_anomalies
@@ -165,3 +166,31 @@ def test_thin_services_get_wide_slices(spark):
     n = {r["service"]: r["n"] for r in rows.groupBy("service").agg(F.countDistinct("_slice").alias("n")).collect()}
     assert n["busy"] > 25 and n[None] == 1
     assert rows.count() == df.count() and _halo_rows(rows, ["service"], ["timestamp"], 30).count() < 20_060
+
+
+@pytest.mark.parametrize("block,mode", [(2, "plain"), (3, "spread"), (32, "plain")])
+def test_ewma_equals_the_recurrence(spark, telemetry, monkeypatch, block, mode):
+    """Any block size, several levels, missing values first and in between, a null service and a service with one row."""
+    import random
+
+    from opslake.operators.features import ewma_features
+    from opslake.plans import scan
+
+    monkeypatch.setattr(scan, "BLOCK", block)
+    rng = random.Random(3)
+    rows = [(i * 10, s, {"latency_ms": None if i in (0, 7) or rng.random() < 0.1 else rng.uniform(1, 900)}) for i in range(41) for s in ("database", None)]
+    rows += [(5, "api_gateway", {"latency_ms": 4.0})]
+    want = {}
+    for s in ("database", None, "api_gateway"):
+        total = weight = 0.0
+        for at_, svc, m in rows:
+            if svc == s:
+                x = m["latency_ms"]
+                if x is not None:
+                    total, weight = 0.7 * total + x, 0.7 * weight + 1
+                want[at_, s] = total / weight if weight else None
+    got = ewma_features(telemetry(rows), ("latency_ms",), 0.3, mode)
+    assert got.columns[-1] == "latency_ms_ewma"
+    found = {((r.timestamp - T0).seconds, r.service): r.latency_ms_ewma for r in got.collect()}
+    assert set(found) == set(want)
+    assert all(found[k] == want[k] if want[k] is None else found[k] == pytest.approx(want[k], rel=1e-12) for k in want)

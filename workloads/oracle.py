@@ -231,6 +231,13 @@ CTES = {
         SELECT 'order:' || o_orderkey AS service FROM orders UNION ALL SELECT 'customer:' || c_custkey FROM customer
         UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'part:' || p_partkey FROM part
         UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'region:' || r_regionkey FROM region""",
+    "numbered": """
+        SELECT *, row_number() OVER (PARTITION BY service ORDER BY "timestamp") AS n FROM tel""",
+    "ewma": """
+        SELECT "timestamp", service, n, latency_ms AS ls, error_rate AS es, 1::DOUBLE AS w FROM numbered WHERE n = 1
+        UNION ALL
+        SELECT t."timestamp", t.service, t.n, 0.7::DOUBLE * e.ls + t.latency_ms, 0.7::DOUBLE * e.es + t.error_rate, 0.7::DOUBLE * e.w + 1
+        FROM ewma e JOIN numbered t ON t.service = e.service AND t.n = e.n + 1""",
     "gback": """
         SELECT * FROM gedge UNION SELECT 'customer:' || o_custkey, 'order:' || max(o_orderkey) FROM orders GROUP BY o_custkey
         UNION SELECT 'nation:' || s_nationkey, 'supplier:' || min(s_suppkey) FROM supplier GROUP BY s_nationkey""",
@@ -555,6 +562,8 @@ BODIES = {
     "topology_depth": """
         SELECT g.service, CAST(coalesce(max(w.depth), 0) AS INTEGER) AS depth FROM gnode g LEFT JOIN gwalk w USING (service)
         GROUP BY 1""",
+    "features_ewma": """
+        SELECT "timestamp", service, round(ls / w + 1e-9::DOUBLE, 6) AS latency_ms_ewma, round(es / w + 1e-9::DOUBLE, 6) AS error_rate_ewma FROM ewma""",
     "topology_cycles": """
         SELECT c.service, c.component, z.size FROM gscc c JOIN (SELECT component, count(*) AS size FROM gscc GROUP BY 1) z USING (component)
         WHERE z.size > 1""",

@@ -158,6 +158,12 @@ def incident_labels(spark, sf):
     return labels.incident_labels(I.telemetry(spark, sf), I.incidents(spark))
 
 
+@query
+def features_ewma(spark, sf):
+    t = features.ewma_features(I.telemetry(spark, sf))
+    return rounded(t.select("timestamp", "service", "latency_ms_ewma", "error_rate_ewma"))
+
+
 @query
 def incident_labels_many(spark, sf):
     return labels.incident_labels(I.telemetry(spark, sf), I.all_incidents(spark, sf))
