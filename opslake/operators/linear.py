@@ -111,3 +111,40 @@ def class_probabilities(df: DataFrame, model: LinearModel) -> DataFrame:
     scored = model.model.transform(_vectors(packed, model.features, model.stats))
     return scored.select(*keep, *[F.col(f"_kept.{c}").alias(c) for c in model.features],
                          vector_to_array("_p").alias("_p")).select(*df.columns, "_p")
+
+
+def optimality(df: DataFrame, label: str, model: LinearModel, config: LinearConfig = LinearConfig()) -> DataFrame:
+    """``class, feature, coefficient, gradient`` of the penalised loss at the model, over its training rows; the intercept's feature is null.
+
+    Probabilities are computed anew from the coefficients, and all sums are one distributed aggregate. The loss is
+    strongly convex in the coefficients with constant 1 / (C n), so their distance from the optimum is at most C n times the norm of
+    the gradient: a model whose gradients vanish is the optimum, whatever found it. A model of one class has no coefficients to
+    find and gives gradients of 0.
+    """
+    spark = df.sparkSession
+    schema = "class string, feature string, coefficient double, gradient double"
+    names = [*model.features, None]
+    if model.model is None:
+        return spark.createDataFrame([(model.classes[0], f, 0.0, 0.0) for f in names], schema)
+    given = F.col(label).cast("string")
+    counts = {r["_y"]: r["n"] for r in df.groupBy(given.alias("_y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, k = sum(counts.values()), len(model.classes)
+    weight = F.create_map(*[v for c in model.classes for v in (F.lit(c), F.lit(n / (k * counts[c]) if config.balanced else 1.0))])
+    binary = len(model.coefficients) == 1 and k == 2
+    shown = [model.classes[1]] if binary else model.classes
+    margins = [sum((F.lit(b) * F.col(f) for f, b in zip(model.features, row, strict=True)), F.lit(a))
+               for row, a in zip(model.coefficients, model.intercepts, strict=True)]
+    scaled = scale(df, model.stats).select(*model.features, given.alias("_y"), weight[given].alias("_w"), *[m.alias(f"_m{i}") for i, m in enumerate(margins)])
+    if binary:
+        chances = [F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_m0")))]
+    else:
+        top = F.greatest(*[F.col(f"_m{i}") for i in range(k)])
+        parts = [F.exp(F.col(f"_m{i}") - top) for i in range(k)]
+        chances = [p / sum(parts[1:], parts[0]) for p in parts]
+    off = scaled.select("*", *[(F.col("_w") * (p - (F.col("_y") == c).cast("double"))).alias(f"_o{i}") for i, (c, p) in enumerate(zip(shown, chances, strict=True))])
+    sums = off.agg(F.sum("_w").alias("w"), *[F.sum(F.col(f"_o{i}") * (F.col(f) if f else F.lit(1.0))).alias(f"g{i}_{j}")
+                                             for i in range(len(shown)) for j, f in enumerate(names)])
+    entries = [F.struct(F.lit(c).alias("class"), F.lit(f).cast("string").alias("feature"), F.lit(model.coefficients[i][j] if f else model.intercepts[i]).alias("coefficient"),
+                        (F.col(f"g{i}_{j}") / F.col("w") + F.lit(model.coefficients[i][j] / (config.c * n) if f else 0.0)).alias("gradient"))
+               for i, c in enumerate(shown) for j, f in enumerate(names)]
+    return sums.select(F.inline(F.array(*entries)))

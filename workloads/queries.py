@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from opslake.operators import (
-    clean, drift, evaluate, explain, features, health, iforest, labels, metrics, prep, rca, topology, validate, zscore)
+    clean, drift, evaluate, explain, features, health, iforest, labels, linear, metrics, prep, rca, topology, validate, zscore)
 from opslake.operators.predictor import PredictorConfig, fit_predictor, predict_incidents, top_features
 from opslake.operators.severity import fit_severity, predict_severity
 from opslake.plans.sizing import settle
@@ -398,6 +398,27 @@ def severity_predictions(spark, sf):
     return predict_severity(rows, fit_severity(rows))
 
 
+def _certified(gradients: DataFrame) -> DataFrame:
+    """What certifies the optimum: per class the largest gradient of the penalised loss, zero to four places."""
+    return gradients.groupBy("class").agg(F.round(F.max(F.abs("gradient")), 4).alias("largest_gradient"))
+
+
+@query
+def predictor_certificate(spark, sf):
+    rows = settle(prep.chronological_split(_labelled_features(spark, sf)), "labelled").where("split = 'train'")
+    label = "is_incident_in_horizon"
+    rows = rows.withColumn(label, F.col(label).cast("int"))
+    return _certified(linear.optimality(rows, label, fit_predictor(rows)))
+
+
+@query
+def severity_certificate(spark, sf):
+    t = I.strained(spark, sf)
+    lab = labels.severity_labels(t, I.incidents(spark)).where(F.col("severity").isNotNull())
+    rows = settle(t.join(lab, ["timestamp", "service"]), "labelled")
+    return _certified(linear.optimality(rows, "severity", fit_severity(rows)))
+
+
 @query
 def incident_evaluation(spark, sf):
     done = evaluate.evaluate_incidents(I.strained(spark, sf), I.incidents(spark), PredictorConfig(horizon_seconds=I.HORIZON),
