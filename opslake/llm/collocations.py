@@ -16,6 +16,8 @@ from opslake.session import fresh_path
 
 #: Words of a shard (a longer piece stays whole); a bound on what one index holds. Rows of a batch that leaves a task, and rows that are summed in it.
 SHARD_WORDS, BATCH_ROWS, HELD_ROWS = 1 << 19, 1 << 14, 1 << 18
+#: Shards of one file, so that a task reads few of them.
+SHARDS_PER_FILE = 3
 #: Frequent phrases of one length that are sent to every shard of their language.
 LIST_ROWS = 300_000
 #: What ends a piece. No word can hold a full stop, so it stands for the end of a piece among the words.
@@ -215,9 +217,9 @@ def _grow_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 COUNTS = "shard bigint, lang string, phrase string, n bigint"
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -236,7 +238,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
     made = rows.mapInArrow(_make_index(SHARD_WORDS, max_words), "lang string, n bigint, words binary, before binary, after binary")
-    index = _written(made.withColumn("shard", F.monotonically_increasing_id()), "phrase-index")
+    index = _written(made.withColumn("shard", F.monotonically_increasing_id()), "phrase-index", SHARDS_PER_FILE)
     counts = summed = index.mapInArrow(_words_and_pairs, COUNTS)
     found, lists = [], F.array_join(F.collect_list("phrase"), "\n").alias("phrases")
     for size in range(2, max_words + 1):
