@@ -58,7 +58,11 @@ def zscore_anomalies(telemetry: DataFrame, config: ZScoreConfig = ZScoreConfig()
     if not metrics:
         return telemetry.select("timestamp", "service", *keep, F.lit(0.0).alias("anomaly_score"),
                                 F.lit(False).alias("is_anomaly"), F.lit("").alias("anomalous_metrics"))
-    z = zscore_frame(telemetry, config, mode, keep)
+    return flagged(zscore_frame(telemetry, config, mode, keep), metrics, config, keep)
+
+
+def flagged(z: DataFrame, metrics: list[str], config: ZScoreConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Score, flag and metric list of rows that have ``<metric>_z`` for every metric."""
     score = F.round(greatest_of([F.col(f"{m}_z") for m in metrics]), 4)
     listed = F.concat_ws(",", *[F.when(F.col(f"{m}_z") >= config.threshold, F.lit(m)) for m in metrics])
     return z.select("timestamp", "service", *keep, score.alias("anomaly_score"),

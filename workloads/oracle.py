@@ -719,6 +719,7 @@ BODIES = {
         SELECT *, status IN ('DRIFT','MISSING') AS is_drift, status = 'WARNING' AS is_warning FROM verdict_stream""",
     "stream_dedup": "SELECT event_id, user_id, event_type, value FROM events",
     "stream_zscore": "SELECT * FROM zclosed",
+    "stream_zscore_state": "SELECT * FROM zclosed",
     "stream_labels": f"SELECT l.* FROM lab l SEMI JOIN closedtel c USING ({KEY})",
 }
 for _plain, _spread in (("validate_order", "validate_order_spread"), ("features_rolling", "features_rolling_spread"),

@@ -13,7 +13,7 @@ from opslake.plans.sizing import settle
 from opslake.schema import METRICS
 from opslake.session import fresh_path
 from opslake.sources import registry, telemetry as tsource
-from opslake.streaming import detect, rollup as srollup, run as srun
+from opslake.streaming import detect, rollup as srollup, run as srun, state as zstate
 from workloads import inputs as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -724,6 +724,19 @@ def stream_zscore(spark, sf):
     return scores
 
 
+@query
+def stream_zscore_state(spark, sf):
+    """The streamed roll-up lands in three periods; the stateful query is stopped and restarted for each of them."""
+    rolled = srun.run_to_table(srollup.stream_telemetry(_event_stream(spark, sf)))
+    landed, out, checkpoint = (fresh_path(spark, f"zstate-{n}") for n in ("in", "out", "offsets"))
+    edges = ["0001-01-01", "2024-01-11", "2024-01-21", "9999-01-01"]
+    for start, end in zip(edges, edges[1:]):
+        inside = (F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")) & (F.col("timestamp") < F.lit(end).cast("timestamp_ntz"))
+        rolled.where(inside).write.mode("append").parquet(landed)
+        scores, _ = zstate.stream_zscores_by_state(srun.table_stream(spark, landed, rolled.schema), out=out, checkpoint=checkpoint)
+    return scores
+
+
 def _batched(spark, sf, handler):
     out = fresh_path(spark, "batches")
     srun.run_batches(srollup.stream_telemetry(_event_stream(spark, sf)), handler(out))
