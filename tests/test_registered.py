@@ -12,7 +12,8 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SOME = ("telemetry_rollup", "incident_scan", "clean_report", "incident_labels_many", "horizon_labels", "features_all",
+SOME = ("telemetry_rollup", "incident_scan", "incident_scan_large", "clean_report",
+        "incident_labels_many", "horizon_labels", "features_all",
         "zscore_anomalies_spread", "rca_rank", "evidence_signals", "anomaly_metrics", "drift_verdicts", "topology_depth",
         "stream_rollup", "stream_zscore_state")
 NAMES = sorted(entry.ORACLE) if os.environ.get("OPSLAKE_ORACLE") == "all" else SOME

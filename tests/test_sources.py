@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import at, rows_of
 from opslake.session import shared_dir
-from opslake.sources import incidents as isource, registry, telemetry as tsource
+from opslake.sources import incidents as isource, jsonarrays, registry, telemetry as tsource
 
 DOC = [{"incident_id": "INC-1", "incident_type": "database_connection_saturation", "root_cause_service": "database",
         "affected_services": ["database"], "start_time": "2024-01-01T00:02:30Z", "detection_time": "2024-01-01T00:03:10Z",
@@ -121,3 +121,48 @@ def test_default_load_checks_order_and_tells_every_finding(spark, telemetry, tmp
     with pytest.raises(ContractError, match="29 more") as e:
         read_telemetry(spark, str(tmp_path / "odd.parquet"))
     assert e.value.findings.where("rule = 'unknown_service'").count() == 30
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Blocks of 64 bytes, so that a small file is read by many tasks."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = [spark.conf.get(n) for n in names]
+    for n, v in zip(names, ("64", "0"), strict=True):
+        spark.conf.set(n, v)
+    yield
+    for n, v in zip(names, old, strict=True):
+        spark.conf.set(n, v)
+
+
+HOSTILE = [{"a": 'x,"],[{', "b": [1, [2, {"c": "\\"}]]}, "\\\",", ",", "", None, [], {}, -1.5e3, [[], [[","]]], {"": {"[": "}"}}, "line\nend, ]", "\u00e9,\u4e2d" * 40]
+
+
+@pytest.mark.parametrize("mode", ["plain", "spread"])
+def test_array_elements_of_hostile_files(spark, tiny_splits, tmp_path, mode):
+    files = {"one": json.dumps(HOSTILE * 3), "wide": json.dumps(HOSTILE, indent=3, ensure_ascii=False) + "\n", "empty_array": " [ \n] ", "single": "[7]",
+             "nothing": "", "object": '{"a": [1, 2], "b": 3}', "cut": '[1, {"a": 2', "two": "[1], [2]", "hole": "[1,,2]", "early": '["a", "b]'}
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+    got = {}
+    for r in jsonarrays.array_elements(spark, str(tmp_path), mode).collect():
+        got.setdefault(r["file"].rsplit("/", 1)[-1][:-5], []).append(r)
+    for name in ("one", "wide", "single"):
+        rows = sorted(got[name], key=lambda r: r["ord"])
+        assert [r["ord"] for r in rows] == list(range(len(rows))) and not any(r["bad_file"] or r["bad_element"] for r in rows)
+        assert [json.loads(r["text"]) for r in rows] == json.loads(files[name])
+    assert "empty_array" not in got and "nothing" not in got
+    assert all(r["bad_file"] for name in ("object", "cut", "two", "early") for r in got[name])
+    assert sorted((r["ord"], r["bad_file"], r["bad_element"]) for r in got["hole"]) == [(0, False, False), (1, False, True), (2, False, False)]
+
+
+def test_large_incident_file_equals_whole_file(spark, tiny_splits, tmp_path, monkeypatch):
+    path = tmp_path / "incidents.json"
+    path.write_text(json.dumps([{**d, "incident_id": f"{d['incident_id']}-{k}", "description": 'a, "b" ]'} for k in range(20) for d in DOC]))
+    whole = isource.read_incidents(spark, str(path))
+    assert spark.read.option("lineSep", ",").text(str(path)).rdd.getNumPartitions() > 20
+    monkeypatch.setattr(isource, "WHOLE_FILE", 100)
+    assert rows_of(isource.read_incidents(spark, str(path)), "ord") == rows_of(whole, "ord")
+    path.write_text('{"not": "a list"' + " " * 200 + "}")
+    with pytest.raises(ValueError):
+        isource.read_incidents(spark, str(path))

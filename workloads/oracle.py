@@ -724,7 +724,7 @@ BODIES = {
 }
 for _plain, _spread in (("validate_order", "validate_order_spread"), ("features_rolling", "features_rolling_spread"),
                         ("chrono_split", "chrono_split_spread"), ("zscore_anomalies", "zscore_anomalies_spread"),
-                        ("drift_psi", "drift_psi_spread")):
+                        ("drift_psi", "drift_psi_spread"), ("incident_scan", "incident_scan_large")):
     BODIES[_spread] = BODIES[_plain]
 
 NUDGED = {

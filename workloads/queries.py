@@ -12,7 +12,7 @@ from opslake.operators.severity import fit_severity, predict_severity
 from opslake.plans.sizing import settle
 from opslake.schema import METRICS
 from opslake.session import fresh_path
-from opslake.sources import registry, telemetry as tsource
+from opslake.sources import incidents as isource, registry, telemetry as tsource
 from opslake.streaming import detect, rollup as srollup, run as srun, state as zstate
 from workloads import inputs as I
 
@@ -60,6 +60,17 @@ def incident_scan(spark, sf):
         "end_time", "severity")
 
 
+@query
+def incident_scan_large(spark, sf):
+    """The same documents as files of one JSON array each, read in pieces between commas."""
+    path = fresh_path(spark, "arrays")
+    I.incident_documents(spark, sf).select("text").write.option("maxRecordsPerFile", 1).text(path)
+    return isource.scan_incidents(spark, path).select(
+        F.substring("incident_id", 5, 10).alias("day"), "ord", "incident_id", "incident_type", "root_cause_service",
+        F.coalesce(F.array_join("affected_services", ","), F.lit("-")).alias("affected"), "start_time", "detection_time",
+        "end_time", "severity")
+
+
 @query
 def latest_telemetry(spark, sf):
     return tsource.latest(I.telemetry(spark, sf).select("timestamp", "service", "latency_ms", "error_rate"), 500)
