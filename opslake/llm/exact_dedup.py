@@ -36,11 +36,13 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.read.table(self.name)
 
-    def append(self, digests: DataFrame) -> None:
-        """Add the digests of a batch (digest, doc_id) that the index lacks, each with its smallest id."""
+    def append(self, firsts: DataFrame) -> None:
+        """Add the digests of a batch that the index lacks; ``firsts`` has each digest of the batch once, with its smallest id.
+
+        ``firsts`` should be a written table: Spark moves an anti-join below an aggregate, and would shuffle every row of a hot digest.
+        """
         batch = (self.table().agg(F.max("batch")).first()[0] or 0) + 1
-        firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-        new = firsts.join(self.table().hint("merge"), "digest", "left_anti")
+        new = firsts.select("digest", "keep_id").join(self.table().hint("merge"), "digest", "left_anti")
         (new.repartition(self.buckets, "digest").sortWithinPartitions("digest")
          .select("digest", "keep_id", F.lit(batch).cast("long").alias("batch"))
          .write.mode("append").format("parquet").option("path", self.path)
@@ -69,12 +71,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex | None = None, doc_id: str =
     path = fresh_path(spark, "batch")
     docs.select(F.col(doc_id).alias("doc_id"), digest(text_of(text)).alias("digest")).write.parquet(path)
     batch = spark.read.schema("doc_id bigint, digest binary").parquet(path)
-    index.append(batch)
     sizes = fresh_path(spark, "sizes")
-    batch.groupBy("digest").agg(F.count("*").alias("group_size")).write.parquet(sizes)
-    groups = spark.read.schema("digest binary, group_size bigint").parquet(sizes)
+    batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).write.parquet(sizes)
+    groups = spark.read.schema("digest binary, keep_id bigint, group_size bigint").parquet(sizes)
+    index.append(groups)
     n = groups.agg(F.sum("group_size")).first()[0] or 0
-    known = index.table().select("digest", "keep_id").join(groups.hint("merge"), "digest")
+    known = index.table().select("digest", "keep_id").join(groups.drop("keep_id").hint("merge"), "digest")
     hot = F.broadcast(known.where(F.col("group_size") > max(1, n * HOT_SHARE)))
     named = batch.join(hot, "digest", "left")
     rest = named.where(F.col("group_size").isNull()).select("digest", "doc_id").join(
