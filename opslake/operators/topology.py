@@ -6,7 +6,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opslake.plans.sizing import settle
+from opslake.plans.sizing import broadcast_if_small, settle
 
 # Fixed value: default caller -> dependencies map, in display order.
 DEFAULT_TOPOLOGY = {
@@ -63,43 +63,71 @@ def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(pd.DataFrame(rows, columns=names), schema) if rows else spark.createDataFrame([], schema)
 
 
-def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``service, depth``: length of the longest path from a node without callers; 0 for nodes that no such path reaches.
+def _standing(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``service, known, called, own`` of all nodes and dependencies: is a node, has another caller (known or not), calls itself."""
+    own = F.coalesce(F.col("caller") == F.col("dependency"), F.lit(False))
+    ends = edges.where(F.col("dependency").isNotNull()).select(
+        F.col("dependency").alias("service"), F.lit(False).alias("known"), (~own).alias("called"), own.alias("own"))
+    rows = nodes.select("service", F.lit(True).alias("known"), F.lit(False).alias("called"), F.lit(False).alias("own")).unionByName(ends)
+    return settle(rows.groupBy("service").agg(*[F.max(c).alias(c) for c in ("known", "called", "own")]), "standing")
+
+
+def _lines(edges: DataFrame, callers: DataFrame) -> DataFrame:
+    """The distinct edges of ``callers(service, met)``. Where nothing calls the caller (not ``met``) it is left out as null.
 
-    First the nodes reachable from those without callers are found, each in one level. Then nodes without open callers are
-    peeled off, level by level: the level is the depth, and each edge is looked at once. A level that peels nothing while
-    nodes are left proves a cycle at once, as does a graph in which all nodes have callers. Levels are written out, which
-    also cuts the lineage of the loop.
+    Most edges of a large graph come from such callers. Here all edges are joined once; what later steps read is one row per
+    dependency of these callers, and the edges between nodes that are called themselves.
     """
-    nodes = settle(nodes.select("service").distinct(), "nodes")
-    edges = settle(edges.select("caller", "dependency").distinct(), "edges")
-    called = edges.select(F.col("dependency").alias("service"))
-    level = settle(nodes.join(called, "service", "left_anti"), "level")
-    if level.isEmpty() and not nodes.isEmpty():
-        raise CyclicTopology("the dependency graph has a cycle")
-    reached = level
-    while True:
-        level = settle(edges.join(level, edges["caller"] == level["service"], "left_semi").select(F.col("dependency").alias("service"))
-                       .distinct().join(reached, "service", "left_anti"), "level")
-        if level.isEmpty():
-            break
-        reached = settle(reached.unionByName(level), "reached")
+    state = callers.select(F.col("service").alias("caller"), "met")
+    return edges.where(F.col("dependency").isNotNull()).join(broadcast_if_small(state), "caller").select(
+        F.when(F.col("met"), F.col("caller")).alias("caller"), "dependency").distinct()
 
-    left, lines = reached, edges.join(reached, edges["caller"] == reached["service"], "left_semi")
+
+def _levels(left: DataFrame, first: DataFrame, lines: DataFrame) -> DataFrame:
+    """``service, depth`` of the nodes ``left``, peeled off level by level; ``first`` are called from the level above them all.
+
+    Nodes without open callers are a level, and each edge is looked at until its caller is peeled. A level that peels nothing
+    while nodes are left proves a cycle. Levels are written out, which also cuts the lineage of the loop.
+    """
     depth, done = 0, []
+    open_calls = first.unionByName(lines.select(F.col("dependency").alias("service")))
     while not left.isEmpty():
-        blocked = lines.select(F.col("dependency").alias("service"))
-        ready = settle(left.join(blocked, "service", "left_anti"), "ready")
-        if ready.isEmpty():
+        ready = settle(left.join(open_calls, "service", "left_anti"), "ready")
+        if depth and ready.isEmpty():
             raise CyclicTopology("the dependency graph has a cycle")
         done.append(ready.withColumn("depth", F.lit(depth)))
         left = settle(left.join(ready, "service", "left_anti"), "left")
         lines = settle(lines.join(ready, lines["caller"] == ready["service"], "left_anti"), "lines")
+        open_calls = lines.select(F.col("dependency").alias("service"))
         depth += 1
-    best = done[0] if done else nodes.limit(0).withColumn("depth", F.lit(0))
+    best = done[0] if done else left.withColumn("depth", F.lit(0))
     for more in done[1:]:
         best = best.unionByName(more)
-    return nodes.join(best, "service", "left").select("service", F.coalesce("depth", F.lit(0)).alias("depth"))
+    return best
+
+
+def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``service, depth``: length of the longest path from a node without callers; 0 for nodes that no such path reaches.
+
+    Nodes without callers are set apart with their edges, in one join over all edges. Of the rest, the nodes that can be
+    reached are found, each in one step, and peeled off level by level; the level is the depth. A level that peels nothing
+    proves a cycle, as does a graph in which all nodes have callers. Edges without a dependency count for nothing.
+    """
+    standing = _standing(nodes, edges).select("service", "known", (F.col("called") | F.col("own")).alias("met"))
+    known = standing.where("known").select("service")
+    if standing.where("known AND NOT met").isEmpty() and not known.isEmpty():
+        raise CyclicTopology("the dependency graph has a cycle")
+    lines = settle(_lines(edges, standing), "lines")
+    inner = lines.where(F.col("caller").isNotNull())
+    reached = level = first = lines.where(F.col("caller").isNull()).select(F.col("dependency").alias("service"))
+    while True:
+        level = settle(inner.join(level, inner["caller"] == level["service"], "left_semi").select(F.col("dependency").alias("service"))
+                       .distinct().join(reached, "service", "left_anti"), "level")
+        if level.isEmpty():
+            break
+        reached = settle(reached.unionByName(level), "reached")
+    best = _levels(reached, first, inner.join(reached, inner["caller"] == reached["service"], "left_semi"))
+    return known.join(best, "service", "left").select("service", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def _between(lines: DataFrame, nodes: DataFrame) -> DataFrame:

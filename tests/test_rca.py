@@ -169,3 +169,43 @@ def test_cycles_are_reported_and_condensed(spark):
 
     assert deep == {n: (depth(c), size[c] > 1) for n, c in part.items()}
     assert strong_components(nodes.limit(0), edges).collect() == []
+
+
+def _star(spark, ring):
+    """300 sources that call four of ten hubs each, stated twice; the hubs call each other in a row, or in rings of five."""
+    calls = [(f"s{i:03d}", f"h{(i + k) % 10}") for i in range(300) for k in (0, 1, 3, 7)]
+    among = [(f"h{i}", f"h{i // 5 * 5 + (i + 1) % 5}") for i in range(10)] if ring else [(f"h{i}", f"h{i + 1}") for i in range(9)]
+    nodes = [(n,) for n in dict.fromkeys(c for c, _ in calls)] + [(f"h{i}",) for i in range(10)]
+    return (spark.createDataFrame(nodes, "service string"),
+            spark.createDataFrame(calls * 2 + among, "caller string, dependency string"), len(calls))
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows that the graph's operators write between their steps."""
+    from opslake.operators import topology
+
+    rows, settle = [], topology.settle
+
+    def counted(df, name):
+        out = settle(df, name)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(topology, "settle", counted)
+    return rows
+
+
+def test_edges_of_sources_are_not_carried_along(spark, written):
+    nodes, edges, calls = _star(spark, False)
+    got = {r.service: r.depth for r in longest_depth(nodes, edges).collect()}
+    assert got == {**{f"s{i:03d}": 0 for i in range(300)}, **{f"h{i}": i + 1 for i in range(10)}}
+    assert sum(written) < calls
+
+
+def test_unknown_callers_and_dependencies(spark):
+    """A caller that is no node still calls; a path leads through a dependency that is no node; an edge to nothing is no edge."""
+    nodes = spark.createDataFrame([(n,) for n in "abcdef"], "service string")
+    lines = [("a", "gone"), ("gone", "b"), ("b", "c"), ("a", "c"), ("ghost", "d"), ("d", "e"), ("f", None), (None, "f")]
+    got = {r.service: r.depth for r in longest_depth(nodes, spark.createDataFrame(lines, "caller string, dependency string")).collect()}
+    assert got == {"a": 0, "b": 2, "c": 3, "d": 0, "e": 0, "f": 0}

@@ -160,7 +160,10 @@ def severity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entity_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the order graph: order -> customer, supplier, part; customer, supplier -> nation -> region."""
+    """Nodes and edges of the order graph: order -> customer, supplier, part; customer, supplier -> nation -> region.
+
+    An edge comes once per row that states it; the operators take repeats as one.
+    """
     t = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer", "supplier", "part", "nation", "region")}
 
     def key(kind: str, column: str):
@@ -175,7 +178,7 @@ def entity_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         .unionByName(edge("lineitem", "order", "l_orderkey", "part", "l_partkey"))
         .unionByName(edge("customer", "customer", "c_custkey", "nation", "c_nationkey"))
         .unionByName(edge("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"))
-        .unionByName(edge("nation", "nation", "n_nationkey", "region", "n_regionkey")).distinct()
+        .unionByName(edge("nation", "nation", "n_nationkey", "region", "n_regionkey"))
     )
     kinds = (("orders", "order", "o_orderkey"), ("customer", "customer", "c_custkey"), ("supplier", "supplier", "s_suppkey"),
              ("part", "part", "p_partkey"), ("nation", "nation", "n_nationkey"), ("region", "region", "r_regionkey"))
