@@ -130,45 +130,48 @@ def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return known.join(best, "service", "left").select("service", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def _between(lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges of which both ends are among the nodes."""
-    ends = lines.join(nodes.select(F.col("service").alias("caller")), "caller", "left_semi")
-    return ends.join(nodes.select(F.col("service").alias("dependency")), "dependency", "left_semi")
+def _between(lines: DataFrame, nodes: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The edges of which both ends are among the nodes; with ``left_anti``, those of which neither is."""
+    for end in ("caller", "dependency"):
+        lines = lines.join(nodes.select(F.col("service").alias(end)), end, how)
+    return lines
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``service, component``: the smallest node that each node can reach and be reached from, itself included.
+def _inner_lines(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The standing of the nodes, and the distinct edges between known nodes that have callers; only these can lie on a cycle."""
+    standing = _standing(nodes, edges)
+    behind = standing.where("known AND called").withColumn("met", F.lit(True))
+    inner = _lines(edges.where(F.col("caller") != F.col("dependency")), behind)
+    return standing, settle(inner.join(behind, inner["dependency"] == behind["service"], "left_semi"), "inner")
+
+
+def _rings(lines: DataFrame) -> DataFrame:
+    """``service, component, size`` of all nodes in strong components of two nodes or more, named by their smallest node.
 
-    Nodes that nothing leads to, or that lead nowhere, are components of their own and are trimmed, again and again. What
-    is left is coloured: each node takes the smallest node that reaches it. A node that has its own colour then is the smallest of its
-    component, which is what reaches it backwards within the colour. These components are taken out and the rest goes
-    round again; each round settles at least one component per colour. Steps are joins and minima on written tables, so no
-    component or reach has to fit a task. Edges to unknown nodes count for nothing; no nodes give no rows.
+    Nodes that nothing leads to, or that lead nowhere, are trimmed, again and again. What is left is coloured: each node
+    takes the smallest node that reaches it; a step hands on the colours that have changed. A node that has its own colour
+    then is the smallest of its component, which is what reaches it backwards within the colour. These components are taken
+    out and the rest goes round again; each round settles at least one component per colour. Steps are joins and minima on
+    written tables, so no component or reach has to fit a task.
     """
-    left = settle(nodes.select("service").distinct(), "nodes")
-    lines = settle(_between(edges.select("caller", "dependency").where(F.col("caller") != F.col("dependency")).distinct(), left), "lines")
-    found = []
+    out = lines.select(F.col("caller").alias("service"), F.col("dependency").alias("component")).limit(0)
     while True:
         while True:
-            live = left.join(lines.select(F.col("caller").alias("service")), "service", "left_semi").join(
-                lines.select(F.col("dependency").alias("service")), "service", "left_semi")
-            live = settle(live, "live")
-            alone = settle(left.join(live, "service", "left_anti").withColumn("component", F.col("service")), "alone")
-            if alone.isEmpty():
+            live = settle(lines.select(F.col("caller").alias("service")).distinct().join(
+                lines.select(F.col("dependency").alias("service")), "service", "left_semi"), "live")
+            kept = settle(_between(lines, live), "lines")
+            if kept.count() == lines.count():
                 break
-            found.append(alone)
-            left, lines = live, settle(_between(lines, live), "lines")
-        if left.isEmpty():
+            lines = kept
+        if lines.isEmpty():
             break
-        colours = left.withColumn("colour", F.col("service"))
-        while True:
-            coming = lines.join(colours.withColumnRenamed("service", "caller"), "caller").groupBy(F.col("dependency").alias("service")).agg(
+        colours = moved = live.withColumn("colour", F.col("service"))
+        while not moved.isEmpty():
+            coming = lines.join(moved.select(F.col("service").alias("caller"), "colour"), "caller").groupBy(F.col("dependency").alias("service")).agg(
                 F.min("colour").alias("_new"))
             stepped = settle(colours.join(coming, "service", "left").select(
                 "service", F.least("colour", "_new").alias("colour"), (F.col("_new") < F.col("colour")).alias("_moved")), "colours")
-            colours = stepped.select("service", "colour")
-            if stepped.where("_moved").isEmpty():
-                break
+            colours, moved = stepped.select("service", "colour"), stepped.where("_moved")
         ends = [colours.select(F.col("service").alias(c), F.col("colour").alias(f"_{c}")) for c in ("caller", "dependency")]
         inner = settle(lines.join(ends[0], "caller").join(ends[1], "dependency").where("_caller = _dependency").select("caller", "dependency"), "inner")
         reached = front = settle(colours.where(F.col("service") == F.col("colour")), "roots")
@@ -178,23 +181,28 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             if front.isEmpty():
                 break
             reached = settle(reached.unionByName(front), "reached")
-        found.append(reached.withColumnRenamed("colour", "component"))
-        left = settle(left.join(reached, "service", "left_anti"), "nodes")
-        lines = settle(_between(lines, left), "lines")
-    out = found[0] if found else left.withColumn("component", F.col("service"))
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+        out = out.unionByName(reached.withColumnRenamed("colour", "component"))
+        lines = settle(_between(lines, reached, "left_anti"), "lines")
+    sizes = out.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return settle(out.join(sizes, "component").select("service", "component", "size"), "rings")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``service, component``: the smallest node that each node can reach and be reached from, itself included.
+
+    Edges to unknown nodes count for nothing; no nodes give no rows.
+    """
+    standing, inner = _inner_lines(nodes, edges)
+    return standing.where("known").select("service").join(_rings(inner), "service", "left").select(
+        "service", F.coalesce("component", "service").alias("component"))
 
 
 def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``service, component, size`` of every node on a cycle; a node that calls itself is a cycle of size 1."""
-    parts = settle(strong_components(nodes, edges), "components")
-    own = edges.where(F.col("caller") == F.col("dependency")).select(F.col("caller").alias("service")).distinct()
-    sizes = parts.groupBy("component").agg(F.count("*").alias("size"))
-    looped = parts.join(own, "service", "left_semi").select("service", "component")
-    met = parts.join(sizes, "component").select("service", "component", "size")
-    return met.where("size > 1").unionByName(met.where("size = 1").join(looped.select("service"), "service", "left_semi"))
+    standing, inner = _inner_lines(nodes, edges)
+    rings = _rings(inner)
+    alone = standing.where("known AND own").join(rings, "service", "left_anti")
+    return rings.unionByName(alone.select("service", F.col("service").alias("component"), F.lit(1).cast("bigint").alias("size")))
 
 
 def condensed_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -209,3 +209,11 @@ def test_unknown_callers_and_dependencies(spark):
     lines = [("a", "gone"), ("gone", "b"), ("b", "c"), ("a", "c"), ("ghost", "d"), ("d", "e"), ("f", None), (None, "f")]
     got = {r.service: r.depth for r in longest_depth(nodes, spark.createDataFrame(lines, "caller string, dependency string")).collect()}
     assert got == {"a": 0, "b": 2, "c": 3, "d": 0, "e": 0, "f": 0}
+
+
+def test_cycles_are_sought_among_called_nodes(spark, written):
+    from opslake.operators.topology import cycles
+
+    nodes, edges, calls = _star(spark, True)
+    assert {tuple(r) for r in cycles(nodes, edges).collect()} == {(f"h{i}", f"h{i // 5 * 5}", 5) for i in range(10)}
+    assert sum(written) < calls
