@@ -206,11 +206,28 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def condensed_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``service, depth, in_cycle``: as ``longest_depth``, with the nodes of a cycle taken as one."""
-    parts = settle(strong_components(nodes, edges), "components")
-    ends = [parts.select(F.col("service").alias(c), F.col("component").alias(f"_{c}")) for c in ("caller", "dependency")]
-    lines = edges.join(ends[0], "caller").join(ends[1], "dependency").where("_caller <> _dependency").select(
-        F.col("_caller").alias("caller"), F.col("_dependency").alias("dependency"))
-    sizes = parts.groupBy(F.col("component").alias("service")).agg((F.count("*") > 1).alias("in_cycle"))
-    depths = longest_depth(sizes.select("service"), lines).join(sizes, "service").withColumnRenamed("service", "component")
-    return parts.join(depths, "component").select("service", "depth", "in_cycle")
+    """``service, depth, in_cycle``: as ``longest_depth``, with the nodes of a cycle taken as one.
+
+    Nodes without callers are set apart first, as there, so components are sought and condensed among the others alone.
+    """
+    edges = edges.where(F.col("caller") != F.col("dependency"))
+    known = _standing(nodes, edges).where("known").select("service", F.col("called").alias("met"))
+    behind = known.where("met").select("service")
+    lines = _lines(edges, known)
+    lines = settle(lines.join(behind, lines["dependency"] == behind["service"], "left_semi"), "lines")
+    inner = lines.where(F.col("caller").isNotNull())
+    rings = _rings(inner)
+
+    def whole(rows: DataFrame, column: str) -> DataFrame:
+        """The column's nodes replaced by their components."""
+        parts = rings.select(F.col("service").alias(column), F.col("component").alias("_whole"))
+        return rows.join(parts, column, "left").withColumn(column, F.coalesce("_whole", column)).drop("_whole")
+
+    first = settle(whole(lines.where(F.col("caller").isNull()).select(F.col("dependency").alias("service")), "service").distinct(), "first")
+    inner = settle(whole(whole(inner, "caller"), "dependency").where("caller <> dependency").distinct(), "condensed")
+    members = settle(behind.join(rings, "service", "left").select(
+        "service", F.coalesce("component", "service").alias("component"), F.col("component").isNotNull().alias("in_cycle")), "members")
+    depths = _levels(members.select(F.col("component").alias("service")).distinct(), first, inner).withColumnRenamed("service", "component")
+    best = members.join(depths, "component").select("service", "depth", "in_cycle")
+    return known.select("service").join(best, "service", "left").select(
+        "service", F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))

@@ -217,3 +217,21 @@ def test_cycles_are_sought_among_called_nodes(spark, written):
     nodes, edges, calls = _star(spark, True)
     assert {tuple(r) for r in cycles(nodes, edges).collect()} == {(f"h{i}", f"h{i // 5 * 5}", 5) for i in range(10)}
     assert sum(written) < calls
+
+
+def test_condensing_leaves_edges_of_sources_out(spark, written):
+    from opslake.operators.topology import condensed_depth
+
+    nodes, edges, calls = _star(spark, True)
+    got = {r.service: (r.depth, r.in_cycle) for r in condensed_depth(nodes, edges).collect()}
+    assert got == {**{f"s{i:03d}": (0, False) for i in range(300)}, **{f"h{i}": (1, True) for i in range(10)}}
+    assert sum(written) < calls
+
+
+def test_condensed_nodes_called_by_unknown_ones_start_paths(spark):
+    from opslake.operators.topology import condensed_depth
+
+    nodes = spark.createDataFrame([(n,) for n in "abcde"], "service string")
+    lines = [("ghost", "a"), ("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("d", "gone"), ("gone", "e"), ("e", "e")]
+    got = {r.service: (r.depth, r.in_cycle) for r in condensed_depth(nodes, spark.createDataFrame(lines, "caller string, dependency string")).collect()}
+    assert got == {"a": (0, False), "b": (1, True), "c": (1, True), "d": (2, False), "e": (0, False)}
