@@ -18,6 +18,8 @@ from opslake.session import fresh_path
 SHARD_WORDS, BATCH_ROWS, HELD_ROWS = 1 << 19, 1 << 14, 1 << 18
 #: Shards of one file, so that a task reads few of them.
 SHARDS_PER_FILE = 3
+#: Shards whose counts of longer phrases one task sums; with fewer shards in all, tasks are this many per core.
+SUMMED_SHARDS, TASKS_PER_CORE = 64, 4
 #: Frequent phrases of one length that are sent to every shard of their language.
 LIST_ROWS = 300_000
 #: What ends a piece. No word can hold a full stop, so it stands for the end of a piece among the words.
@@ -196,22 +198,32 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grow_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``_grow``, with the counts of the shards of a task summed before they leave it, as far as HELD_ROWS allows."""
+    """As ``_grow``, with the counts of the shards of a task summed before they leave it, as far as HELD_ROWS allows.
+
+    Counts are summed whenever HELD_ROWS more have come, and go on being held unless over twice as many are left then.
+    """
     held: list[pa.RecordBatch] = []
+    limit = HELD_ROWS
 
-    def out() -> Iterator[pa.RecordBatch]:
-        if held:
-            table = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("n", "sum"), ("shard", "min")])
-            held.clear()
-            yield from table.rename_columns(["lang", "phrase", "n", "shard"]).select(["shard", "lang", "phrase", "n"]).to_batches(max_chunksize=BATCH_ROWS)
+    def add_up() -> int:
+        table = pa.Table.from_batches(held).group_by(["lang", "phrase"]).aggregate([("n", "sum"), ("shard", "min")])
+        held[:] = table.rename_columns(["lang", "phrase", "n", "shard"]).select(["shard", "lang", "phrase", "n"]).to_batches(max_chunksize=BATCH_ROWS)
+        return table.num_rows
 
     for batch in batches:
         for i in range(batch.num_rows):
             held += _longer(batch, i)
             pa.default_memory_pool().release_unused()
-            if sum(h.num_rows for h in held) > HELD_ROWS:
-                yield from out()
-    yield from out()
+            if sum(h.num_rows for h in held) > limit:
+                rows = add_up()
+                if rows > 2 * HELD_ROWS:
+                    yield from held
+                    held.clear()
+                    rows = 0
+                limit = rows + HELD_ROWS
+    if held:
+        add_up()
+        yield from held
 
 
 COUNTS = "shard bigint, lang string, phrase string, n bigint"
@@ -233,12 +245,15 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
     bidirectional index. Words and pairs are counted in all shards and summed; from there on, level by level, each shard
     extends those of its phrases that are frequent over all shards by one word on either side and keeps what both sides
     give. A phrase can only be frequent if both phrases one word shorter are, so nothing is lost. A level's frequent phrases go to
-    the shards as a list per language if counted to be at most LIST_ROWS, else each shard is joined with those it has.
+    the shards as a list per language if counted to be at most LIST_ROWS, else each shard is joined with those it has. Most
+    candidates are rare and cannot be told from the frequent ones before all shards are summed, so a task sums many shards
+    and sends each of its candidates on once: at most one row per word and level, fewer the more shards it sums.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
     made = rows.mapInArrow(_make_index(SHARD_WORDS, max_words), "lang string, n bigint, words binary, before binary, after binary")
     index = _written(made.withColumn("shard", F.monotonically_increasing_id()), "phrase-index", SHARDS_PER_FILE)
+    tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, index.count() // SUMMED_SHARDS)
     counts = summed = index.mapInArrow(_words_and_pairs, COUNTS)
     found, lists = [], F.array_join(F.collect_list("phrase"), "\n").alias("phrases")
     for size in range(2, max_words + 1):
@@ -252,7 +267,7 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
         else:
             own = counts.join(last.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(lists)
             given = index.join(own.hint("merge"), "shard")
-        counts, summed = given.mapInArrow(_grow, COUNTS), given.mapInArrow(_grow_and_sum, COUNTS)
+        counts, summed = given.mapInArrow(_grow, COUNTS), given.coalesce(tasks).mapInArrow(_grow_and_sum, COUNTS)
     return reduce(DataFrame.unionByName, found), index.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

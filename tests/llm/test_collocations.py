@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from opslake.llm import collocations as co
@@ -84,3 +85,23 @@ def test_index_extends_both_ways(depth):
         got = {longer(grams[p], w): c for p, w, c in zip(phrase.tolist(), word.tolist(), count.tolist())}
         want = Counter(tuple(text[i:i + 3]) for i in range(len(text) - 2) if 0 not in text[i:i + 3])
         assert got == want
+
+
+@pytest.mark.parametrize("shards", [1, 2, 40])
+def test_counts_of_shards_leave_a_task_summed(monkeypatch, shards):
+    """Shards that say the same give one row per phrase, however many rows they have in all."""
+    names = ["shard", "lang", "phrase", "n"]
+
+    def longer(batch, i):
+        for lang in ("en", None):
+            yield pa.RecordBatch.from_arrays([pa.array([i] * 50, pa.int64()), pa.array([lang] * 50, pa.string()), pa.array([f"w{k}" for k in range(50)]),
+                                              pa.array(range(1, 51), pa.int64())], names)
+
+    monkeypatch.setattr(co, "_longer", longer)
+    monkeypatch.setattr(co, "HELD_ROWS", 120)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(shards))], ["shard"])
+    got = [r for b in co._grow_and_sum(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["lang"] or "", r["phrase"], r["n"]) for r in got) == sorted((lang, f"w{k}", (k + 1) * shards) for lang in ("en", "") for k in range(50))
+    monkeypatch.setattr(co, "HELD_ROWS", 30)
+    got = [r for b in co._grow_and_sum(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in got) == 2 * sum(range(51)) * shards
