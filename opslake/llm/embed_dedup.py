@@ -1,17 +1,35 @@
 """Near duplicates of embeddings: cover trees, traversed in pairs."""
 from __future__ import annotations
 
+import hashlib
+import pickle
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from math import ceil, isqrt
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from opslake.llm.components import component_labels
 from opslake.session import fresh_path
 
-#: Vectors from which the top of the tree is chosen, by smallest hash; all vectors then descend it.
+#: Vectors from which the top of the tree is chosen, by smallest digest; all vectors then descend it.
 TOP_SAMPLE = 8192
 #: Vectors a chunk of a cell aims at, cells of the top level, and cells of the tree inside a chunk.
 CHUNK, TOP_CELLS, INNER_CELLS = 4096, 1024, 128
+#: Bytes of vectors in a chunk at most, so long vectors make smaller chunks; chunks of a file, and bytes of those that a task of block pairs holds.
+CHUNK_BYTES, CHUNKS_PER_FILE, BLOCK_BYTES = 4 << 20, 8, 64 << 20
+#: Bytes of chunk pairs that go to Python at once.
+ROW_BATCH_BYTES = 16 << 20
+#: Rows, and bytes, among which a task merges equal vectors before they are dealt to chunks.
+MERGED_ROWS, MERGED_BYTES = 1 << 16, 32 << 20
+#: Directions of a sketch, rows of a chunk whose sketches are multiplied at once, and what single precision may take from a product.
+SKETCH, BLOCK, SKETCH_ROUNDING = 23, 256, 1e-5
+#: Bits of a node's number that are its place in a chunk.
+PLACE_BITS = 13
 #: Allowance for rounding in distances that only prune.
 ROUNDING = 1e-6
 
@@ -42,7 +60,7 @@ class CoverTree:
             self.cell[d < far] = len(order)
             far = np.minimum(far, d)
             order.append(at)
-        self.centres = vectors[order]
+        self.order, self.centres = np.array(order), vectors[order]
         self.sizes = [1]
         bound = gap[1] / 2 if len(gap) > 1 else 0.0
         while self.sizes[-1] < len(order):
@@ -53,6 +71,14 @@ class CoverTree:
         np.maximum.at(leaf, self.cell, far)
         self.set_radii(leaf)
 
+    @classmethod
+    def restored(cls, vectors: np.ndarray, cell: np.ndarray, order: np.ndarray, sizes: list[int], leaf: np.ndarray) -> CoverTree:
+        """A tree over the same vectors from its parts."""
+        tree = cls.__new__(cls)
+        tree.cell, tree.order, tree.sizes, tree.centres = cell, order, sizes, vectors[order]
+        tree.set_radii(leaf)
+        return tree
+
     def set_radii(self, leaf: np.ndarray) -> None:
         """Radii of all levels from those of the last one; ``parents[l]`` maps level l + 1 to level l."""
         self.radii, self.parents = [leaf], []
@@ -97,114 +123,242 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def _unpack(ids: bytes, weights: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(weights, np.int64), np.frombuffer(vectors, np.float64).reshape(len(i), -1)
+def _units(v: np.ndarray) -> np.ndarray:
+    """Rows in unit length, in double precision."""
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, dim: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim)
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """One byte string per row of a two-dimensional array."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * (rows.itemsize * rows.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+class Chunk:
+    """Vectors of a row of ``_pack``, in the order of the cells of their tree, with the leading part of each as ``sketch``.
+
+    A sketch holds the coordinates of a unit vector along a few directions and the length of the rest, so the product of two
+    sketches is never below that of their vectors.
+    """
+
+    def __init__(self, base: int, weights: bytes, vectors: bytes, tree: bytes, dim: int, kind: str, axes: np.ndarray):
+        self.base, self.weights = base, np.frombuffer(weights, np.int64)
+        self.ids = base + np.arange(len(self.weights))
+        self.unit = _units(np.frombuffer(vectors, kind).reshape(-1, dim))
+        self.tree = CoverTree.restored(self.unit, *pickle.loads(tree))
+        along = self.unit @ axes
+        rest = np.sqrt(np.clip(1 - (along * along).sum(axis=1), 0, None))
+        self.sketch = np.column_stack((along, rest)).astype(np.float32)
 
 
-def compare(a: tuple, b: tuple, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _axes(sample: np.ndarray) -> np.ndarray:
+    """Orthonormal directions along which vectors differ most, all if they are few."""
+    return np.linalg.eigh(np.cov(sample, rowvar=False, bias=True).reshape(sample.shape[1], -1))[1][:, ::-1][:, :SKETCH]
+
+
+def _links(a: Chunk, b: Chunk, rows: slice, cols: np.ndarray | slice, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place in ``a``, place in ``b``) with this cosine: sketches are multiplied first, vectors where sketches allow it."""
+    products, least = a.sketch[rows] @ b.sketch[cols].T, np.float32(cosine - SKETCH_ROUNDING)
+    some = np.flatnonzero(products.max(axis=1, initial=-1) >= least)
+    x, y = np.nonzero(products[some] >= least)
+    x, y = some[x] + rows.start, y if isinstance(cols, slice) else cols[y]
+    if len(x) <= BLOCK * 8:
+        linked = np.einsum("ij,ij->i", a.unit[x], b.unit[y]) >= cosine
+        return x[linked], y[linked]
+    some, others = np.unique(x), np.unique(y)
+    x, y = np.nonzero(a.unit[some] @ b.unit[others].T >= cosine)
+    return some[x], others[y]
+
+
+def compare(a: Chunk, b: Chunk, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact links between two chunks (or within one): per node its linked weight, and a star edge per linked node.
 
     Returns node ids, weights and the id of the root of the node's component among these links.
     """
-    reach = distance_of(cosine)
-    (ida, wa, va), (idb, wb, vb) = a, b
-    ta = CoverTree(va, INNER_CELLS, reach / 4)
-    tb = ta if same else CoverTree(vb, INNER_CELLS, reach / 4)
-    alive = close_cells(ta, tb, reach)
-    order = np.argsort(ta.cell, kind="stable")
-    cells, starts = np.unique(ta.cell[order], return_index=True)
-    found = []
-    for c, rows in zip(cells, np.split(order, starts[1:]), strict=True):
-        cols = np.flatnonzero(alive[c][tb.cell])
-        for k in range(0, len(rows), 512):
-            some = rows[k:k + 512]
-            x, y = np.nonzero(va[some] @ vb[cols].T >= cosine)
-            found.append((some[x], cols[y]))
-    i = np.concatenate([f[0] for f in found]) if found else np.empty(0, int)
-    j = np.concatenate([f[1] for f in found]) if found else np.empty(0, int)
-    if same:
-        i, j = i[i != j], j[i != j]
-        linked = np.bincount(i, wa[j], minlength=len(ida))
-        ids, root = ida, _roots(len(ida), i, j)
-    else:
-        linked = np.concatenate([np.bincount(i, wb[j], minlength=len(ida)), np.bincount(j, wa[i], minlength=len(idb))])
-        ids, root = np.concatenate([ida, idb]), _roots(len(ida) + len(idb), i, j + len(ida))
+    alive = close_cells(a.tree, b.tree, distance_of(cosine))
+    shift, n = (0, len(a.ids)) if same else (len(a.ids), len(a.ids) + len(b.ids))
+    linked = np.zeros(n, np.int64)
+    edges, waiting = [(np.arange(n), np.arange(n))], 0
+    for k in range(0, len(a.ids), BLOCK):
+        rows = slice(k, min(k + BLOCK, len(a.ids)))
+        some = alive[a.tree.cell[rows.start]:a.tree.cell[rows.stop - 1] + 1].any(axis=0)
+        x, y = _links(a, b, rows, slice(None) if some.all() else np.flatnonzero(some[b.tree.cell]), cosine)
+        if same:
+            x, y = x[x != y], y[x != y]
+        linked += np.bincount(x, b.weights[y], minlength=n).astype(np.int64)
+        if not same:
+            linked += np.bincount(y + shift, a.weights[x], minlength=n).astype(np.int64)
+        edges.append((x, y + shift))
+        waiting += len(x)
+        if waiting > 4 * n:  # one edge per node is held instead of a crowd's pairs
+            edges, waiting = [(np.arange(n), _roots(n, *map(np.concatenate, zip(*edges, strict=True))))], 0
+    root = _roots(n, *map(np.concatenate, zip(*edges, strict=True)))
+    ids = a.ids if same else np.concatenate([a.ids, b.ids])
     hit = np.flatnonzero(linked)
-    return ids[hit], linked[hit].astype(np.int64), ids[root[hit]]
+    return ids[hit], linked[hit], ids[root[hit]]
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _usable(v: Column) -> Column:
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Rows of two chunks take megabytes, so few of them go to Python at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(ROW_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def _pack(key, table):
-    """The vectors of one chunk as a row of three byte strings, in unit length."""
-    v = np.array(table.column("_v").combine_chunks().flatten()).reshape(table.num_rows, -1)
-    v = v / np.abs(v).max(axis=1, keepdims=True)
-    v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-    n = table.column("node").to_numpy().astype(np.int64)
-    w = table.column("weight").to_numpy().astype(np.int64)
-    cell, part = (pa.array([k.as_py()], pa.int32()) for k in key)
-    return pa.table({"cell": cell, "part": part, "ids": pa.array([n.tobytes()], pa.binary()),
-                     "weights": pa.array([w.tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
-
-
-def _links_of(nodes: DataFrame, cosine: float) -> DataFrame:
-    """(node, linked, root) from nodes (node, weight, _v) of one dimension."""
-    spark = nodes.sparkSession
-    total = nodes.count()
-    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(TOP_SAMPLE).select("_v").collect()], float)
-    sample = sample / np.abs(sample).max(axis=1, keepdims=True)
-    sample = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
-    top = CoverTree(sample, max(1, min(TOP_CELLS, total // CHUNK)), distance_of(cosine) / 4)
-    centres = top.centres
-
-    def descend(batches):
+def _read(kind: str):
+    """(id, list) to (id, length, digest, bytes); the last three are null where a vector cannot be compared. -0.0 counts as 0.0."""
+
+    def run(batches):
         for b in batches:
-            if b.num_rows:
-                v = np.array(b.column(2).flatten()).reshape(b.num_rows, -1)
-                v = v / np.abs(v).max(axis=1, keepdims=True)
-                d = distances(v / np.sqrt((v * v).sum(axis=1, keepdims=True)), centres)
-                at = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])],
-                                                 names=["node", "weight", "_v", "cell", "far"])
-
-    placed = _written(nodes.mapInArrow(descend, "node bigint, weight bigint, _v array<double>, cell int, far double"), "placed")
-    cells = {r["cell"]: r for r in placed.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
-    leaf = np.array([cells[c]["far"] if c in cells else 0.0 for c in range(len(centres))])
-    top.set_radii(leaf)
-    alive = np.triu(close_cells(top, top, distance_of(cosine)))
-    n_parts = [-(-cells[c]["n"] // CHUNK) if c in cells else 0 for c in range(len(centres))]
-    parts = spark.createDataFrame([(c, n) for c, n in enumerate(n_parts) if n], "cell int, parts int")
-    chunk = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-    packed = _written(placed.join(F.broadcast(parts), "cell").select("cell", chunk, "node", "weight", "_v").groupBy("cell", "part").applyInArrow(
-        _pack, "cell int, part int, ids binary, weights binary, vectors binary"), "chunks")
-
-    near = spark.createDataFrame([(int(i), int(j), n_parts[i], n_parts[j]) for i, j in zip(*np.nonzero(alive), strict=True) if n_parts[i] and n_parts[j]],
-                                 "ca int, cb int, na int, nb int")
-    pairs = near.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn(
-        "pb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where((F.col("ca") < F.col("cb")) | (F.col("pa") <= F.col("pb")))
-    sides = [packed.select(*[F.col(c).alias(c[0] + s if c in ("cell", "part") else c + s) for c in packed.columns]) for s in "ab"]
-    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) * 8, sum(n_parts) * (sum(n_parts) + 1) // 2))
-    both = pairs.select("ca", "pa", "cb", "pb").join(sides[0], ["ca", "pa"]).join(sides[1], ["cb", "pb"]).repartition(n, "ca", "pa", "cb", "pb")
-
-    def traverse(batches):
+            ids, lists = b.column(0), b.column(1)
+            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            left_out = [np.flatnonzero(length == 0)]
+            for dim in np.unique(length[length > 0]):
+                at = np.flatnonzero(length == dim)
+                v = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim) + np.dtype(kind).type(0)
+                fine = np.isfinite(v).all(axis=1) & (v != 0).any(axis=1)
+                left_out.append(at[~fine])
+                v = np.ascontiguousarray(v[fine])
+                if len(v):
+                    keys = [hashlib.blake2b(r, digest_size=16).digest() for r in v]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at[fine])), pa.array(np.full(len(v), dim, np.int32)), pa.array(keys, pa.binary()), _bytes(v)],
+                                                     names=["_id", "dim", "key", "v"])
+            at = np.concatenate(left_out)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.nulls(len(at), t) for t in (pa.int32(), pa.binary(), pa.binary())]],
+                                                 names=["_id", "dim", "key", "v"])
+
+    return run
+
+
+def _merged(keys: pa.ChunkedArray, ids: pa.ChunkedArray, weights: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Equal vectors as one: the place of the first of each, their smallest id (null if none has one) and the sum of their weights."""
+    words = np.frombuffer(b"".join(keys.to_pylist()), np.uint64).reshape(-1, 2)
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    words = words[order]
+    start = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]).any(axis=1))))
+    known = pc.is_valid(ids).to_numpy()[order]
+    most = np.iinfo(np.int64).max
+    least = np.minimum.reduceat(np.where(known, pc.fill_null(ids, most).to_numpy()[order], most), start)
+    has = np.logical_or.reduceat(known, start)
+    return order[start], pa.array(least, mask=~has), np.add.reduceat(weights[order], start)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], merge: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(h.num_rows for h in held) >= MERGED_ROWS or sum(h.nbytes for h in held) >= MERGED_BYTES:
+            yield from merge(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=CHUNK)
+            held.clear()
+    if sum(h.num_rows for h in held):
+        yield from merge(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=CHUNK)
+
+
+def _first_of_each(rows: pa.Table) -> pa.Table:
+    return rows.take(pa.array(_merged(rows["key"], rows["_id"], np.ones(rows.num_rows, np.int64))[0]))
+
+
+PLACED = "place int, part int, key binary, least bigint, weight bigint, far double, v binary"
+
+
+def _place(tops: dict[int, tuple[np.ndarray, int, np.ndarray]], kind: str):
+    """Each vector descends the top of the tree of its length; equal vectors among MERGED_ROWS become one row."""
+
+    def out(rows: pa.Table) -> pa.Table:
+        first, least, weight = _merged(rows["key"], rows["_id"], np.ones(rows.num_rows, np.int64))
+        rows = rows.take(pa.array(first))
+        dims, vectors = rows["dim"].to_numpy(), rows["v"].combine_chunks()
+        place, part, far = np.empty(len(dims), np.int32), np.empty(len(dims), np.int32), np.empty(len(dims))
+        word = np.frombuffer(b"".join(rows["key"].to_pylist()), np.uint32).reshape(-1, 4)[:, 0]
+        for dim in np.unique(dims):
+            centres, offset, parts = tops[int(dim)]
+            at = np.flatnonzero(dims == dim)
+            for k in range(0, len(at), CHUNK):
+                some = at[k:k + CHUNK]
+                d = distances(_units(_matrix(vectors.take(pa.array(some)), dim, kind)), centres)
+                cell = d.argmin(axis=1)
+                place[some], far[some], part[some] = cell + offset, d[np.arange(len(some)), cell], word[some] % parts[cell]
+        return pa.table({"place": place, "part": part, "key": rows["key"], "least": least, "weight": weight, "far": far, "v": vectors})
+
+    return lambda batches: _gathered(batches, out)
+
+
+CHUNKS = "place int, n int, far double, keys binary, least array<bigint>, weights binary, vectors binary, tree binary"
+
+
+def _pack(dim_of: Callable[[int], int], kind: str, sizes: dict[int, int], reach: float):
+    """The vectors of one part of a cell as rows of bounded size, each with its tree."""
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(T.StructType.fromDDL(CHUNKS))
+
+    def run(key, table):
+        place = key[0].as_py()
+        dim = dim_of(place)
+        first, least, weight = _merged(table["key"], table["least"], table["weight"].to_numpy())
+        table = table.take(pa.array(first))
+        out = []
+        for at in np.array_split(np.arange(len(first)), ceil(len(first) / sizes[dim])):
+            some = table.take(pa.array(at))
+            v = _matrix(some["v"], dim, kind)
+            tree = CoverTree(_units(v), INNER_CELLS, reach / 4)
+            order = np.argsort(tree.cell, kind="stable")  # rows of a cell stand together
+            now = np.empty(len(order), np.int64)
+            now[order] = np.arange(len(order))
+            out.append({"place": place, "n": len(at), "far": max(some["far"].to_pylist()), "keys": b"".join(some["key"].take(pa.array(order)).to_pylist()),
+                        "least": least.take(pa.array(at[order])).to_pylist(), "weights": weight[at[order]].tobytes(), "vectors": v[order].tobytes(),
+                        "tree": pickle.dumps((tree.cell[order], now[tree.order], tree.sizes, tree.radii[-1]))})
+        return pa.Table.from_pylist(out, schema=schema)
+
+    return run
+
+
+def _nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, key, least, weight) of the vectors of chunks."""
+    for b in batches:
+        for base, keys, least, weights in zip(*(b.column(c) for c in range(4)), strict=True):
+            n = len(least.values)
+            yield pa.RecordBatch.from_arrays([pa.array(base.as_py() + np.arange(n)), _bytes(np.frombuffer(keys.as_py(), np.uint8).reshape(n, -1)), least.values,
+                                              pa.array(np.frombuffer(weights.as_py(), np.int64))], names=["node", "key", "least", "weight"])
+
+
+def _traverse(dim_of: Callable[[int], int], kind: str, axes: dict[int, np.ndarray], cosine: float, same: bool):
+    """Links of each row's chunk a with its chunk b, or with itself. Rows that follow each other mostly have one chunk a, which is kept."""
+
+    def run(batches):
+        kept = None
         for b in batches:
             for k in range(b.num_rows):
-                row = {c: b.column(c)[k].as_py() for c in b.schema.names}
-                a, c = (_unpack(row["ids" + s], row["weights" + s], row["vectors" + s]) for s in "ab")
-                ids, linked, root = compare(a, c, (row["ca"], row["pa"]) == (row["cb"], row["pb"]), cosine)
+                def chunk(side: str, row: int = k, batch: pa.RecordBatch = b) -> Chunk:
+                    base, place, *rest = (batch.column(c + side)[row].as_py() for c in ("base", "place", "weights", "vectors", "tree"))
+                    dim = dim_of(place)
+                    return Chunk(base, *rest, dim, kind, axes[dim])
+
+                if kept is None or kept.base != b.column("base_a")[k].as_py():
+                    kept = chunk("_a")
+                ids, linked, root = compare(kept, kept if same else chunk("_b"), same, cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked), pa.array(root)], names=["node", "linked", "root"])
 
-    return _written(both.mapInArrow(traverse, "node bigint, linked bigint, root bigint"), "linked")
+    return run
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -216,31 +370,76 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id
     vec_id, n_links, component_id (smallest id reachable, itself included) and kept (vec_id = component_id); for
     rows of one id and one vector that means all or none. No rows give no rows.
 
-    The top levels of the tree are chosen from a bounded sample; every vector descends them, and the radii cover all. Cells
-    are cut in chunks of bounded size, so a cell with most vectors is spread over many tasks. Pairs of cells that the radii
-    rule out are never met; each remaining pair of chunks builds its own lower levels and descends both trees together.
-    A pair hands on how many vectors each node is linked with and one edge per linked node, never its pairs.
+    Vectors stay in the precision they come in until they are compared, and cross the network once: the top levels of the tree
+    are chosen from a bounded sample, every vector descends them, and the radii cover all. Cells are cut in chunks of bounded
+    size, so a cell with most vectors is spread over many tasks; each chunk gets its own lower levels once. Pairs of cells that
+    the radii rule out are never met; of each remaining pair of chunks both trees are descended together. Few such pairs
+    are joined; many are met block by block, each task reading its two blocks of chunks from the shared folder, so what is
+    stored does not grow with the number of pairs. A pair hands on how many vectors each node is linked with and one edge per
+    linked node, never its pairs.
     """
-    spark = vectors.sparkSession
-    v = F.col(embedding).cast("array<double>")
-    rows = _written(vectors.select(F.col(vec_id).cast("long").alias("_id"), F.when(_usable(v), v).alias("_v")).withColumn(
-        "_a", F.when(F.col("_v").isNotNull(), F.xxhash64("_v"))).withColumn(
-        "_b", F.when(F.col("_v").isNotNull(), F.xxhash64(F.lit("second"), F.col("_v")))), "vectors")
-    nodes = rows.where(F.col("_v").isNotNull()).groupBy("_a", "_b").agg(
-        F.first("_v").alias("_v"), F.min("_id").alias("least"), F.count("*").alias("weight")).withColumn("node", F.monotonically_increasing_id())
-    nodes = _written(nodes, "nodes")
-    linked = spark.createDataFrame([], "node bigint, linked bigint, root bigint")
-    for r in nodes.select(F.size("_v").alias("n")).distinct().orderBy("n").collect():
-        linked = linked.union(_links_of(nodes.where(F.size("_v") == r["n"]).select("node", "weight", "_v"), cosine))
+    spark, reach = vectors.sparkSession, distance_of(cosine)
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind, width = ("float32", 4) if single else ("float64", 8)
+    given = F.col(embedding) if single else F.col(embedding).cast("array<double>")
+    rows = _written(vectors.select(F.col(vec_id).cast("long").alias("_id"), given.alias("_v")).mapInArrow(
+        _read(kind), "_id bigint, dim int, key binary, v binary"), "vectors")
+    used = rows.where(F.col("key").isNotNull())
+
+    trees, tops, axes, sizes, offsets = {}, {}, {}, {}, []
+    for dim, total in used.select("dim", "key").distinct().groupBy("dim").count().orderBy("dim").collect():
+        low = used.where(F.col("dim") == dim)
+        if total > 2 * TOP_SAMPLE:  # digests are spread evenly
+            low = low.where(F.col("key") < F.lit(int(2.0**32 * 1.25 * TOP_SAMPLE / total).to_bytes(4, "big")))
+        chosen = low.join(F.broadcast(low.select("key").distinct().orderBy("key").limit(TOP_SAMPLE)), "key", "left_semi")
+        chosen = chosen.select(*rows.columns).mapInArrow(lambda batches: _gathered(batches, _first_of_each), rows.schema).dropDuplicates(["key"]).orderBy("key")
+        sample = _units(np.frombuffer(b"".join(r["v"] for r in chosen.select("v").collect()), kind).reshape(-1, dim))
+        sizes[dim] = max(1, min(CHUNK, CHUNK_BYTES // (dim * width)))
+        top = trees[dim] = CoverTree(sample, max(1, min(TOP_CELLS, total // sizes[dim])), reach / 4)
+        axes[dim] = _axes(sample)
+        parts = np.ceil(np.bincount(top.cell, minlength=len(top.centres)) * (total / len(sample) / sizes[dim])).astype(int)
+        offsets.append((sum(len(t.centres) for t in trees.values()) - len(top.centres), dim))
+        tops[dim] = top.centres, offsets[-1][0], np.maximum(parts, 1)
+
+    def dim_of(place: int) -> int:
+        return offsets[bisect_right(offsets, (place, float("inf"))) - 1][1]
+
+    packed = _written(used.mapInArrow(_place(tops, kind), PLACED).groupBy("place", "part").applyInArrow(_pack(dim_of, kind, sizes, reach), CHUNKS).withColumn(
+        "base", F.shiftleft(F.monotonically_increasing_id(), PLACE_BITS)), "chunks", CHUNKS_PER_FILE)
+    filled = {r["place"]: r for r in packed.groupBy("place").agg(F.max("far").alias("far"), F.count("*").alias("n"), F.sum(F.length("vectors")).alias("size")).collect()}
+    near, pairs = [], 0
+    for offset, dim in offsets:
+        top = trees[dim]
+        places = range(offset, offset + len(top.centres))
+        top.set_radii(np.array([filled[p]["far"] if p in filled else 0.0 for p in places]))
+        alive = np.triu(close_cells(top, top, reach))
+        n = np.array([filled[p]["n"] if p in filled else 0 for p in places], float)
+        pairs += (n @ alive @ n - n.sum()) / 2 + (n @ np.triu(alive, 1) @ n) / 2
+        near += [(p, [int(q) + offset for q in np.flatnonzero(row & (n > 0))]) for p, row in zip(places, alive, strict=True) if p in filled]
+
+    near = F.broadcast(spark.createDataFrame(near, "place_a int, near array<int>"))
+    sides = [packed.select(*[F.col(c).alias(c + s) for c in ("base", "place", "weights", "vectors", "tree")]) for s in ("_a", "_b")]
+    later = (F.col("place_a") < F.col("place_b")) | ((F.col("place_a") == F.col("place_b")) & (F.col("base_a") < F.col("base_b")))
+    if pairs <= sum(r["n"] for r in filled.values()):
+        met = near.withColumn("place_b", F.explode("near")).drop("near").join(packed.select(F.col("place").alias("place_a"), F.col("base").alias("base_a")), "place_a").join(
+            packed.select(F.col("place").alias("place_b"), F.col("base").alias("base_b")), "place_b").where(later).select("base_a", "base_b")
+        both = sides[0].join(F.broadcast(met), "base_a").join(sides[1].hint("merge"), "base_b")
+    else:
+        blocks = max(isqrt(4 * spark.sparkContext.defaultParallelism) + 1, ceil(sum(r["size"] for r in filled.values()) / BLOCK_BYTES))
+        both = sides[0].join(near, "place_a").coalesce(blocks).hint("shuffle_replicate_nl").join(
+            sides[1].coalesce(blocks), F.array_contains("near", F.col("place_b")) & later).drop("near")
+    links = "node bigint, linked bigint, root bigint"
+    with _small_batches(spark):
+        linked = _written(sides[0].mapInArrow(_traverse(dim_of, kind, axes, cosine, True), links).union(
+            both.mapInArrow(_traverse(dim_of, kind, axes, cosine, False), links)), "linked")
+
+    nodes = packed.select("base", "keys", "least", "weights").mapInArrow(_nodes_of, "node bigint, key binary, least bigint, weight bigint")
     label = component_labels(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counted = linked.groupBy("node").agg(F.sum("linked").alias("linked"))
-    named = nodes.drop("_v").join(counted, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = _written(named, "named")
+    named = _written(nodes.join(counted, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     of_label = named.groupBy("label").agg(F.min("least").alias("component"))
-    of_node = _written(named.join(of_label, "label").select(
-        "_a", "_b", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component"), "classes")
-    usable = F.col("_a").isNotNull()
-    component = F.when(usable, F.col("component")).otherwise(F.col("_id"))
-    return rows.select("_id", "_a", "_b").join(of_node, ["_a", "_b"], "left").select(
+    of_node = _written(named.join(of_label, "label").select("key", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component"), "classes")
+    component = F.when(F.col("key").isNotNull(), F.col("component")).otherwise(F.col("_id"))
+    return rows.select("_id", "key").join(of_node, "key", "left").select(
         F.col("_id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
         F.col("_id").eqNullSafe(component).alias("kept"))

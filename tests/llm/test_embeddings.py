@@ -1,11 +1,14 @@
 """Embedding near-duplicates against all pairs."""
 import math
+import pickle
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from opslake.llm import embed_dedup
 from opslake.llm.components import component_labels
+from opslake.session import shared_dir
 
 
 def brute(rows, cosine=0.95):
@@ -75,3 +78,51 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 300)] + [(7, 7), (None, 3), (400, 400)]
     got = dict(map(tuple, component_labels(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 300)}}
+
+
+def stored(spark):
+    """Bytes of the shuffle files and below the shared folder."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    return sum(files.apply(k).length() for k in range(files.size())) + sum(p.stat().st_size for p in shared.rglob("*.parquet"))
+
+
+def test_pairs_of_chunks_are_not_stored(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CHUNK", 32)
+    rnd = np.random.default_rng(6)
+    v = rnd.normal(size=(1500, 64)).astype(np.float32)
+    v = np.concatenate([v, v[:100] + np.float32(0.02) * rnd.normal(size=(100, 64)).astype(np.float32), v[:50]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>").repartition(4)
+    most = []
+
+    def labels(links):
+        most.append(stored(spark))
+        return component_labels(links)
+
+    monkeypatch.setattr(embed_dedup, "component_labels", labels)
+    before = stored(spark)
+    got = sorted(map(tuple, embed_dedup.near_vectors(df).collect()))
+    assert most[0] - before < 12 * v.nbytes  # 47 chunks without any structure: every pair of them has to be met
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    assert got == [(i, int(near[i].sum()) - 1, int(near[i].argmax()), bool(near[i].argmax() == i)) for i in range(len(v))]
+
+
+def test_sketches_lose_no_link():
+    rnd = np.random.default_rng(8)
+    v = (rnd.normal(size=(400, 40)) * rnd.choice([0.1, 1.0, 3.0], size=40)).astype(np.float32)
+    v[200:] = v[:200] + rnd.normal(size=(200, 40)).astype(np.float32) * rnd.choice([0.1, 0.3, 0.6], size=(200, 1)).astype(np.float32)
+    unit = embed_dedup._units(v)
+    axes = embed_dedup._axes(unit)
+    chunks = []
+    for part in (v[:200], v[200:]):
+        tree = embed_dedup.CoverTree(embed_dedup._units(part), 16, 0.05)
+        order = np.argsort(tree.cell, kind="stable")
+        place = np.argsort(order)
+        blob = pickle.dumps((tree.cell[order], place[tree.order], tree.sizes, tree.radii[-1]))
+        chunks.append((embed_dedup.Chunk(len(chunks) << 13, np.ones(200, np.int64).tobytes(), part[order].tobytes(), blob, 40, "float32", axes), order))
+    (a, first), (b, second) = chunks
+    near = embed_dedup._units(v[:200])[first] @ embed_dedup._units(v[200:])[second].T >= 0.95
+    ids, linked, _ = embed_dedup.compare(a, b, False, 0.95)
+    want = dict(zip(a.ids.tolist(), near.sum(axis=1).tolist())) | dict(zip(b.ids.tolist(), near.sum(axis=0).tolist()))
+    assert dict(zip(ids.tolist(), linked.tolist())) == {k: n for k, n in want.items() if n} and len(ids)
