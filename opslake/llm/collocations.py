@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,8 +20,11 @@ SHARD_WORDS, BATCH_ROWS, HELD_ROWS = 1 << 19, 1 << 14, 1 << 18
 SHARDS_PER_FILE = 3
 #: Shards whose counts of longer phrases one task sums; with fewer shards in all, tasks are this many per core.
 SUMMED_SHARDS, TASKS_PER_CORE = 64, 4
-#: Frequent phrases of one length that are sent to every shard of their language.
-LIST_ROWS = 300_000
+#: Frequent phrases of one length whose 64-bit digests are sent to every task.
+LIST_ROWS = 1 << 24
+#: Odd numbers that digests multiply with: one for each place in a word, and one for each word of a phrase.
+FACTORS = np.random.default_rng(13).integers(1 << 62, size=1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_VALUES = np.random.default_rng(14).integers(1 << 63, size=256, dtype=np.uint64)
 #: What ends a piece. No word can hold a full stop, so it stands for the end of a piece among the words.
 PIECE_ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
 END = b"."
@@ -43,8 +46,7 @@ class FMIndex:
 
     def __init__(self, bwt: np.ndarray):
         n = len(bwt)
-        order = np.argsort(bwt, kind="stable")
-        self.bwt, self.n, self.occurrences = bwt, n, bwt[order].astype(np.int64) * n + order
+        self.bwt, self.n, self.occurrences = bwt, n, np.sort(bwt.astype(np.int64) * n + np.arange(n))
 
     @staticmethod
     def transform(x: np.ndarray, depth: int) -> np.ndarray:
@@ -170,34 +172,96 @@ def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             pa.default_memory_pool().release_unused()
 
 
-def _longer(batch: pa.RecordBatch, i: int) -> Iterator[pa.RecordBatch]:
-    """Counts, in the i-th shard of a batch, of the phrases one word longer than the given ones of which both ends are given."""
-    words = _words(batch, i)
-    given = pc.split_pattern(pc.split_pattern(batch.column("phrases").slice(i, 1), "\n").flatten(), " ")
-    table = pc.fill_null(pc.index_in(given.flatten(), words), -1).to_numpy().reshape(len(given), -1) + 1
-    table = table[(table > 0).all(axis=1)]
-    del given
-    if len(table) == 0:
-        return
+def _word_digests(words: pa.Array) -> np.ndarray:
+    """64-bit digests of words, none of them empty, from their bytes and places."""
+    words = words.cast(pa.large_binary())
+    if not len(words):
+        return np.empty(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset:words.offset + len(words) + 1]
+    data, start = np.frombuffer(words.buffers()[2], np.uint8)[ends[0]:ends[-1]], ends[:-1] - ends[0]
+    place = np.arange(len(data)) - np.repeat(start, np.diff(ends))
+    out = np.add.reduceat(BYTE_VALUES[data] * FACTORS[place % len(FACTORS)], start)
+    out = (out ^ (out >> np.uint64(32))) * FACTORS[0]
+    return out ^ (out >> np.uint64(29))
+
+
+def _phrase_digests(lang: str, columns: list[np.ndarray]) -> np.ndarray:
+    """Digests of phrases from those of their words, given word by word."""
+    out = np.repeat(_word_digests(pa.array([f"{lang}."])), len(columns[0]))
+    for k, column in enumerate(columns):
+        out += FACTORS[k % len(FACTORS)] * column
+    return out
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of phrases (lang, phrase) of one length, many in a row."""
+    for batch in batches:
+        for lang in batch.column(0).unique().to_pylist():
+            phrases = pc.split_pattern(batch.column(1).filter(pc.equal(batch.column(0), lang)), " ")
+            table = _word_digests(phrases.flatten()).reshape(len(phrases), -1)
+            yield pa.RecordBatch.from_arrays([pa.array([_phrase_digests(lang, list(table.T)).tobytes()], pa.binary())], ["digests"])
+
+
+def _among(digests: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether digests are in an ordered list; they are ordered first, as neighbours are then looked up together."""
+    if not len(ordered):
+        return np.zeros(len(digests), bool)
+    order = np.argsort(digests)
+    asked, out = digests[order], np.empty(len(digests), bool)
+    out[order] = ordered[np.minimum(np.searchsorted(ordered, asked), len(ordered) - 1)] == asked
+    return out
+
+
+def _one_more(before: FMIndex, after: FMIndex, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrases one word longer than the given ones (rows of word numbers) of which both ends are given, and their counts."""
     columns = list(table.T)
-    before, after = (FMIndex(_unpacked(batch.column(c)[i].as_py())) for c in ("before", "after"))
     right_of, right, count = after.extensions(*after.find(columns))
     left_of, left, _ = before.extensions(*before.find(columns[::-1]))
     longer = np.column_stack((table[right_of], right)).astype(np.int64)
     odd = np.random.default_rng(13).integers(1 << 62, size=longer.shape[1], dtype=np.int64) * 2 + 1
     # Equal sums of unequal phrases would only let a phrase through that the global sum drops later.
     both = np.isin(longer @ odd, np.column_stack((left, table[left_of])).astype(np.int64) @ odd)
-    longer, count = longer[both], count[both]
-    yield from _counted(batch, i, words, list(longer.T), count)
+    return longer[both], count[both]
 
 
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _longer(batch: pa.RecordBatch, i: int, lists: list[np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts, in the i-th shard of a batch, of the phrases one word longer than the frequent ones of which both ends are frequent.
+
+    ``lists`` has the ordered digests of the frequent phrases of two words, of three and so on; the shard takes from its own
+    phrases of each length those that are among them. Without it the row brings the frequent phrases that the shard has.
+    """
+    words = _words(batch, i)
+    if lists is None:
+        given = pc.split_pattern(pc.split_pattern(batch.column("phrases").slice(i, 1), "\n").flatten(), " ")
+        table = pc.fill_null(pc.index_in(given.flatten(), words), -1).to_numpy().reshape(len(given), -1) + 1
+        table = table[(table > 0).all(axis=1)]
+        del given
+        if len(table) == 0:
+            return
+    before, after = (FMIndex(_unpacked(batch.column(c)[i].as_py())) for c in ("before", "after"))
+    if lists is not None:
+        lang = batch.column("lang")[i].as_py()
+        digest = np.append(np.uint64(0), _word_digests(words))
+        first, second, _ = after.extensions(*after.find([np.arange(1, len(words) + 1)]))
+        table = np.column_stack((first + 1, second)).astype(np.int64)
+        for k, ordered in enumerate(lists):
+            if k:
+                table, _ = _one_more(before, after, table)
+            # Equal digests of unequal phrases would only let a phrase through as well.
+            table = table[_among(_phrase_digests(lang, [digest[c] for c in table.T]), ordered)]
+            if len(table) == 0:
+                return
+    table, count = _one_more(before, after, table)
+    yield from _counted(batch, i, words, list(table.T), count)
+
+
+def _grow(batches: Iterator[pa.RecordBatch], **lists: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield from _longer(batch, i)
+            yield from _longer(batch, i, **lists)
 
 
-def _grow_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _grow_and_sum(batches: Iterator[pa.RecordBatch], **lists: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """As ``_grow``, with the counts of the shards of a task summed before they leave it, as far as HELD_ROWS allows.
 
     Counts are summed whenever HELD_ROWS more have come, and go on being held unless over twice as many are left then.
@@ -212,7 +276,7 @@ def _grow_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for i in range(batch.num_rows):
-            held += _longer(batch, i)
+            held += _longer(batch, i, **lists)
             pa.default_memory_pool().release_unused()
             if sum(h.num_rows for h in held) > limit:
                 rows = add_up()
@@ -226,6 +290,11 @@ def _grow_and_sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from held
 
 
+def _with_lists(step: Callable, sent: list):
+    """``step`` with the lists of digests that were sent to the tasks."""
+    return lambda batches: step(batches, lists=[s.value for s in sent]) if sent else step(batches)
+
+
 COUNTS = "shard bigint, lang string, phrase string, n bigint"
 
 
@@ -244,8 +313,9 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
     Texts become shards of about half a million words in the tasks that read them, none of them shuffled. Each shard keeps a
     bidirectional index. Words and pairs are counted in all shards and summed; from there on, level by level, each shard
     extends those of its phrases that are frequent over all shards by one word on either side and keeps what both sides
-    give. A phrase can only be frequent if both phrases one word shorter are, so nothing is lost. A level's frequent phrases go to
-    the shards as a list per language if counted to be at most LIST_ROWS, else each shard is joined with those it has. Most
+    give. A phrase can only be frequent if both phrases one word shorter are, so nothing is lost. If a level's frequent phrases are
+    counted to be at most LIST_ROWS, tasks get their digests and each shard looks its own phrases up, so a shard's work follows
+    its text and not that list; else, and for longer ones then, each shard is joined with those it has. Most
     candidates are rare and cannot be told from the frequent ones before all shards are summed, so a task sums many shards
     and sends each of its candidates on once: at most one row per word and level, fewer the more shards it sums.
     """
@@ -255,19 +325,23 @@ def frequent_phrases(docs: DataFrame, min_count: int, max_words: int, lang: str
     index = _written(made.withColumn("shard", F.monotonically_increasing_id()), "phrase-index", SHARDS_PER_FILE)
     tasks = max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, index.count() // SUMMED_SHARDS)
     counts = summed = index.mapInArrow(_words_and_pairs, COUNTS)
-    found, lists = [], F.array_join(F.collect_list("phrase"), "\n").alias("phrases")
+    found, held = [], []
     for size in range(2, max_words + 1):
         totals = summed.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
         found.append(_written(totals.withColumn("size", F.size(F.split("phrase", " "))), "phrases"))
         last = found[-1].where(F.col("size") == size).select("lang", "phrase")
         if size == max_words:
             break
-        if has_at_most(last, LIST_ROWS):
-            given = index.join(F.broadcast(last.groupBy("lang").agg(lists)), "lang")
+        if held is not None and has_at_most(last, LIST_ROWS):
+            digests = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r[0], np.uint64) for r in last.mapInArrow(_digests, "digests binary").collect())])
+            digests.sort()
+            held = [*held, spark.sparkContext.broadcast(digests)]
+            given, sent = index, held
         else:
-            own = counts.join(last.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(lists)
-            given = index.join(own.hint("merge"), "shard")
-        counts, summed = given.mapInArrow(_grow, COUNTS), given.coalesce(tasks).mapInArrow(_grow_and_sum, COUNTS)
+            phrases = F.array_join(F.collect_list("phrase"), "\n").alias("phrases")
+            own = counts.join(last.hint("merge"), ["lang", "phrase"], "left_semi").groupBy("shard").agg(phrases)
+            given, sent, held = index.join(own.hint("merge"), "shard"), [], None
+        counts, summed = given.mapInArrow(_with_lists(_grow, sent), COUNTS), given.coalesce(tasks).mapInArrow(_with_lists(_grow_and_sum, sent), COUNTS)
     return reduce(DataFrame.unionByName, found), index.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

@@ -105,3 +105,43 @@ def test_counts_of_shards_leave_a_task_summed(monkeypatch, shards):
     monkeypatch.setattr(co, "HELD_ROWS", 30)
     got = [r for b in co._grow_and_sum(iter([batch])) for r in b.to_pylist()]
     assert sum(r["n"] for r in got) == 2 * sum(range(51)) * shards
+
+
+def test_many_frequent_phrases_are_looked_up(spark, monkeypatch, tmp_path):
+    """Over 300,000 frequent pairs: no shard counts its words and pairs again for a join with them."""
+    plain, seen = co._words_and_pairs, str(tmp_path)
+
+    def noted(batches):
+        import uuid
+
+        for batch in batches:
+            open(f"{seen}/{uuid.uuid4().hex}-{batch.num_rows}", "w").close()
+            yield from plain(iter([batch]))
+
+    monkeypatch.setattr(co, "_words_and_pairs", noted)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 3000)) for _ in range(112)]
+    phrases, _ = co.frequent_phrases(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string").repartition(4), 1, 3)
+    got = {}
+    for r in phrases.groupBy("size", "f").count().collect():
+        n, total = got.get(r["size"], (0, 0))
+        got[r["size"]] = n + r["count"], total + r["count"] * r["f"]
+    of = [Counter(tuple(w[i:i + k]) for w in map(str.split, texts) for i in range(len(w) - k + 1)) for k in (1, 2, 3)]
+    assert got == {k: (len(c), sum(c.values())) for k, c in enumerate(of, 1)} and got[2][0] > 300_000
+    assert sum(int(p.name.split("-")[1]) for p in tmp_path.iterdir()) == 4
+
+
+def test_digests_of_phrases():
+    words = [b"a", b"ab", b"ba", "漢".encode(), b"a" * 5000, b"a" * 5001, b"it's"]
+    array = pa.array(words, pa.binary()).cast(pa.string())
+    one = co._word_digests(array)
+    assert len(set(one.tolist())) == len(words) and (co._word_digests(array.slice(2, 3)) == one[2:5]).all()
+    pairs = [(i, j) for i in range(7) for j in range(7)]
+    text = pa.array([f"{array[i]} {array[j]}" for i, j in pairs])
+    made = {lang: co._phrase_digests(lang, [one[[p[0] for p in pairs]], one[[p[1] for p in pairs]]]) for lang in ("en", "")}
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * 49), text], ["lang", "phrase"])
+    [row] = [r["digests"] for b in co._digests(iter([batch])) for r in b.to_pylist()]
+    assert (np.frombuffer(row, np.uint64) == made["en"]).all()
+    assert len({*made["en"].tolist(), *made[""].tolist()}) == 98
+    assert co._among(made["en"], np.sort(made["en"][:9])).tolist() == [True] * 9 + [False] * 40
+    assert not co._among(made[""], made["en"][:0]).any()
